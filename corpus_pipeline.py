@@ -1,3 +1,70 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): pass
+"""A training-data pipeline over ``documents``: toxicity, exact and near dedup, decontamination, mixing.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All
+but the last return the columns of documents. ``run`` writes each stage's result to the shared folder
+and reads it back as the next one's input. The stages' operators say what they do with nulls, empty
+texts, ties, repeated rows and empty tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veiljoin.llm.common import save
+from veiljoin.llm.decontaminate import decontaminate
+from veiljoin.llm.exact_dedup import exact_dedup
+from veiljoin.llm.mixing import mix_sources
+from veiljoin.llm.near_dedup import near_classes
+from veiljoin.llm.queries import held_out, table
+from veiljoin.llm.toxicity import fit_lexicon, reject_toxic
+
+
+def drop_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The documents without those whose verdict is not to keep them; rows with a null id stay."""
+    return docs.join(verdicts.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at or above 0.3 go. The lexicon is fitted on labelled rows that aren't held out."""
+    labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
+    return reject_toxic(docs, fit_lexicon(docs, labels))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id stays."""
+    return drop_rows(docs, exact_dedup(docs))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the row with the smallest doc_id stays."""
+    return drop_rows(docs, near_classes(docs))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at equal weights: documents with their copy number, in shuffled order."""
+    return mix_sources(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+]
+
+#: SQL can express neither the learnt lexicon nor weighted sampling; tests/llm compares with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

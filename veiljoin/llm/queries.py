@@ -12,6 +12,8 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .html_extract import extract_text
 from .mixing import mix_sources
+from .near_dedup import near_classes
+from .substring_dedup import remove_repeats
 from .toxicity import fit_lexicon, toxicity_score
 from .url_filter import filter_urls
 from .warc import read_warc, write_warc
@@ -45,6 +47,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "</s>[INST] ok [/INST]"
@@ -100,15 +106,23 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, r: n + r.past - r["first"])
+    return out.select("doc_id", "n_words", gone.alias("n_removed"), sha256(F.col("text")).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
     "op3_html_text": op3_html_text,
+    "op4_near_dedup": op4_near_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -189,4 +203,15 @@ SQL: dict[str, str] = {
                sha256(coalesce(names, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "op10_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM
+                (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+        f AS (SELECT h, min(doc_id) AS low FROM s GROUP BY h),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM s JOIN f USING (h) WHERE low < doc_id),
+        r AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM g GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+               sha256(coalesce(CASE WHEN n IS NULL THEN array_to_string(w, ' ')
+                   ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(ps, i)), ' ') END, '')) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id)""",
 }
