@@ -105,23 +105,51 @@ class Sampler:
 
 
 def signatures(texts: DataFrame, weights: np.ndarray) -> DataFrame:
-    """id, whole (hash of the word sequence), bands array: one row per input row."""
+    """id, whole (hash of the word sequence), odd (mean weight of its shingles), bands array: one row per input row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, sampler, band = Shingles(), Sampler(BANDS * ROWS), Rolling(BASE)
         for batch in batches:
-            wholes, bands = [], []
+            wholes, odd, bands = [], [], []
             for text in batch["text"]:
                 h, n, whole = shingles(text)
-                picked = sampler(h, n * weights[bucket(h)]).reshape(BANDS, ROWS)
+                w = weights[bucket(h)]
+                odd.append(float(w.mean()))
+                picked = sampler(h, n * w).reshape(BANDS, ROWS)
                 key = np.zeros(BANDS, np.uint64)
                 for j in range(ROWS):
                     key = mix(key * np.uint64(BASE) + picked[:, j])
                 wholes.append(whole)
                 bands.append(mix(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
-            yield pd.DataFrame({"id": batch["id"], "whole": wholes, "bands": bands})
+            yield pd.DataFrame({"id": batch["id"], "whole": wholes, "odd": odd, "bands": bands})
 
-    return texts.mapInPandas(run, "id bigint, whole bigint, bands array<bigint>")
+    return texts.mapInPandas(run, "id bigint, whole bigint, odd double, bands array<bigint>")
+
+
+def prefixes(members: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+    """The members with a row for each shingle of their prefix, its weight and what it and its followers weigh.
+
+    All shingles have one order, from rare to common. A text's prefix ends where what follows
+    weighs less than ``threshold`` of the whole; so texts of that similarity share a shingle of both prefixes.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingles()
+        for batch in batches:
+            found = []
+            for text in batch["text"]:
+                h, n, _ = shingles(text)
+                w = weights[bucket(h)]
+                order = np.lexsort((h, -w))
+                after = np.cumsum((n * w.astype(np.float64))[order][::-1])[::-1]
+                keep = after >= threshold * after[0] * (1 - 1e-9)
+                found.append((h[order[keep]].view(np.int64), after[keep], after[0]))
+            yield batch[["id"]].assign(tokens=[x[0] for x in found], rests=[x[1] for x in found], weight=[x[2] for x in found])
+
+    picked = texts.join(small(members.select("id")), "id", "left_semi").dropDuplicates(["id"])
+    found = picked.mapInPandas(run, "id bigint, tokens array<bigint>, rests array<double>, weight double")
+    zipped = F.explode(F.arrays_zip(F.col("tokens").alias("token"), F.col("rests").alias("rest"))).alias("t")
+    return members.join(found.select("id", "weight", zipped), "id").select(*members.columns, "weight", "t.*")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -191,34 +219,37 @@ def components(edges: DataFrame) -> DataFrame:
 def near_pairs(sketched: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
     """Pairs of representatives that span all classes.
 
-    All documents of a band's bucket are compared with its smallest one: as many pairs as members.
-    Buckets whose members still are in several components get a second round: members outside the
-    bucket's largest component are compared with all members of other components. By the
-    triangle inequality of 1 - similarity, pairs whose distances to the bucket's smallest document differ
-    by more than 1 - threshold can't be linked and are left out.
+    All documents of a band's bucket are compared with one of them, the one whose shingles are most
+    common: as many pairs as members. Buckets whose members then still are in several components
+    get a second round: members outside their bucket's largest component are compared with members
+    of other components with which they share a shingle of both prefixes, from which on both weigh
+    as much as similar texts must share; no others can be similar.
     """
     key = F.posexplode("bands").alias("band", "value")
-    members = save(sketched.select("id", key), "near-bands")
-    shared = members.groupBy("band", "value").agg(F.min("id").alias("b"), F.max("id").alias("top")).filter("b < top").select("band", "value", "b")
-    placed = save(members.join(shared, ["band", "value"]), "near-buckets")
-    stars = save(verify(save(placed.filter("id <> b").select(F.col("id").alias("a"), "b").distinct(), "near-pairs"), texts, weights), "near-stars")
-    linked = stars.filter(F.col("similarity") >= threshold).select("a", "b")
+    members = save(sketched.select("id", "odd", key), "near-bands")
+    hub = F.min(F.struct(F.round("odd", 4).alias("odd"), "id"))
+    shared = members.groupBy("band", "value").agg(hub["id"].alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "value", "b")
+    placed = save(members.select("band", "value", "id").join(save(shared, "near-shared"), ["band", "value"]), "near-buckets")
+    stars = verify(save(placed.filter("id <> b").select(F.col("id").alias("a"), "b").distinct(), "near-pairs"), texts, weights)
+    linked = save(stars.filter(F.col("similarity") >= threshold).select("a", "b"), "near-stars")
     roots = components(linked)
-    told = (
-        placed.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        .join(stars.withColumnsRenamed({"a": "id"}), ["id", "b"], "left")
-        .withColumn("far", 1 - F.coalesce("similarity", F.lit(1.0)))
+    told = save(
+        placed.join(roots, "id", "left").select("band", "value", "id", F.coalesce("root", "id").alias("root")), "near-told"
     )
-    told = save(told.select("band", "value", "id", "root", "far"), "near-told")
     parts = told.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("band", "value").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    odd = told.join(mixed, ["band", "value"])
-    probes = odd.filter("root <> most").select("band", "value", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("far").alias("far_a"))
-    rest = odd.select("band", "value", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("far").alias("far_b"), "most")
+    open_ids = (
+        told.join(save(mixed.select("band", "value", "most"), "near-mixed"), ["band", "value"])
+        .groupBy("id", "root").agg(F.max(F.col("root") != F.col("most")).alias("probe"))
+    )
+    tokens = save(prefixes(save(open_ids, "near-open"), texts, weights, threshold), "near-tokens")
+    side = lambda df, x: df.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "probe", "rest", "weight")], F.col("id").alias(x))
+    probes, others = side(tokens.filter("probe"), "a"), side(tokens, "b")
+    enough = F.lit(threshold / (1 + threshold) * (1 - 1e-9)) * (F.col("weight_a") + F.col("weight_b"))
     more = (
-        probes.join(rest, ["band", "value"])
-        .filter((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("most")) | (F.col("a") > F.col("b"))))
-        .filter((F.abs(F.col("far_a") - F.col("far_b")) <= 1 - threshold + 1e-9) & (F.col("far_a") > 0) & (F.col("far_b") > 0))
+        probes.join(others, "token")
+        .filter(F.least("rest_a", "rest_b") >= enough)
+        .filter((F.col("root_a") != F.col("root_b")) & (~F.col("probe_b") | (F.col("a") > F.col("b"))))
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
@@ -242,10 +273,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = rows.filter("id is not null")
     weights = idf_weights(*document_frequencies(texts))
     sketched = save(signatures(texts, weights), "near-sketches")
-    copies = sketched.groupBy("whole").agg(F.min("id").alias("rep"))
-    single = sketched.join(copies, "whole").select("id", "rep", "bands")
+    copies = save(sketched.groupBy("whole").agg(F.min("id").alias("rep")), "near-copies")
+    single = sketched.join(copies, "whole").select("id", "rep", "odd", "bands")
     single = save(single, "near-members")
-    pairs = near_pairs(single.filter("id = rep").dropDuplicates(["id"]).select("id", "bands"), texts, weights, threshold)
+    pairs = near_pairs(single.filter("id = rep").dropDuplicates(["id"]).select("id", "odd", "bands"), texts, weights, threshold)
     # an id with several texts links their classes
     many = single.groupBy("id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).filter("r0 <> r1")
     edges = pairs.union(many.join(single.select("id", "rep"), "id").select(F.col("rep").alias("a"), F.col("r0").alias("b")))
