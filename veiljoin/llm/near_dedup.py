@@ -28,8 +28,8 @@ class Shingles:
     def __init__(self) -> None:
         self.hashes, self.rolling = WordHashes(), Rolling(BASE)
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-        """Hashes, counts, and a hash of the whole word sequence.
+    def hashed(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words and of the shingles, in text order.
 
         A text of fewer words than a shingle is one shingle. A text without words is one shingle
         of its own characters, so only equal ones are similar.
@@ -37,7 +37,11 @@ class Shingles:
         words = folded_words(text) or [b"\0" + (text or "").encode("utf-8", "surrogatepass")]
         h = self.hashes.of(words)
         n = min(SHINGLE, len(words))
-        found = mix(self.rolling.windows(h, n) + np.uint64(n))
+        return h, mix(self.rolling.windows(h, n) + np.uint64(n))
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Hashes, counts, and a hash of the whole word sequence."""
+        h, found = self.hashed(text)
         whole = mix(self.rolling.windows(h, len(h)) + np.uint64(len(h)))[0]
         values, counts = np.unique(found, return_counts=True)
         return values, counts, int(whole.view(np.int64))
@@ -54,7 +58,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         shingles, total, rows = Shingles(), np.zeros(DF_BUCKETS, np.int64), 0
         for batch in batches:
             for text in batch["text"]:
-                total[np.unique(bucket(shingles(text)[0]))] += 1
+                total[np.unique((shingles.hashed(text)[1] >> np.uint64(48)).astype(np.uint16))] += 1
             rows += len(batch)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": [*at, DF_BUCKETS], "n": [*total[at], rows]})
@@ -78,21 +82,25 @@ class Sampler:
     its step t = floor(ln w / r + b), with the least ln c - r (t + 1 - b), ties by hash.
     """
 
-    def __init__(self, functions: int, size: int = 1 << 15, seed: int = 7) -> None:
+    def __init__(self, functions: int, size: int = 1 << 14, seed: int = 7) -> None:
         draw = np.random.Generator(np.random.PCG64(seed))
-        self.r = draw.gamma(2.0, size=(size, functions)).astype(np.float32)
-        self.c = np.log(draw.gamma(2.0, size=(size, functions))).astype(np.float32)
-        self.b = draw.random((size, functions), np.float32)
+        r, c = draw.gamma(2.0, size=(2, size, functions))
+        self.table = np.stack([r, draw.random((size, functions)), np.log(c)], axis=1).astype(np.float32)
         self.mask = np.uint64(size - 1)
 
     def __call__(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
         best = picked = None
-        for k in range(0, len(h), 4096):
-            part = h[k : k + 4096]
-            at = (part & self.mask).astype(np.int64)
-            r, b = self.r[at], self.b[at]
-            t = np.floor(np.log(w[k : k + 4096])[:, None] / r + b)
-            a = self.c[at] - r * (t + 1 - b)
+        for k in range(0, len(h), 1024):
+            part = h[k : k + 1024]
+            drawn = self.table.take((part & self.mask).astype(np.int64), axis=0)
+            r, b, a = drawn[:, 0], drawn[:, 1], drawn[:, 2]
+            t = np.log(w[k : k + 1024])[:, None] / r
+            t += b
+            np.floor(t, out=t)
+            np.subtract(t, b, out=b)
+            b += 1
+            b *= r
+            a -= b
             low = a.argmin(axis=0)
             cols = np.arange(a.shape[1])
             value, sample = a[low, cols], mix(part[low] + t[low, cols].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
