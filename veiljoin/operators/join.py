@@ -69,7 +69,7 @@ def join_signs(
     out = out.withColumn("membership", sketch.own_membership(key, F.col("_in"), eps_memb, seed))
     cells = F.when(F.col("_in"), F.zip_with(F.col(vector), flips, lambda v, s: v * s)).otherwise(filler)
     if selection == "Same":
-        cells = F.transform(F.array(*[F.lit(i) for i in chosen]), lambda i, c=cells: F.get(c, i))
+        cells = F.array(*[F.get(cells, F.lit(i)) for i in chosen])
     else:
         mask = row_mask(key, total, k, seed, p if selection == "NonUnif" else None)
         cells = F.zip_with(cells, mask, lambda v, m: v * m)
