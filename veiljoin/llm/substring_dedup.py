@@ -130,11 +130,15 @@ def repeated_words(rows: DataFrame, window: int) -> DataFrame:
         ),
         "substring-windows",
     )
-    lowest = hashed.groupBy("anchor", "hash").agg(F.min("id").alias("low"))
+    # a window of one block only is in no smaller document than that block's smallest
+    lowest = save(
+        hashed.groupBy("anchor", "hash").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times"),
+        "substring-lowest",
+    )
     known = (
-        hashed.join(lowest, ["anchor", "hash"])
+        hashed.join(lowest, ["anchor", "hash"], "left")
         .groupBy("anchor", "content")
-        .agg(F.collect_list(F.struct("at", F.col("low").alias("from"))).alias("windows"))
+        .agg(F.collect_list(F.struct("at", F.coalesce("low", "id").alias("from"))).alias("windows"))
     )
     single = found.filter("mixed").join(known, ["anchor", "content"]).select(
         "id", "key",
