@@ -15,7 +15,8 @@ from .common import folded_words, save
 WINDOW = 13
 #: Benchmark characters in one automaton. A larger benchmark is scanned in several passes, each with the next block.
 BLOCK_CHARS = 8_000_000
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words of the original text, before A-Z become a-z.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def symbol(i: int) -> str:
