@@ -60,10 +60,10 @@ def plain_words(text: str | None) -> list[bytes]:
 
 
 class WordHashes(dict):
-    """Word to 64-bit hash; the cache empties itself at a million words, so memory stays bounded."""
+    """Word to 64-bit hash; the cache empties itself at 200,000 words, so memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
