@@ -175,8 +175,8 @@ def reachable(nodes: DataFrame) -> DataFrame:
         hit = state.filter("on and next is not null").select("file", F.col("next").alias("at"), F.lit(True).alias("hit"))
         jump = state.select("file", F.col("at").alias("next"), F.col("next").alias("then"))
         state = save(
-            state.join(hit.distinct(), ["file", "at"], "left")
-            .join(jump, ["file", "next"], "left")
+            state.join(hit.distinct().hint("merge"), ["file", "at"], "left")
+            .join(jump.hint("merge"), ["file", "next"], "left")
             .select("file", "at", F.col("then").alias("next"), (F.col("on") | F.col("hit").isNotNull()).alias("on")),
             "warc-chain",
         )
