@@ -68,7 +68,7 @@ def list_blocks(rows: DataFrame, window: int) -> DataFrame:
                 a, c, f, n = doc_blocks(hashes.of(words), rolling, window)
                 for name, value in zip(out, (i, key, a.view(np.int64), c.view(np.int64), f.astype(np.int32), n.astype(np.int32))):
                     out[name].append(value)
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out, dtype=object)
 
     return rows.mapInPandas(run, "id bigint, key bigint, anchor array<bigint>, content array<bigint>, first array<int>, n array<int>")
 
