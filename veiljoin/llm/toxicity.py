@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Rolling, WordHashes, folded_words, mix, save
+
 #: Bounds of the labelled sample that the model is fitted on: rows with label 1, rows with label 0.
 SAMPLE_ROWS = (4000, 6000)
 #: Lengths of word beginnings that may enter the lexicon as stems; whole words enter too.
@@ -122,6 +124,18 @@ def count_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
+def fingerprint(text: Column) -> Column:
+    """The least hash of a text's five-word shingles: copies share it, near copies mostly."""
+
+    @F.pandas_udf("bigint")
+    def least(texts: pd.Series) -> pd.Series:
+        hashes, rolling = WordHashes(), Rolling(0xA0761D6478BD642F)
+        found = [hashes.of(folded_words(text) or [b""]) for text in texts]
+        return pd.Series([int(mix(rolling.windows(h, min(5, len(h)))).min().view(np.int64)) for h in found], dtype="int64")
+
+    return least(text)
+
+
 def choose(table: pd.DataFrame, pos: np.ndarray, neg: np.ndarray, rows: tuple[float, float]) -> dict[str, float]:
     """The lexicon from counts: best first, without entries that begin alike."""
     p1, p0 = rows
@@ -132,7 +146,10 @@ def choose(table: pd.DataFrame, pos: np.ndarray, neg: np.ndarray, rows: tuple[fl
     weight = np.log((pos + 0.5) / (p1 + 1)) - np.log((neg + 0.5) / (p0 + 1))
     good = np.flatnonzero((pos >= MIN_ROWS) & (z >= MIN_Z) & (weight > 1))
     entries = table["entry"].to_numpy()
-    order = sorted(good, key=lambda i: (-round(z[i], 9), -len(entries[i]), entries[i]))
+    # the log-likelihood ratio prefers a stem that only label 1 has to a shorter, commoner one
+    rate, seen = p1 / (p1 + p0), np.maximum(pos + neg, 1)
+    gain = pos * np.log(np.maximum(pos / seen, 1e-12) / rate) + neg * np.log(np.maximum(neg / seen, 1e-12) / (1 - rate))
+    order = sorted(good, key=lambda i: (-round(gain[i], 9), -len(entries[i]), entries[i]))
     chosen: dict[str, float] = {}
     heads: set[str] = set()
     for i in order:
@@ -152,7 +169,8 @@ def fit_lexicon(
     """Learn entries, weights and the score's coefficients from labelled rows.
 
     The sample holds at most ``sample_rows`` rows of either label, those with the smallest hash of
-    their id; Spark counts entries over it by half. A lexicon from either half scores the other,
+    their id, less copies and near copies of each other, so that one text in many copies does not
+    make its words entries; Spark counts entries over it by half. A lexicon from either half scores the other,
     so that the coefficients are fitted to hits on unseen rows; the final lexicon is that of both.
     The intercept is moved from the sample's share of label 1 to that of all labelled rows. Rows
     without a label, id or text are left out; without rows of both labels the seed words remain.
@@ -166,8 +184,11 @@ def fit_lexicon(
     sample = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna()
         .join(F.broadcast(picked), "id")
-        .select("text", "y", F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2)).cast("int").alias("half"))
+        .select("text", "y", fingerprint(F.col("text")).alias("same"))
+        .dropDuplicates(["y", "same"])
+        .select("text", "y", F.pmod(F.xxhash64(F.lit("half"), "same"), F.lit(2)).cast("int").alias("half"))
     )
+    sample = save(sample, "toxicity-sample")
     rows = {(r.y, r.half): r["count"] for r in sample.groupBy("y", "half").count().collect()}
     n = lambda y, *halves: sum(rows.get((y, h), 0) for h in halves)
     counted = sample.mapInPandas(count_entries, "entry string, y int, half int, n bigint")
