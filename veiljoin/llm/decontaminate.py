@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import folded_words, save
+from .common import bound_batches, folded_words, save
 
 WINDOW = 13
 #: Benchmark characters in one automaton. A larger benchmark is scanned in several passes, each with the next block.
@@ -100,6 +100,7 @@ def decontaminate(
     if n_hit > 0 and 20 * n_hit >= n_words. Null and empty texts have no words. Items with a null id
     or text are left out; equal items are all listed. Columns of these five names are replaced.
     """
+    bound_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("n_words", "hits", "items", "n_hit", "contaminated", "spans")]
     out = docs.select(*rest, F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<bigint>").alias("items"))
     spark: SparkSession = docs.sparkSession

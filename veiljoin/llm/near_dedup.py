@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, WordHashes, folded_words, mix, save, small
+from .common import Rolling, WordHashes, bound_batches, folded_words, mix, save, small
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Bands and samples a band: two texts of similarity 0.8 meet with probability 1 - (1 - 0.8**4)**14 = 0.9994.
@@ -277,6 +277,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal ones. Rows that share an id are one node; a null id is a class of its own, kept. An
     empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     texts = rows.filter("id is not null")
     weights = idf_weights(*document_frequencies(texts))

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, WordHashes, mix, plain_words, save, small
+from .common import Rolling, WordHashes, bound_batches, mix, plain_words, save, small
 
 WINDOW = 50
 BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -164,6 +164,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Windows are equal if their anchor's and their own 64-bit hashes, of different bases, both are.
     """
+    bound_batches(docs.sparkSession)
     rows = rows_of(docs, id_col, text_col)
     gone = repeated_words(rows, window)
 

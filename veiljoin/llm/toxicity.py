@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, WordHashes, folded_words, mix, save
+from .common import Rolling, WordHashes, bound_batches, folded_words, mix, save
 
 #: Bounds of the labelled sample that the model is fitted on: rows with label 1, rows with label 0.
 SAMPLE_ROWS = (4000, 6000)
@@ -175,6 +175,7 @@ def fit_lexicon(
     The intercept is moved from the sample's share of label 1 to that of all labelled rows. Rows
     without a label, id or text are left out; without rows of both labels the seed words remain.
     """
+    bound_batches(docs.sparkSession)
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col)).alias("h")
     )
