@@ -104,10 +104,11 @@ def decontaminate(
     rest = [c for c in docs.columns if c not in ("n_words", "hits", "items", "n_hit", "contaminated", "spans")]
     out = docs.select(*rest, F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<bigint>").alias("items"))
     spark: SparkSession = docs.sparkSession
-    found = list(blocks(benchmark, item_col, item_text_col, block_chars)) or [[]]
-    for k, block in enumerate(found):
-        held = spark.sparkContext.broadcast(block)
-        last = k == len(found) - 1
+    ahead = blocks(benchmark, item_col, item_text_col, block_chars)
+    block, last = next(ahead, []), False
+    while not last:  # the driver holds this block and the next
+        after = next(ahead, None)
+        held, last = spark.sparkContext.broadcast(block), after is None
 
         def scan(batches: Iterator[pd.DataFrame], held=held, last=last) -> Iterator[pd.DataFrame]:
             match = Matcher(held.value, window)
@@ -128,7 +129,7 @@ def decontaminate(
         schema = out.drop("spans").withColumn("spans", F.array().cast("array<int>")).schema
         out = out.drop("spans").mapInPandas(scan, schema)
         if not last:
-            out = save(out, "decontaminate")
+            out, block = save(out, "decontaminate"), after
     ends_less_starts = F.transform("hits", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x).cast("bigint"))
     n_hit = F.aggregate(ends_less_starts, F.lit(0).cast("bigint"), lambda total, x: total + x)
     return (
