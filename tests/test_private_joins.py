@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veiljoin.functions import randomness as rnd
 from veiljoin.functions.budget import Budget, BudgetError
-from veiljoin.operators import features, join, prep, regression, sketch
+from veiljoin.operators import features, join, models, prep, regression, response, sketch
 from veiljoin.plans.queries import QUERIES, SQL
 from veiljoin.sources.tables import read_csv, read_results, with_id, write_csv
 
@@ -36,11 +36,31 @@ def test_query_equals_sql(spark, name):
     assert a == b
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"model_accuracies"}))
+#: Queries whose parts others run too.
+SLOW = {"model_accuracies", "sweep_sign_columns", "sweep_pca_iterations", "sweep_bandwidths"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
 def test_other_queries_have_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_nearest_votes_in_many_blocks(spark):
+    draw = np.random.Generator(np.random.PCG64(1))
+    x, y = draw.integers(0, 4, (200, 3)).astype(float), draw.integers(0, 4, (30, 3)).astype(float)
+    label = np.where(x[:, 0] + draw.normal(size=200) > 1.5, 1.0, -1.0)
+    train = spark.createDataFrame([(i, float(label[i]), x[i].tolist()) for i in range(200)], "id long, label double, x array<double>")
+    test = spark.createDataFrame([(i, y[i].tolist()) for i in range(30)], "id long, x array<double>")
+    got = {r.id: r.predicted for r in models.nearest_votes(train, test, 5, train_rows=20, test_rows=7, fan_in=3).collect()}
+    near = [sorted(range(200), key=lambda i, v=v: (((x[i] - v) ** 2).sum(), i))[:5] for v in y]
+    assert got == {j: 1.0 if label[n].sum() >= 0 else -1.0 for j, n in enumerate(near)}
+
+
+def test_sign_encoding(spark):
+    row = spark.range(1).select(response.encode_signs(F.array(*map(F.lit, (-1.0, 0.0, 1.0)))).alias("x")).first()
+    assert row.x == [0.0, 0.5, 1.0]
+
+
 def test_infinite_budget_is_the_inner_join(spark):
     known = spark.createDataFrame([(1, 1.0), (2, -1.0), (3, 1.0)], "id long, l double")
     private = spark.createDataFrame([(1, 2.0), (3, -1.0)], "id long, f double")

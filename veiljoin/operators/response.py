@@ -45,3 +45,8 @@ def signs(id: Column, kind: str, eps: float, total: int, k: int, seed: int, p: l
         stay = (math.exp(eps) - 1) / (math.exp(eps) + 2.0**k - 1)
         return F.when(uniform(id, "rr.row", seed) < stay, F.array(*[F.lit(1.0)] * total)).otherwise(independent_signs(id, [0.5] * total, seed))
     raise ValueError(f"no sketch type {kind}")
+
+
+def encode_signs(x: Column) -> Column:
+    """Cells of -1 as 0, cells of 0 (columns that weren't chosen) as 0.5, cells of 1 as they are."""
+    return F.transform(x, lambda v: (v + 1) / 2)

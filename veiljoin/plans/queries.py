@@ -13,6 +13,7 @@ from ..functions import randomness as rnd
 from ..operators import bandwidth, features, join, models, prep, regression, response, selection, sketch
 from ..sources.tables import read_table
 from ..streaming.membership import stream_member_sketch
+from . import experiments as ex
 from . import sql as q
 from . import sweep
 
@@ -627,6 +628,83 @@ def ratio_to_control(spark, d):
     return sweep.ratio_to_control(trial_rows(spark, d), ["eps", "trial"], 0.8).select("eps", "trial", r6("ratio", "ratio"))
 
 
+def sign_split(spark, d):
+    """Customers' labels and flags, split by customer."""
+    known, private = customers(spark, d), flags(spark, d).withColumnRenamed("f", "x")
+    train = prep.hash_split(known, "id", 0.8, SEED)
+    return ex.Split(known.filter(train).cache(), private.filter(train).cache(), known.filter(~train).join(private, "id").cache())
+
+
+def vector_split(spark, d):
+    """Known labels of all training vectors; the private side lacks three in four of one class."""
+    train, test = train_test(spark, d)
+    centred = [F.transform("x", lambda v, i: v - F.get(F.lit(list(map(float, features.column_means(train, "x", 8)[0]))), i)).alias("x")]
+    private = prep.biased_subsample(train, "id", "label", 1.0, SEED)
+    return ex.Split(train.select("id", "label").cache(), private.select("id", *centred).cache(), test.select("id", "label", *centred).cache())
+
+
+@query()
+def sweep_sign_variants(spark, d):
+    split = sign_split(spark, d)
+    p = selection.feature_distribution(split.private, "x", 0.5, SEED)
+    settings = [s | {"k": 3} for s in sweep.grid(variant=sweep.SEVEN_VARIANTS, eps=[3.0])]
+    rows = [{"kind": s["variant"][0], "selection_type": s["variant"][1], "k": s["k"], "eps": s["eps"]} for s in settings]
+    return sweep.run_grid(spark, rows, lambda **s: ex.sign_trial(split, FLAGS, p, "BernoulliNB", **s))
+
+
+@query()
+def sweep_sign_columns(spark, d):
+    split = sign_split(spark, d)
+    p = selection.feature_distribution(split.private, "x", 0.5, SEED)
+    rows = [{"kind": a, "selection_type": b, "k": k, "eps": 3.0} for k in (1, 3, FLAGS) for a, b in sweep.four_variants(k, FLAGS)]
+    return sweep.run_grid(spark, rows, lambda **s: ex.sign_trial(split, FLAGS, p, "BernoulliNB", **s))
+
+
+@query()
+def sweep_pca(spark, d):
+    split = vector_split(spark, d)
+    return sweep.run_grid(spark, sweep.grid(dim=[2, 4], eps=[2.0, 8.0]), lambda **s: ex.pca_trial(split, 4.0, "GaussianNB", **s))
+
+
+@query()
+def sweep_pca_iterations(spark, d):
+    split = vector_split(spark, d)
+    return sweep.run_grid(spark, sweep.grid(iterations=[1, 5, 20], dim=[3], eps=[8.0]), lambda **s: ex.pca_trial(split, 4.0, "GaussianNB", **s))
+
+
+@query()
+def sweep_fourier(spark, d):
+    split = vector_split(spark, d)
+    return sweep.run_grid(spark, sweep.grid(data_type=["Real Clip", "Binary"], dim=[DIM], eps=[2.0, 8.0]), lambda **s: ex.fourier_trial(split, 8, "GaussianNB", **s))
+
+
+@query()
+def sweep_bandwidths(spark, d):
+    split = vector_split(spark, d)
+    return sweep.run_grid(spark, sweep.grid(bandwidth=[0.5, 1.0, 2.0], dim=[8]), lambda **s: ex.open_trial(split, 8, "GaussianNB", "fourier", **s))
+
+
+@query()
+def sweep_without_privacy(spark, d):
+    split = vector_split(spark, d)
+    return sweep.run_grid(spark, sweep.grid(method=["fourier", "pca"], dim=[2, 6]), lambda **s: ex.open_trial(split, 8, "GaussianNB", **s))
+
+
+@query()
+def sweep_regression(spark, d):
+    """Median error of three trials by estimator and eps, as a ratio to the error of the inner join."""
+    rows = orders(spark, d).withColumnRenamed("o_orderkey", "id")
+    train = prep.hash_split(rows, "id", 0.5, SEED)
+    private = returned(spark, d).withColumnRenamed("o_orderkey", "id")
+    known, whole = rows.filter(train).cache(), rows.join(private, "id").cache()
+    part, test = whole.filter(train).select("id", "y").cache(), whole.filter(~train).cache()
+    control = regression.mse(test, regression.predict(["x"], regression.ols(whole.filter(train), ["x"], "y")), "y").first().mse
+    found = sweep.run_grid(
+        spark, sweep.grid(estimator=["plain", "oblivious", "datadep"], eps=[2.0, 4.0], trial=[0, 1, 2]), lambda **s: ex.regression_trial(known, part, test, sens=100.0, **s)
+    )
+    return sweep.ratio_to_control(sweep.median_offsets(found, ["estimator", "eps"]), ["estimator", "eps"], control, "median")
+
+
 @query(
     f"SELECT {q.bucket('user_id', 'memb', 32)} AS bucket, sum({q.sign('user_id', 'memb')}) AS value FROM (SELECT DISTINCT user_id, date_trunc('day', ts) AS w FROM events) GROUP BY 1"
 )
