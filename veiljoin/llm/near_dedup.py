@@ -282,8 +282,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = rows.filter("id is not null")
     weights = idf_weights(*document_frequencies(texts))
     sketched = save(signatures(texts, weights), "near-sketches")
-    copies = save(sketched.groupBy("whole").agg(F.min("id").alias("rep")), "near-copies")
-    single = sketched.join(copies, "whole").select("id", "rep", "odd", "bands")
+    # a band's key beside the hash of the words makes 128 bits, so texts that differ don't count as copies
+    sketched = sketched.withColumn("also", F.get("bands", F.lit(0)))
+    copies = save(sketched.groupBy("whole", "also").agg(F.min("id").alias("rep")), "near-copies")
+    single = sketched.join(copies, ["whole", "also"]).select("id", "rep", "odd", "bands")
     single = save(single, "near-members")
     pairs = near_pairs(single.filter("id = rep").dropDuplicates(["id"]).select("id", "odd", "bands"), texts, weights, threshold)
     # an id with several texts links their classes
