@@ -137,6 +137,20 @@ def test_html_text(spark):
     assert out[1] == "T1 Body 1 bolder x < y" and out[11] == "Own words 1" and out[20] == "" and out[21] == "only"
 
 
+def html_texts(spark, rows):
+    return {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_html_keeps_text_that_differs_from_its_template_node(spark, tag):
+    page = lambda *blocks: f"<body><{tag}>" + "".join(f"<{t}>{x}</{t}>" for t, x in blocks) + f"</{tag}>"
+    long = lambda i: [("h1", f"Title {i}"), ("p", f"First {i}"), ("h2", f"Head {i}"), ("p", f"Second {i}")]
+    rows = [(1, "http://a.com/", page(*long(1))), (2, "http://a.com/", page(("p", "Only words")))]
+    rows += [(i, "http://a.com/", page(("p", "Same notice"), *long(i))) for i in (3, 4, 5)]
+    out = html_texts(spark, rows)
+    assert out[2] == "Only words" and out[1] == "Title 1 First 1 Head 1 Second 1"
+
+
 def test_html_on_articles(spark):
     import html
 

@@ -195,10 +195,10 @@ def prune(t: list) -> list:
 
 
 def mark(template: list, page: list) -> None:
-    """Set ``constant`` on the page's nodes that the template knows as constant."""
+    """Set ``constant`` on the page's nodes that the template knows as constant and whose text is that of the template."""
     for t, p in pairs(template, page):
         if t and p:
-            if t[2] and t[1] >= SUPPORT:
+            if t[2] and t[2] == p[2] and t[1] >= SUPPORT:
                 for node in p[4]:
                     node.constant = True
             mark(t, p)
