@@ -151,6 +151,17 @@ def test_html_keeps_text_that_differs_from_its_template_node(spark, tag):
     assert out[2] == "Only words" and out[1] == "Title 1 First 1 Head 1 Second 1"
 
 
+def test_html_finds_templates_of_any_size_in_any_order(spark):
+    wide = "<body>" + "".join(f"<div class={'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]}>cell {{0}} {i}</div>" for i in range(390))
+    rows = [(i, "http://a.com/", wide.format(i)) for i in range(3)]
+    rows += [(i, "http://a.com/", f"<body><div class=x>Same words</div><div class=y>Own words {i}</div>" + "".join(f"<h4 class={c}>{c}{i}</h4>" for c in "abcdefghij")) for i in range(3, 8)]
+    want = html_texts(spark, rows)
+    assert want[5] == "Own words 5 a5 b5 c5 d5 e5 f5 g5 h5 i5 j5" and want[1].count("cell 1") == 390 and html_texts(spark, rows[::-1]) == want
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    for limit in (8_000_000, -1):
+        assert {r.page_id: r.text for r in html_extract.extract_text(pages, broadcast_bytes=limit).collect()} == want
+
+
 def test_html_on_articles(spark):
     import html
 

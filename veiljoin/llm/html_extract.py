@@ -1,15 +1,15 @@
-"""HTML extraction by wrapper induction: same-host pages are aligned by simple tree matching.
+"""HTML extraction by wrapper induction: same-host pages are aligned by the paths of their nodes.
 
-Per host, pages merge into one template tree. A node whose text is the same on all pages is
-template; a node whose text varies is content. Templates merge in any order, so tasks merge
-what they read and a few rounds merge the rest; no task ever holds the pages of a host.
+Per host, a path whose text is the same on all pages that have it is template; one whose text varies is
+content. Paths are counted in a table by host and path, so there is no limit to them, and no task ever
+holds the pages of a host.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,10 +42,8 @@ DROP_WORDS = {
     "notices", "popup", "promo", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar",
 }
 DEPTH = 200
-#: A template node is constant if this many pages had it and all had one text.
+#: A slot is constant if this many pages of its host have it and all have one text.
 SUPPORT = 3
-#: Template nodes a host may have; beyond it those on the fewest pages go, and their text counts as content.
-TEMPLATE_NODES = 400
 
 
 class Node:
@@ -111,105 +109,64 @@ def own_text(node: Node) -> str:
     return " ".join(" ".join(x for x in node.parts if isinstance(x, str)).split())
 
 
-def shape(node: Node) -> list:
-    """[label, pages, text hash or None if it varies, children, nodes]: siblings that look alike are one child."""
-    kids: list[list] = []
-    groups: list[list[Node]] = []
+def text_hash(text: str) -> int:
+    """A signed 64-bit hash; an empty text has 0."""
+    return xxhash.xxh3_64_intdigest(text) - 2**63 if text else 0
+
+
+def groups(node: Node) -> list[list[Node]]:
+    """Child elements in order; leaves that stand together and look alike are one group."""
+    out: list[list[Node]] = []
     for x in node.parts:
         if isinstance(x, Node):
-            if groups and groups[-1][0].label == x.label and not any(isinstance(y, Node) for y in (*x.parts, *groups[-1][0].parts)):
-                groups[-1].append(x)
+            if out and out[-1][0].label == x.label and not any(isinstance(y, Node) for y in (*x.parts, *out[-1][0].parts)):
+                out[-1].append(x)
             else:
-                groups.append([x])
-    for group in groups:
-        kid = shape(group[0])
-        if len(group) > 1:
-            kid[2] = text_hash("\n".join(map(own_text, group)))
-        kids.append([*kid, group])
-    return [node.label, 1, text_hash(own_text(node)), kids]
-
-
-def text_hash(text: str) -> str:
-    return xxhash.xxh3_64_hexdigest(text) if text else ""
-
-
-def matching(a: list, b: list) -> int:
-    """Simple tree matching: the largest number of node pairs, roots and order kept."""
-    if a[0] != b[0]:
-        return 0
-    before = [0] * (len(b[3]) + 1)
-    for x in a[3]:
-        now = [0]
-        for j, y in enumerate(b[3]):
-            now.append(max(now[-1], before[j + 1], before[j] + matching(x, y)))
-        before = now
-    return 1 + before[-1]
-
-
-def pairs(a: list, b: list) -> list[tuple[list | None, list | None]]:
-    """Children of two matched nodes, aligned; None where one has no partner."""
-    x, y = a[3], b[3]
-    if [k[0] for k in x] == [k[0] for k in y]:
-        return list(zip(x, y))
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    gain = [[matching(p, q) for q in y] for p in x]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + gain[i][j])
-    out: list[tuple[list | None, list | None]] = []
-    i = j = 0
-    while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and gain[i][j] and best[i][j] == best[i + 1][j + 1] + gain[i][j]:
-            out.append((x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif j == len(y) or i < len(x) and best[i][j] == best[i + 1][j]:
-            out.append((x[i], None))
-            i += 1
-        else:
-            out.append((None, y[j]))
-            j += 1
+                out.append([x])
     return out
 
 
-def bare(t: list) -> list:
-    return [t[0], t[1], t[2], [bare(k) for k in t[3]]]
-
-
-def merge(a: list, b: list) -> list:
-    """Two templates as one: pages add up, a text that differs becomes varying."""
-    kids = [merge(p, q) if p and q else bare(p or q) for p, q in pairs(a, b)]
-    return [a[0], a[1] + b[1], a[2] if a[2] == b[2] else None, kids]
-
-
-def count(t: list) -> int:
-    return 1 + sum(map(count, t[3]))
+def slots(root: Node) -> dict[int, list[Node]]:
+    """The nodes of each slot of a page, a slot being a path from the root.
 
-
-def prune(t: list) -> list:
-    floor = 1
-    while count(t) > TEMPLATE_NODES:
-        floor *= 2
-        keep = lambda x, f=floor: [x[0], x[1], x[2], [keep(k) for k in x[3] if k[1] >= f]]
-        t = keep(t)
-    return t
+    A node has a path in each of three views, so that an insertion elsewhere leaves one as it was: a step is the
+    label and its number among like siblings from the first on (view 0), from the last on (1), or the labels beside it (2).
+    The last two bits of a slot are its view. What never holds text has no slots.
+    """
+    out: dict[int, list[Node]] = {}
+    todo = [(root, (0, 0, 0))]
+    while todo:
+        node, path = todo.pop()
+        found = groups(node)
+        names = [g[0].label for g in found]
+        total, seen = Counter(names), Counter()
+        for i, group in enumerate(found):
+            name = names[i]
+            seen[name] += 1
+            if group[0].drop:
+                continue
+            steps = (seen[name], seen[name] - total[name], f"{names[i - 1] if i else ''} {names[i + 1] if i + 1 < len(names) else ''}")
+            below = tuple((xxhash.xxh3_64_intdigest(f"{up} {name} {step}") >> 2 << 2 | view) - 2**63 for view, (up, step) in enumerate(zip(path, steps)))
+            for slot in below:
+                out.setdefault(slot, []).extend(group)
+            if len(group) == 1:
+                todo.append((group[0], below))
+    return out
 
 
-def mark(template: list, page: list) -> None:
-    """Set ``constant`` on the page's nodes that the template knows as constant and whose text is that of the template."""
-    for t, p in pairs(template, page):
-        if t and p:
-            if t[2] and t[2] == p[2] and t[1] >= SUPPORT:
-                for node in p[4]:
-                    node.constant = True
-            mark(t, p)
+def slot_texts(root: Node) -> Iterator[tuple[int, int]]:
+    """The slots of a page with the hashes of their texts."""
+    for slot, nodes in slots(root).items():
+        texts = list(map(own_text, nodes))
+        yield slot, text_hash("\n".join(texts) if any(texts) else "")
 
 
-def varies(t: list) -> bool:
-    """Whether the template has content: a varying text outside what never holds any."""
-    name, *words = t[0].split(".")
-    if name in DROP_TAGS or not DROP_WORDS.isdisjoint(words):
-        return False
-    return t[2] is None or any(map(varies, t[3]))
+def mark(root: Node, constants: set[int]) -> None:
+    """Set ``constant`` on the nodes of the host's constant slots."""
+    for slot, nodes in slots(root).items():
+        if slot in constants:
+            for node in nodes:
+                node.constant = True
 
 
 def regions(node: Node) -> list[Node]:
@@ -232,11 +189,11 @@ def collect(node: Node, out: list[str]) -> None:
             out.append(" ")
 
 
-def main_text(source: str | None, template: list | None = None) -> str:
-    """The article's blocks joined by one space; markup, menus, adverts and the host's template are left out."""
+def main_text(source: str | None, constants: set[int] | None = None) -> str:
+    """The article's blocks joined by one space; markup, menus, adverts and the host's constant slots are left out."""
     root = parse(source or "")
-    if template and varies(template):
-        mark(template, shape(root))
+    if constants:
+        mark(root, constants)
     out: list[str] = []
     for region in regions(root) or [root]:
         collect(region, out)
@@ -245,80 +202,92 @@ def main_text(source: str | None, template: list | None = None) -> str:
 
 
 def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A template for each host among a task's pages."""
-    held: dict[str, list] = {}
+    """host, slot, smallest and largest text hash, pages: sums over a task's pages, several rows a slot where memory asks for it."""
+    held: dict[tuple[str, int], list[int]] = {}
 
     def flush() -> pd.DataFrame:
-        out = pd.DataFrame({"host": list(held), "template": [json.dumps(t) for t in held.values()]}, dtype=object)
+        out = pd.DataFrame([(*k, *v) for k, v in held.items()], columns=["host", "slot", "low", "high", "pages"])
         held.clear()
         return out
 
     for batch in batches:
         for host, source in zip(batch["host"], batch["html"]):
-            t = shape(parse(source))
-            held[host] = prune(merge(held[host], t)) if host in held else bare(t)
-            if len(held) >= 2000:
+            for slot, text in slot_texts(parse(source)):
+                found = held.get((host, slot))
+                if found:
+                    found[0], found[1], found[2] = min(found[0], text), max(found[1], text), found[2] + 1
+                else:
+                    held[host, slot] = [text, text, 1]
+            if len(held) >= 100_000:
                 yield flush()
     if held:
         yield flush()
 
 
-def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Merge the templates of a host, which stand next to each other."""
-    host, held = None, None
-    for batch in batches:
-        done = []
-        for h, text in zip(batch["host"], batch["template"]):
-            t = json.loads(text)
-            if h == host:
-                held = prune(merge(held, t))
-            else:
-                if held:
-                    done.append((host, json.dumps(held)))
-                host, held = h, t
-        yield pd.DataFrame(done, columns=["host", "template"], dtype=object)
-    if held:
-        yield pd.DataFrame([(host, json.dumps(held))], columns=["host", "template"], dtype=object)
-
-
-def host_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", fan_in: int = 64) -> DataFrame:
-    """host, template (as JSON): one row a host. Rows without a host have no template.
+def host_constants(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, slot: the slots that at least ``SUPPORT`` pages of the host have, all with one text.
 
-    Templates of a host meet in two rounds, first by host and one of ``fan_in`` groups, then by host.
+    Every slot of every page counts, so neither the order nor the splits of the pages matter. A host none of whose
+    slots varies (from the first on as well as from the last on) has no constants, as nothing tells its content apart.
     """
     rows = pages.select(url_host(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).filter("host <> ''")
-    found = rows.mapInPandas(induce, "host string, template string").withColumn("group", F.pmod(F.spark_partition_id(), F.lit(fan_in)))
-    for key in (["host", "group"], ["host"]):
-        found = found.repartition(*key).sortWithinPartitions(*key).mapInPandas(
-            lambda it: combine(x[["host", "template"]] for x in it), "host string, template string"
-        ).withColumn("group", F.lit(0))
-    return found.select("host", "template")
+    found = rows.mapInPandas(induce, "host string, slot long, low long, high long, pages long").groupBy("host", "slot")
+    found = found.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages"))
+    found = save(found.filter(f"low <> high or low <> 0 and pages >= {SUPPORT}"), "html-slots")
+    varying = found.filter("low <> high and slot & 3 < 2").groupBy("host").agg(F.countDistinct(F.expr("slot & 3")).alias("views")).filter("views = 2")
+    return found.filter("low = high").join(varying, "host", "left_semi").select("host", "slot")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 8_000_000) -> DataFrame:
     """One row per input row: id, url, text.
 
     Null and empty html have empty text; a page without a host is extracted without a template.
-    Repeated pages give repeated rows; an empty table gives an empty result. Templates are
-    broadcast up to ``broadcast_bytes`` in all, else joined by host through a shuffle that may split a hot host.
+    Repeated pages give repeated rows; an empty table gives an empty result. Constants go to all tasks if they have
+    up to ``broadcast_bytes`` in all, else pages are shuffled to those of their host, a hot host's to several tasks.
     """
-    templates = save(host_templates(pages, url_col, html_col), "html-templates")
-    size = templates.agg(F.coalesce(F.sum(F.length("template") + F.length("host")), F.lit(0)).alias("n")).first().n
-    if size <= broadcast_bytes:
-        templates = F.broadcast(templates)
+    constants = save(host_constants(pages, url_col, html_col), "html-constants")
+    size = constants.agg(F.coalesce(F.sum(F.length("host") + 8), F.lit(0)).alias("n")).first().n
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", url_host(F.col("url")))
+    kind = dict(pages.select(F.col(id_col)).dtypes)[id_col]
 
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list] = {}
-        for batch in batches:
-            out = []
-            for host, source, template in zip(batch["host"], batch["html"], batch["template"]):
-                if template and host not in known:
-                    if len(known) >= 1000:
-                        known.clear()
-                    known[host] = json.loads(template)
-                out.append(main_text(source, known[host] if template else None))
-            yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": out})
+    if size <= broadcast_bytes:
+        known: dict[str, set[int]] = {}
+        for r in constants.toLocalIterator():
+            known.setdefault(r.host, set()).add(r.slot)
 
-    kind = dict(pages.select(F.col(id_col)).dtypes)[id_col]
-    return rows.join(templates, "host", "left").mapInPandas(texts, f"id {kind}, url string, text string").withColumnRenamed("id", id_col)
+        def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                out = [main_text(source, known.get(host)) for host, source in zip(batch["host"], batch["html"])]
+                yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": out})
+
+        return rows.mapInPandas(texts, f"id {kind}, url string, text string").withColumnRenamed("id", id_col)
+
+    def sorted_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A host's constants stand before its pages, so a task holds those of one host."""
+        at, held = None, set()
+        for batch in batches:
+            keep, out = [], []
+            for host, is_page, slot, source in zip(batch["host"], batch["is_page"], batch["slot"], batch["html"]):
+                if host != at:
+                    at, held = host, set()
+                if is_page:
+                    out.append(main_text(source, held))
+                else:
+                    held.add(int(slot))
+                keep.append(is_page)
+            pages_only = batch[keep]
+            yield pd.DataFrame({"id": pages_only["id"].array, "url": pages_only["url"].array, "text": out}, dtype=object)
+
+    split = 16
+    rows = rows.select(
+        F.coalesce("host", F.lit("")).alias("host"), F.pmod(F.xxhash64("id", "url", "html"), F.lit(split)).cast("int").alias("part"),
+        F.lit(True).alias("is_page"), F.lit("0").alias("slot"), F.col("id").cast("string"), "url", "html",
+    )
+    copies = constants.select(
+        "host", F.explode(F.sequence(F.lit(0), F.lit(split - 1))).alias("part"), F.lit(False).alias("is_page"), F.col("slot").cast("string"),
+        F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"),
+    )
+    key = ["host", "part"]
+    joined = rows.unionByName(copies).repartition(*key).sortWithinPartitions(*key, "is_page")
+    found = joined.mapInPandas(sorted_texts, "id string, url string, text string")
+    return found.select(F.col("id").cast(kind).alias(id_col), "url", "text")
