@@ -162,6 +162,19 @@ def test_html_finds_templates_of_any_size_in_any_order(spark):
         assert {r.page_id: r.text for r in html_extract.extract_text(pages, broadcast_bytes=limit).collect()} == want
 
 
+def test_html_keeps_what_copies_or_articles_share(spark):
+    rows = []
+    for host, tag in (("a.com", "article"), ("b.com", "div class=x")):
+        page = lambda i, more="": f"<head><script>{len(rows)}</script></head><body><{tag}><h1>Title {i}</h1><p>Text {i}</p>{more}</{tag.split()[0]}>"  # noqa: B023, E731
+        for i in (0, 0, 0, 1, 2):
+            rows.append((len(rows), f"http://{host}/", page(i, "<h2>Head</h2><ul>Own words</ul>" if i == 0 else "")))
+    for i in range(4):
+        rows.append((20 + i, "http://c.com/", f"<body><h5>Menu words</h5><article><h1>Title {i}</h1><h2>References</h2><p>Text {i}</p></article>"))
+    out = html_texts(spark, rows)
+    assert out[0] == out[2] == out[5] == out[7] == "Title 0 Text 0 Head Own words" and out[8] == "Title 1 Text 1"
+    assert out[21] == "Title 1 References Text 1"
+
+
 def test_html_on_articles(spark):
     import html
 

@@ -42,7 +42,7 @@ DROP_WORDS = {
     "notices", "popup", "promo", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar",
 }
 DEPTH = 200
-#: A slot is constant if this many pages of its host have it and all have one text.
+#: A slot is constant if this many distinct pages of its host have it and all have one text.
 SUPPORT = 3
 
 
@@ -131,7 +131,8 @@ def slots(root: Node) -> dict[int, list[Node]]:
 
     A node has a path in each of three views, so that an insertion elsewhere leaves one as it was: a step is the
     label and its number among like siblings from the first on (view 0), from the last on (1), or the labels beside it (2).
-    The last two bits of a slot are its view. What never holds text has no slots.
+    The last two bits of a slot are its view. What never holds text has no slots; an article or main element is one slot
+    with all that it holds, since nothing in it is cut as constant.
     """
     out: dict[int, list[Node]] = {}
     todo = [(root, (0, 0, 0))]
@@ -149,7 +150,7 @@ def slots(root: Node) -> dict[int, list[Node]]:
             below = tuple((xxhash.xxh3_64_intdigest(f"{up} {name} {step}") >> 2 << 2 | view) - 2**63 for view, (up, step) in enumerate(zip(path, steps)))
             for slot in below:
                 out.setdefault(slot, []).extend(group)
-            if len(group) == 1:
+            if len(group) == 1 and not is_region(group[0]):
                 todo.append((group[0], below))
     return out
 
@@ -157,10 +158,17 @@ def slots(root: Node) -> dict[int, list[Node]]:
 def slot_texts(root: Node) -> Iterator[tuple[int, int]]:
     """The slots of a page with the hashes of their texts."""
     for slot, nodes in slots(root).items():
-        texts = list(map(own_text, nodes))
+        texts = [whole_text(x) if is_region(x) else own_text(x) for x in nodes]
         yield slot, text_hash("\n".join(texts) if any(texts) else "")
 
 
+def whole_text(node: Node) -> str:
+    """All the text that a node may give, before any is marked as constant."""
+    out: list[str] = []
+    collect(node, out)
+    return " ".join("".join(out).split())
+
+
 def mark(root: Node, constants: set[int]) -> None:
     """Set ``constant`` on the nodes of the host's constant slots."""
     for slot, nodes in slots(root).items():
@@ -169,12 +177,16 @@ def mark(root: Node, constants: set[int]) -> None:
                 node.constant = True
 
 
+def is_region(node: Node) -> bool:
+    return node.tag in ("article", "main") or node.label.endswith(".main")
+
+
 def regions(node: Node) -> list[Node]:
     """The outermost article or main elements that can hold text."""
     out: list[Node] = []
     for x in node.parts:
         if isinstance(x, Node) and not x.drop:
-            out += [x] if x.tag in ("article", "main") or x.label.endswith(".main") else regions(x)
+            out += [x] if is_region(x) else regions(x)
     return out
 
 
@@ -190,20 +202,24 @@ def collect(node: Node, out: list[str]) -> None:
 
 
 def main_text(source: str | None, constants: set[int] | None = None) -> str:
-    """The article's blocks joined by one space; markup, menus, adverts and the host's constant slots are left out."""
+    """The article's blocks joined by one space; markup, menus and adverts are left out, and without an article or main element the host's constant slots."""
     root = parse(source or "")
-    if constants:
+    found = regions(root)
+    if constants and not found:
         mark(root, constants)
     out: list[str] = []
-    for region in regions(root) or [root]:
+    for region in found or [root]:
         collect(region, out)
         out.append(" ")
     return " ".join(html.unescape("".join(out)).split())
 
 
 def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """host, slot, smallest and largest text hash, pages: sums over a task's pages, several rows a slot where memory asks for it."""
-    held: dict[tuple[str, int], list[int]] = {}
+    """host, slot, smallest and largest text hash, hashes of up to ``SUPPORT`` distinct pages: over a task's pages, several rows a slot where memory asks for it.
+
+    Pages are one if the text that they may give is one, so copies whose scripts or menus differ count once.
+    """
+    held: dict[tuple[str, int], list] = {}
 
     def flush() -> pd.DataFrame:
         out = pd.DataFrame([(*k, *v) for k, v in held.items()], columns=["host", "slot", "low", "high", "pages"])
@@ -212,12 +228,16 @@ def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for host, source in zip(batch["host"], batch["html"]):
-            for slot, text in slot_texts(parse(source)):
+            root = parse(source)
+            page = text_hash(whole_text(root))
+            for slot, text in slot_texts(root):
                 found = held.get((host, slot))
                 if found:
-                    found[0], found[1], found[2] = min(found[0], text), max(found[1], text), found[2] + 1
+                    found[0], found[1] = min(found[0], text), max(found[1], text)
+                    if len(found[2]) < SUPPORT and page not in found[2]:
+                        found[2].append(page)
                 else:
-                    held[host, slot] = [text, text, 1]
+                    held[host, slot] = [text, text, [page]]
             if len(held) >= 100_000:
                 yield flush()
     if held:
@@ -225,14 +245,14 @@ def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def host_constants(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, slot: the slots that at least ``SUPPORT`` pages of the host have, all with one text.
+    """host, slot: the slots that at least ``SUPPORT`` distinct pages of the host have, all with one text.
 
     Every slot of every page counts, so neither the order nor the splits of the pages matter. A host none of whose
     slots varies (from the first on as well as from the last on) has no constants, as nothing tells its content apart.
     """
     rows = pages.select(url_host(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).filter("host <> ''")
-    found = rows.mapInPandas(induce, "host string, slot long, low long, high long, pages long").groupBy("host", "slot")
-    found = found.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("pages").alias("pages"))
+    found = rows.mapInPandas(induce, "host string, slot long, low long, high long, pages array<long>").groupBy("host", "slot")
+    found = found.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("pages"))
     found = save(found.filter(f"low <> high or low <> 0 and pages >= {SUPPORT}"), "html-slots")
     varying = found.filter("low <> high and slot & 3 < 2").groupBy("host").agg(F.countDistinct(F.expr("slot & 3")).alias("views")).filter("views = 2")
     return found.filter("low = high").join(varying, "host", "left_semi").select("host", "slot")
