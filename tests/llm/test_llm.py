@@ -175,6 +175,19 @@ def test_html_keeps_what_copies_or_articles_share(spark):
     assert out[21] == "Title 1 References Text 1"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content has-sidebar"><p>Own words</p></div>', '<main class="with-sidebar"><p>Own words</p></main>', '<article class="post comments-open">Own words</article>',
+        '<div id="page" class="nav-fixed"><article>Own words</article></div>', '<div class="no-banner">Own words</div>', '<div class="notice"><article>Own words</article></div>x',
+        '<article class="notice">Own words</article>', '<div class="social"><p>Own words<div class="share">Us</div></div><div class="nav-menu">Menu</div>',
+        '<article><p>Own words</article><div class="comments"><article class="comment">No</article></div><div class="cookie-notice">x</div>',
+    ],
+)
+def test_html_drops_by_whole_tokens(page):
+    assert html_extract.main_text(f"<body><nav>Menu</nav>{page}") == "Own words"
+
+
 def test_html_on_articles(spark):
     import html
 

@@ -34,7 +34,7 @@ CLOSES_P = {
     "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul",
 }
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: What never holds an article's text, by tag and by words of class, id and role.
+#: What never holds an article's text, by tag and by whole tokens of class, id and role (see ``spare`` for what stays in spite of its tokens).
 DROP_TAGS = {"head", "nav", "header", "footer", "aside", "form", "menu", "button", "dialog", *RAW} - {"noscript"}
 DROP_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary",
@@ -47,14 +47,18 @@ SUPPORT = 3
 
 
 class Node:
-    """An element: its label, whether it can hold article text, and its texts and child elements in order."""
+    """An element: its label, whether it can hold article text, and its texts and child elements in order.
 
-    __slots__ = ("tag", "label", "drop", "parts", "constant")
+    ``named`` says that tokens of class, id and role speak against it: one of DROP_WORDS, or some of them joined by hyphens.
+    """
+
+    __slots__ = ("tag", "label", "drop", "named", "parts", "constant")
 
     def __init__(self, tag: str, names: str = "") -> None:
         words = sorted(set(WORDS.findall(names.lower()))) if names else []
         self.tag, self.label = tag, ".".join([tag, *words])
-        self.drop = tag in DROP_TAGS or not DROP_WORDS.isdisjoint(words) and tag not in ("html", "body")
+        self.named = tag not in DROP_TAGS and tag not in ("html", "body") and any(DROP_WORDS.issuperset(re.split("[-_]+", x)) for x in names.lower().split())
+        self.drop = tag in DROP_TAGS or self.named
         self.parts: list[str | Node] = []
         self.constant = False
 
@@ -126,40 +130,44 @@ def groups(node: Node) -> list[list[Node]]:
     return out
 
 
-def slots(root: Node) -> dict[int, list[Node]]:
+def slots(root: Node, kept: set[int] | None = None) -> dict[int, list[Node]]:
     """The nodes of each slot of a page, a slot being a path from the root.
 
     A node has a path in each of three views, so that an insertion elsewhere leaves one as it was: a step is the
     label and its number among like siblings from the first on (view 0), from the last on (1), or the labels beside it (2).
-    The last two bits of a slot are its view. What never holds text has no slots; an article or main element is one slot
-    with all that it holds, since nothing in it is cut as constant.
+    The last two bits of a slot are its view. What its tag drops has no slots; an article or main element is one slot
+    with all that it holds, since nothing in it is cut as constant. ``kept`` takes the slots that no dropped block holds.
     """
     out: dict[int, list[Node]] = {}
-    todo = [(root, (0, 0, 0))]
+    todo = [(root, (0, 0, 0), False)]
     while todo:
-        node, path = todo.pop()
+        node, path, dropped = todo.pop()
         found = groups(node)
         names = [g[0].label for g in found]
         total, seen = Counter(names), Counter()
         for i, group in enumerate(found):
             name = names[i]
             seen[name] += 1
-            if group[0].drop:
+            if group[0].tag in DROP_TAGS:
                 continue
             steps = (seen[name], seen[name] - total[name], f"{names[i - 1] if i else ''} {names[i + 1] if i + 1 < len(names) else ''}")
             below = tuple((xxhash.xxh3_64_intdigest(f"{up} {name} {step}") >> 2 << 2 | view) - 2**63 for view, (up, step) in enumerate(zip(path, steps)))
+            gone = dropped or group[0].drop
             for slot in below:
                 out.setdefault(slot, []).extend(group)
+            if kept is not None and not gone:
+                kept.update(below)
             if len(group) == 1 and not is_region(group[0]):
-                todo.append((group[0], below))
+                todo.append((group[0], below, gone))
     return out
 
 
-def slot_texts(root: Node) -> Iterator[tuple[int, int]]:
-    """The slots of a page with the hashes of their texts."""
-    for slot, nodes in slots(root).items():
+def slot_texts(root: Node) -> Iterator[tuple[int, int, bool]]:
+    """The slots of a page with the hashes of their texts, and whether the text is kept if it varies."""
+    kept: set[int] = set()
+    for slot, nodes in slots(root, kept).items():
         texts = [whole_text(x) if is_region(x) else own_text(x) for x in nodes]
-        yield slot, text_hash("\n".join(texts) if any(texts) else "")
+        yield slot, text_hash("\n".join(texts) if any(texts) else ""), slot in kept
 
 
 def whole_text(node: Node) -> str:
@@ -181,6 +189,42 @@ def is_region(node: Node) -> bool:
     return node.tag in ("article", "main") or node.label.endswith(".main")
 
 
+def spare(root: Node) -> None:
+    """Keep blocks that were to go for their tokens only: those without which the page has no article or main element,
+    and those with more than half of the text that the page can give (constants and what its tag drops aside)."""
+    if not regions(root):
+        hold_region(root)
+    sizes: dict[int, int] = {}
+    total = varying_size(root, sizes)
+    todo = [root]
+    while todo:
+        for x in todo.pop().parts:
+            if isinstance(x, Node) and 2 * sizes.get(id(x), 0) > total:
+                x.drop = False
+                todo.append(x)
+
+
+def hold_region(node: Node) -> bool:
+    """Keep what holds an article or main element; whether ``node`` does or is one."""
+    held = is_region(node)
+    for x in node.parts:
+        if isinstance(x, Node) and x.tag not in DROP_TAGS:
+            held |= hold_region(x)
+    if held:
+        node.drop = False
+    return held
+
+
+def varying_size(node: Node, sizes: dict[int, int]) -> int:
+    """Characters of text below a node that aren't constant; ``sizes`` takes those of all nodes by ``id``."""
+    size = 0 if node.constant else len(own_text(node))
+    for x in node.parts:
+        if isinstance(x, Node) and x.tag not in DROP_TAGS:
+            size += varying_size(x, sizes)
+    sizes[id(node)] = size
+    return size
+
+
 def regions(node: Node) -> list[Node]:
     """The outermost article or main elements that can hold text."""
     out: list[Node] = []
@@ -204,9 +248,10 @@ def collect(node: Node, out: list[str]) -> None:
 def main_text(source: str | None, constants: set[int] | None = None) -> str:
     """The article's blocks joined by one space; markup, menus and adverts are left out, and without an article or main element the host's constant slots."""
     root = parse(source or "")
-    found = regions(root)
-    if constants and not found:
+    if constants and not regions(root):
         mark(root, constants)
+    spare(root)
+    found = regions(root)
     out: list[str] = []
     for region in found or [root]:
         collect(region, out)
@@ -215,29 +260,30 @@ def main_text(source: str | None, constants: set[int] | None = None) -> str:
 
 
 def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """host, slot, smallest and largest text hash, hashes of up to ``SUPPORT`` distinct pages: over a task's pages, several rows a slot where memory asks for it.
+    """host, slot, smallest and largest text hash, hashes of up to ``SUPPORT`` distinct pages: over a task's pages, and whether the slot is kept; several rows a slot where memory asks for it.
 
     Pages are one if the text that they may give is one, so copies whose scripts or menus differ count once.
     """
     held: dict[tuple[str, int], list] = {}
 
     def flush() -> pd.DataFrame:
-        out = pd.DataFrame([(*k, *v) for k, v in held.items()], columns=["host", "slot", "low", "high", "pages"])
+        out = pd.DataFrame([(*k, *v) for k, v in held.items()], columns=["host", "slot", "low", "high", "pages", "kept"])
         held.clear()
         return out
 
     for batch in batches:
         for host, source in zip(batch["host"], batch["html"]):
             root = parse(source)
+            spare(root)
             page = text_hash(whole_text(root))
-            for slot, text in slot_texts(root):
+            for slot, text, kept in slot_texts(root):
                 found = held.get((host, slot))
                 if found:
-                    found[0], found[1] = min(found[0], text), max(found[1], text)
+                    found[0], found[1], found[3] = min(found[0], text), max(found[1], text), found[3] or kept
                     if len(found[2]) < SUPPORT and page not in found[2]:
                         found[2].append(page)
                 else:
-                    held[host, slot] = [text, text, [page]]
+                    held[host, slot] = [text, text, [page], kept]
             if len(held) >= 100_000:
                 yield flush()
     if held:
@@ -251,10 +297,10 @@ def host_constants(pages: DataFrame, url_col: str = "url", html_col: str = "html
     slots varies (from the first on as well as from the last on) has no constants, as nothing tells its content apart.
     """
     rows = pages.select(url_host(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).filter("host <> ''")
-    found = rows.mapInPandas(induce, "host string, slot long, low long, high long, pages array<long>").groupBy("host", "slot")
-    found = found.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("pages"))
+    found = rows.mapInPandas(induce, "host string, slot long, low long, high long, pages array<long>, kept boolean").groupBy("host", "slot")
+    found = found.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("pages"), F.max("kept").alias("kept"))
     found = save(found.filter(f"low <> high or low <> 0 and pages >= {SUPPORT}"), "html-slots")
-    varying = found.filter("low <> high and slot & 3 < 2").groupBy("host").agg(F.countDistinct(F.expr("slot & 3")).alias("views")).filter("views = 2")
+    varying = found.filter("low <> high and kept and slot & 3 < 2").groupBy("host").agg(F.countDistinct(F.expr("slot & 3")).alias("views")).filter("views = 2")
     return found.filter("low = high").join(varying, "host", "left_semi").select("host", "slot")
 
 
