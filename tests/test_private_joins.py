@@ -125,3 +125,18 @@ def test_exact_sample_and_sources(spark, tmp_path):
     r = read_results(spark, str(tmp_path / "r"), "Dimension").first()
     assert (r.series, r.low, r.high) == ("A", 0.4, 0.7)
     assert read_csv(spark, str(tmp_path / "r"), "Dimension").columns[0] == "id"
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("sweep_") and n not in SQL))
+def test_sweeps_report_25_trials(spark, monkeypatch, name):
+    from veiljoin.plans import sweep
+
+    def fake(spark, grid, trial):
+        return spark.createDataFrame([s | {"value": float(s["trial"])} for s in grid])
+
+    monkeypatch.setattr(sweep, "run_grid", fake)
+    out = QUERIES[name](spark, SF).collect()
+    assert out and all(r.low == r.high > 0 for r in out)
+    for r in out:
+        middle = r.ratio if name == "sweep_regression" else r.median
+        assert middle == pytest.approx(2 * r.low) and (name == "sweep_regression" or r.median == 12)

@@ -643,13 +643,19 @@ def vector_split(spark, d):
     return ex.Split(train.select("id", "label").cache(), private.select("id", *centred).cache(), test.select("id", "label", *centred).cache())
 
 
+def median_trials(spark: SparkSession, settings: list[dict], trial: Callable[..., float]) -> DataFrame:
+    """Median and quartile offsets of 25 trials of each setting."""
+    found = sweep.run_grid(spark, [s | {"trial": t} for s in settings for t in range(25)], trial)
+    return sweep.median_offsets(found, list(settings[0]))
+
+
 @query()
 def sweep_sign_variants(spark, d):
     split = sign_split(spark, d)
     p = selection.feature_distribution(split.private, "x", 0.5, SEED)
     settings = [s | {"k": 3} for s in sweep.grid(variant=sweep.SEVEN_VARIANTS, eps=[3.0])]
     rows = [{"kind": s["variant"][0], "selection_type": s["variant"][1], "k": s["k"], "eps": s["eps"]} for s in settings]
-    return sweep.run_grid(spark, rows, lambda **s: ex.sign_trial(split, FLAGS, p, "BernoulliNB", **s))
+    return median_trials(spark, rows, lambda **s: ex.sign_trial(split, FLAGS, p, "BernoulliNB", **s))
 
 
 @query()
@@ -657,52 +663,50 @@ def sweep_sign_columns(spark, d):
     split = sign_split(spark, d)
     p = selection.feature_distribution(split.private, "x", 0.5, SEED)
     rows = [{"kind": a, "selection_type": b, "k": k, "eps": 3.0} for k in (1, 3, FLAGS) for a, b in sweep.four_variants(k, FLAGS)]
-    return sweep.run_grid(spark, rows, lambda **s: ex.sign_trial(split, FLAGS, p, "BernoulliNB", **s))
+    return median_trials(spark, rows, lambda **s: ex.sign_trial(split, FLAGS, p, "BernoulliNB", **s))
 
 
 @query()
 def sweep_pca(spark, d):
     split = vector_split(spark, d)
-    return sweep.run_grid(spark, sweep.grid(dim=[2, 4], eps=[2.0, 8.0]), lambda **s: ex.pca_trial(split, 4.0, "GaussianNB", **s))
+    return median_trials(spark, sweep.grid(dim=[2, 4], eps=[2.0, 8.0]), lambda **s: ex.pca_trial(split, 4.0, "GaussianNB", **s))
 
 
 @query()
 def sweep_pca_iterations(spark, d):
     split = vector_split(spark, d)
-    return sweep.run_grid(spark, sweep.grid(iterations=[1, 5, 20], dim=[3], eps=[8.0]), lambda **s: ex.pca_trial(split, 4.0, "GaussianNB", **s))
+    return median_trials(spark, sweep.grid(iterations=[1, 5, 20], dim=[3], eps=[8.0]), lambda **s: ex.pca_trial(split, 4.0, "GaussianNB", **s))
 
 
 @query()
 def sweep_fourier(spark, d):
     split = vector_split(spark, d)
-    return sweep.run_grid(spark, sweep.grid(data_type=["Real Clip", "Binary"], dim=[DIM], eps=[2.0, 8.0]), lambda **s: ex.fourier_trial(split, 8, "GaussianNB", **s))
+    return median_trials(spark, sweep.grid(data_type=["Real Clip", "Binary"], dim=[DIM], eps=[2.0, 8.0]), lambda **s: ex.fourier_trial(split, 8, "GaussianNB", **s))
 
 
 @query()
 def sweep_bandwidths(spark, d):
     split = vector_split(spark, d)
-    return sweep.run_grid(spark, sweep.grid(bandwidth=[0.5, 1.0, 2.0], dim=[8]), lambda **s: ex.open_trial(split, 8, "GaussianNB", "fourier", **s))
+    return median_trials(spark, sweep.grid(bandwidth=[0.5, 1.0, 2.0], dim=[8]), lambda **s: ex.open_trial(split, 8, "GaussianNB", "fourier", **s))
 
 
 @query()
 def sweep_without_privacy(spark, d):
     split = vector_split(spark, d)
-    return sweep.run_grid(spark, sweep.grid(method=["fourier", "pca"], dim=[2, 6]), lambda **s: ex.open_trial(split, 8, "GaussianNB", **s))
+    return median_trials(spark, sweep.grid(method=["fourier", "pca"], dim=[2, 6]), lambda **s: ex.open_trial(split, 8, "GaussianNB", **s))
 
 
 @query()
 def sweep_regression(spark, d):
-    """Median error of three trials by estimator and eps, as a ratio to the error of the inner join."""
+    """Median error of 25 trials by estimator and eps and its quartile offsets, as ratios to the error of the inner join."""
     rows = orders(spark, d).withColumnRenamed("o_orderkey", "id")
     train = prep.hash_split(rows, "id", 0.5, SEED)
     private = returned(spark, d).withColumnRenamed("o_orderkey", "id")
     known, whole = rows.filter(train).cache(), rows.join(private, "id").cache()
     part, test = whole.filter(train).select("id", "y").cache(), whole.filter(~train).cache()
     control = regression.mse(test, regression.predict(["x"], regression.ols(whole.filter(train), ["x"], "y")), "y").first().mse
-    found = sweep.run_grid(
-        spark, sweep.grid(estimator=["plain", "oblivious", "datadep"], eps=[2.0, 4.0], trial=[0, 1, 2]), lambda **s: ex.regression_trial(known, part, test, sens=100.0, **s)
-    )
-    return sweep.ratio_to_control(sweep.median_offsets(found, ["estimator", "eps"]), ["estimator", "eps"], control, "median")
+    found = median_trials(spark, sweep.grid(estimator=["plain", "oblivious", "datadep"], eps=[2.0, 4.0]), lambda **s: ex.regression_trial(known, part, test, sens=100.0, **s))
+    return found.select("estimator", "eps", *[(F.col(c) / control).alias(n) for c, n in (("median", "ratio"), ("low", "low"), ("high", "high"))])
 
 
 @query(
