@@ -188,6 +188,13 @@ def test_html_drops_by_whole_tokens(page):
     assert html_extract.main_text(f"<body><nav>Menu</nav>{page}") == "Own words"
 
 
+@pytest.mark.parametrize("raw", ["<svg class=x />", "<math/>", "<select>", "<noscript>", "<svg>", "<template>", "<svg width=1/><svg>x</svg>", "<iframe src=x>", "<math><mi>x</mi></math>"])
+def test_html_goes_on_after_raw_elements(raw):
+    assert html_extract.main_text(f"<article><p>Own {raw} words</p></article><div>x</div>") == "Own words"
+    assert html_extract.main_text("<article>Own words<script>no") == "Own words"
+    assert html_extract.main_text("<article><svg>Own <svg><svg>x</svg>y</svg><select> words <select><option>x</select>") == "Own words"
+
+
 def test_html_on_articles(spark):
     import html
 

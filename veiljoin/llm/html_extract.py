@@ -24,6 +24,11 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORDS = re.compile(r"[a-z]+")
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "noembed", "template", "svg", "math", "select"}
+#: Raw elements that take the rest of the page if they aren't closed, as browsers read them; of others only the tag goes.
+TO_END = {"script", "style", "title", "textarea"}
+RAW_TAGS = {
+    tag: re.compile(rf"<(/){tag}\b[^>]*>?" if tag in TO_END else rf"<(/?){tag}(?![^\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?", re.I) for tag in RAW
+}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd",
@@ -63,10 +68,23 @@ class Node:
         self.constant = False
 
 
+def closing(tag: str, source: str) -> dict[int, int]:
+    """The end of each opening tag of a raw element that is closed, with the end of its closing tag."""
+    out, opened = {}, []
+    for m in RAW_TAGS[tag].finditer(source):
+        if not m[1]:
+            if not (tag in ("svg", "math") and m[2].endswith("/")):
+                opened.append(m.end())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
 def parse(source: str) -> Node:
     """A tree of block elements; inline tags leave only their text. Unclosed and stray tags are tolerated."""
     root = Node("#")
     stack, at, size = [root], 0, len(source)
+    closed: dict[str, dict[int, int]] = {}
     while at < size:
         m = TAG.search(source, at)
         if not m:
@@ -84,8 +102,13 @@ def parse(source: str) -> Node:
                     pass
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(source, at)
-            at = end.end() if end else size
+            if tag in TO_END:
+                end = RAW_TAGS[tag].search(source, at)
+                at = end.end() if end else size
+            elif not (tag in ("svg", "math") and m[3].endswith("/")):
+                if tag not in closed:
+                    closed[tag] = closing(tag, source)
+                at = closed[tag].get(at, at)
             continue
         if tag == "br" or tag == "hr":
             stack[-1].parts.append(" ")
