@@ -140,3 +140,20 @@ def test_sweeps_report_25_trials(spark, monkeypatch, name):
     for r in out:
         middle = r.ratio if name == "sweep_regression" else r.median
         assert middle == pytest.approx(2 * r.low) and (name == "sweep_regression" or r.median == 12)
+
+
+@pytest.mark.parametrize("name", ["pca_gram", "pca_centred", "private_pca_laplace", "private_pca_power"])
+def test_pca_queries_take_all_cells(spark, name):
+    assert QUERIES[name](spark, SF).count() == 64
+
+
+def test_sweeps_and_models_take_all_cells(spark, monkeypatch):
+    from veiljoin.plans import experiments, queries
+
+    split, cells = queries.vector_split(spark, SF), []
+    assert {len(r.x) for t in (split.private, split.test) for r in t.collect()} == {64}
+    monkeypatch.setattr(experiments, "fourier_trial", lambda split, n, *_, **s: cells.append(n) or 0.0)
+    monkeypatch.setattr(experiments, "open_trial", lambda split, n, *_, **s: cells.append(n) or 0.0)
+    for name in ("sweep_fourier", "sweep_bandwidths", "sweep_without_privacy"):
+        QUERIES[name](spark, SF).collect()
+    assert set(cells) == {64}

@@ -70,6 +70,18 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return df.select(F.col("vec_id").alias("id"), F.when(F.col("label") == 9, 1).otherwise(-1).alias("label"), x.alias("x"))
 
 
+def whole_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The two classes 4 and 9 as -1 and 1, with all cells as doubles."""
+    df = read_table(spark, d, "embeddings").filter(F.col("label").isin(4, 9))
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    return df.select(F.col("vec_id").alias("id"), F.when(F.col("label") == 9, 1).otherwise(-1).alias("label"), x.alias("x"))
+
+
+def width(df: DataFrame) -> int:
+    """The number of cells of the vectors ``x``; 0 without rows."""
+    return df.agg(F.coalesce(F.max(F.size("x")), F.lit(0)).alias("n")).first().n
+
+
 VECTORS = "SELECT vec_id AS id, CASE WHEN label = 9 THEN 1 ELSE -1 END AS label, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS x FROM embeddings WHERE label IN (4, 9)"
 
 
@@ -467,22 +479,23 @@ def basis_rows(spark, basis):
 
 @query()
 def pca_gram(spark, d):
-    return basis_rows(spark, features.pca(vectors(spark, d), "x", 3))
+    return basis_rows(spark, features.pca(whole_vectors(spark, d), "x", 3))
 
 
 @query()
 def pca_centred(spark, d):
-    return basis_rows(spark, features.pca(vectors(spark, d), "x", 3, centred=True))
+    return basis_rows(spark, features.pca(whole_vectors(spark, d), "x", 3, centred=True))
 
 
 @query()
 def private_pca_laplace(spark, d):
-    return basis_rows(spark, features.private_pca_laplace(vectors(spark, d), "x", 3, 5.0, np.full(8, 4.0), SEED))
+    df = whole_vectors(spark, d)
+    return basis_rows(spark, features.private_pca_laplace(df, "x", 3, 5.0, np.full(width(df), 4.0), SEED))
 
 
 @query()
 def private_pca_power(spark, d):
-    return basis_rows(spark, features.private_pca_power(vectors(spark, d), "x", 3, 5.0, 10, 4.0, SEED))
+    return basis_rows(spark, features.private_pca_power(whole_vectors(spark, d), "x", 3, 5.0, 10, 4.0, SEED))
 
 
 SAMPLE100 = f"SELECT id, x FROM ({VECTORS}) ORDER BY {q.u('id', 'bandwidth')}, id LIMIT 100"
@@ -495,7 +508,7 @@ def bandwidth_median(spark, d):
 
 @query()
 def bandwidth_mean_of_medians(spark, d):
-    return bandwidth.mean_of_medians(vectors(spark, d), "id", "x", 3, 60, SEED)
+    return bandwidth.mean_of_medians(whole_vectors(spark, d), "id", "x", 3, 60, SEED)
 
 
 @query(f"SELECT round(sqrt(8 * var_pop(v)), 6) AS bandwidth FROM ({CELLS})")
@@ -551,8 +564,8 @@ def mse(spark, d):
 TRAIN_TEST = f"WITH v AS (SELECT *, {q.u('id', 'split')} < 0.8e0 AS train FROM ({VECTORS}))"
 
 
-def train_test(spark, d):
-    df = vectors(spark, d)
+def train_test(spark, d, source=vectors):
+    df = source(spark, d)
     df = df.withColumns({"train": prep.hash_split(df, "id", 0.8, SEED), "label": F.col("label").cast("double")})
     return df.filter("train").drop("train"), df.filter("not train").drop("train")
 
@@ -578,7 +591,7 @@ def accuracy(spark, d):
 
 @query()
 def model_accuracies(spark, d):
-    train, test = (x.cache() for x in train_test(spark, d))
+    train, test = (x.cache() for x in train_test(spark, d, whole_vectors))
     rows = [(name, float(regression.accuracy(fit(train)(test), F.col("predicted"), "label").first().accuracy or 0.0)) for name, fit in models.MODELS.items()]
     return spark.createDataFrame(rows, "model string, accuracy double")
 
@@ -637,8 +650,8 @@ def sign_split(spark, d):
 
 def vector_split(spark, d):
     """Known labels of all training vectors; the private side lacks three in four of one class."""
-    train, test = train_test(spark, d)
-    centred = [F.transform("x", lambda v, i: v - F.get(F.lit(list(map(float, features.column_means(train, "x", 8)[0]))), i)).alias("x")]
+    train, test = train_test(spark, d, whole_vectors)
+    centred = [F.transform("x", lambda v, i: v - F.get(F.lit(list(map(float, features.column_means(train, "x", width(train))[0]))), i)).alias("x")]
     private = prep.biased_subsample(train, "id", "label", 1.0, SEED)
     return ex.Split(train.select("id", "label").cache(), private.select("id", *centred).cache(), test.select("id", "label", *centred).cache())
 
@@ -681,19 +694,22 @@ def sweep_pca_iterations(spark, d):
 @query()
 def sweep_fourier(spark, d):
     split = vector_split(spark, d)
-    return median_trials(spark, sweep.grid(data_type=["Real Clip", "Binary"], dim=[DIM], eps=[2.0, 8.0]), lambda **s: ex.fourier_trial(split, 8, "GaussianNB", **s))
+    cells = width(split.test)
+    return median_trials(spark, sweep.grid(data_type=["Real Clip", "Binary"], dim=[DIM], eps=[2.0, 8.0]), lambda **s: ex.fourier_trial(split, cells, "GaussianNB", **s))
 
 
 @query()
 def sweep_bandwidths(spark, d):
     split = vector_split(spark, d)
-    return median_trials(spark, sweep.grid(bandwidth=[0.5, 1.0, 2.0], dim=[8]), lambda **s: ex.open_trial(split, 8, "GaussianNB", "fourier", **s))
+    cells = width(split.test)
+    return median_trials(spark, sweep.grid(bandwidth=[0.5, 1.0, 2.0], dim=[8]), lambda **s: ex.open_trial(split, cells, "GaussianNB", "fourier", **s))
 
 
 @query()
 def sweep_without_privacy(spark, d):
     split = vector_split(spark, d)
-    return median_trials(spark, sweep.grid(method=["fourier", "pca"], dim=[2, 6]), lambda **s: ex.open_trial(split, 8, "GaussianNB", **s))
+    cells = width(split.test)
+    return median_trials(spark, sweep.grid(method=["fourier", "pca"], dim=[2, 6]), lambda **s: ex.open_trial(split, cells, "GaussianNB", **s))
 
 
 @query()
