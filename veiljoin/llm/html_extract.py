@@ -1,27 +1,31 @@
-"""HTML extraction by wrapper induction: same-host pages are aligned by the paths of their nodes.
+"""HTML extraction by wrapper induction: pages of a host are aligned with one of them by simple tree matching.
 
-Per host, a path whose text is the same on all pages that have it is template; one whose text varies is
-content. Paths are counted in a table by host and path, so there is no limit to them, and no task ever
-holds the pages of a host.
+The alignment gives every node a slot of the host's template. Slots are counted in a table by host:
+those with one text on all pages are the template, those whose text varies are content. No task holds
+the pages of a host, and neither the order nor the splits of the pages matter.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
+import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import bound_batches, save, small
 from .url_filter import url_host
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?|<[!?][^>]*>?", re.S)
-NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+NAMES = re.compile(r"""(?<![\w:.-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORDS = re.compile(r"[a-z]+")
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "noembed", "template", "svg", "math", "select"}
 #: Raw elements that take the rest of the page if they aren't closed, as browsers read them; of others only the tag goes.
@@ -39,33 +43,26 @@ CLOSES_P = {
     "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul",
 }
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: What never holds an article's text, by tag and by whole tokens of class, id and role (see ``spare`` for what stays in spite of its tokens).
+#: What never holds an article's text, by tag and by whole tokens of class, id and role (see ``Page.spare`` for what stays in spite of its tokens).
 DROP_TAGS = {"head", "nav", "header", "footer", "aside", "form", "menu", "button", "dialog", *RAW} - {"noscript"}
 DROP_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary",
     "contentinfo", "cookie", "cookies", "consent", "disqus", "footer", "menu", "nav", "navbar", "navigation", "newsletter", "notice",
     "notices", "popup", "promo", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar",
 }
-DEPTH = 200
 #: A slot is constant if this many distinct pages of its host have it and all have one text.
 SUPPORT = 3
+#: Weights of a matched node in the alignment, and of its text being the same besides.
+MATCH, EQUAL = 2, 1
+#: Slots that a task holds before it hands them on.
+HELD_SLOTS = 100_000
+#: Pages of a host that go to one task where templates are too large to be sent to all.
+PART_PAGES = 2000
 
 
-class Node:
-    """An element: its label, whether it can hold article text, and its texts and child elements in order.
-
-    ``named`` says that tokens of class, id and role speak against it: one of DROP_WORDS, or some of them joined by hyphens.
-    """
-
-    __slots__ = ("tag", "label", "drop", "named", "parts", "constant")
-
-    def __init__(self, tag: str, names: str = "") -> None:
-        words = sorted(set(WORDS.findall(names.lower()))) if names else []
-        self.tag, self.label = tag, ".".join([tag, *words])
-        self.named = tag not in DROP_TAGS and tag not in ("html", "body") and any(DROP_WORDS.issuperset(re.split("[-_]+", x)) for x in names.lower().split())
-        self.drop = tag in DROP_TAGS or self.named
-        self.parts: list[str | Node] = []
-        self.constant = False
+def text_hash(text: str) -> int:
+    """A signed 64-bit hash; an empty text has 0."""
+    return xxhash.xxh3_64_intdigest(text) - 2**63 if text else 0
 
 
 def closing(tag: str, source: str) -> dict[int, int]:
@@ -80,303 +77,548 @@ def closing(tag: str, source: str) -> dict[int, int]:
     return out
 
 
-def parse(source: str) -> Node:
-    """A tree of block elements; inline tags leave only their text. Unclosed and stray tags are tolerated."""
-    root = Node("#")
-    stack, at, size = [root], 0, len(source)
-    closed: dict[str, dict[int, int]] = {}
-    while at < size:
-        m = TAG.search(source, at)
-        if not m:
-            stack[-1].parts.append(source[at:])
-            break
-        if m.start() > at:
-            stack[-1].parts.append(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            if tag not in INLINE and any(x.tag == tag for x in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
-            continue
-        if tag in RAW:
-            if tag in TO_END:
-                end = RAW_TAGS[tag].search(source, at)
-                at = end.end() if end else size
-            elif not (tag in ("svg", "math") and m[3].endswith("/")):
-                if tag not in closed:
-                    closed[tag] = closing(tag, source)
-                at = closed[tag].get(at, at)
-            continue
-        if tag == "br" or tag == "hr":
-            stack[-1].parts.append(" ")
-        if tag in VOID or tag in INLINE and not m[3]:
-            continue
-        node = Node(tag, " ".join(x.strip("\"'") for x in NAMES.findall(m[3])) if m[3] else "")
-        if tag in INLINE and not node.drop:
-            continue
-        if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in CLOSES_P or stack[k].tag in ("td", "th", "li", "body"):
-                    break
-        while stack[-1].tag in SAME.get(tag, ()):
-            stack.pop()
-        stack[-1].parts.append(node)
-        if len(stack) < DEPTH and not m[3].endswith("/"):
-            stack.append(node)
-    return root
+def speaks_against(names: str) -> bool:
+    """Whether a token is one of DROP_WORDS, or some of them joined by hyphens."""
+    return any(DROP_WORDS.issuperset(re.split("[-_]+", x)) for x in names.lower().split())
 
 
-def own_text(node: Node) -> str:
-    return " ".join(" ".join(x for x in node.parts if isinstance(x, str)).split())
+class Page:
+    """A page's block elements as lists in page order, a parent before its children; node 0 is the page itself.
 
+    ``parts`` has the texts with their nodes, also in page order, and (node, None) where an element begins or
+    ends; inline tags leave only their text. ``named`` says that tokens of class, id and role speak against an
+    element: one of DROP_WORDS, or some of them joined by hyphens; ``drop`` that it can't hold article text.
+    Unclosed and stray tags are tolerated.
+    """
 
-def text_hash(text: str) -> int:
-    """A signed 64-bit hash; an empty text has 0."""
-    return xxhash.xxh3_64_intdigest(text) - 2**63 if text else 0
+    def __init__(self, source: str | None) -> None:
+        self.tag: list[str] = ["#"]
+        self.label: list[str] = ["#"]
+        self.parent: list[int] = [-1]
+        self.named: list[bool] = [False]
+        self.parts: list[tuple[int, str | None]] = []
+        self._parse(source or "")
+        size = len(self.tag)
+        self.drop = [t in DROP_TAGS or n for t, n in zip(self.tag, self.named)]
+        self.region = [t in ("article", "main") or x.endswith(".main") for t, x in zip(self.tag, self.label)]
+        self.never = [False] * size  # in an element that its tag drops
+        texts: list[list[str]] = [[] for _ in range(size)]
+        for k in range(1, size):
+            self.never[k] = self.never[self.parent[k]] or self.tag[k] in DROP_TAGS
+        for k, text in self.parts:
+            if text is not None:
+                texts[k].append(text)
+        self.own = [" ".join(" ".join(x).split()) if x else "" for x in texts]
+        self.within = [False] * size  # below an article or main element
+        for k in range(1, size):
+            self.within[k] = self.within[self.parent[k]] or self.region[self.parent[k]]
+
+    def _open(self, tag: str, names: str, top: int) -> int:
+        words = sorted(set(WORDS.findall(names.lower()))) if names else []
+        self.tag.append(tag)
+        self.label.append(".".join([tag, *words]))
+        self.named.append(bool(words) and tag not in DROP_TAGS and tag not in ("html", "body") and speaks_against(names))
+        self.parent.append(top)
+        self.parts.append((len(self.tag) - 1, None))
+        return len(self.tag) - 1
+
+    def _parse(self, source: str) -> None:
+        stack, at, size = [0], 0, len(source)
+        opened: Counter[str] = Counter()
+        closed: dict[str, dict[int, int]] = {}
+
+        def close() -> str:
+            node = stack.pop()
+            self.parts.append((node, None))
+            opened[self.tag[node]] -= 1
+            return self.tag[node]
+
+        while at < size:
+            m = TAG.search(source, at)
+            if not m:
+                self.parts.append((stack[-1], source[at:]))
+                break
+            if m.start() > at:
+                self.parts.append((stack[-1], source[at : m.start()]))
+            at = m.end()
+            tag = (m[2] or "").lower()
+            if not tag:
+                continue
+            if m[1]:
+                if opened[tag] > 0:
+                    while close() != tag:
+                        pass
+                continue
+            if tag in RAW:
+                if tag in TO_END:
+                    end = RAW_TAGS[tag].search(source, at)
+                    at = end.end() if end else size
+                elif not (tag in ("svg", "math") and m[3].endswith("/")):
+                    if tag not in closed:
+                        closed[tag] = closing(tag, source)
+                    at = closed[tag].get(at, at)
+                continue
+            if tag == "br" or tag == "hr":
+                self.parts.append((stack[-1], " "))
+            if tag in VOID:
+                continue
+            names = " ".join(x.strip("\"'") for x in NAMES.findall(m[3])) if m[3] else ""
+            if tag in INLINE and not opened[tag] and not speaks_against(names):
+                continue
+            if self.tag[stack[-1]] == "head":
+                close()
+            if tag in CLOSES_P:
+                for k in range(len(stack) - 1, 0, -1):
+                    if self.tag[stack[k]] == "p":
+                        while len(stack) > k:
+                            close()
+                        break
+                    if self.tag[stack[k]] in CLOSES_P or self.tag[stack[k]] in ("td", "th", "li", "body"):
+                        break
+            while self.tag[stack[-1]] in SAME.get(tag, ()):
+                close()
+            node = self._open(tag, names, stack[-1])
+            if not m[3].endswith("/"):
+                stack.append(node)
+                opened[tag] += 1
+
+    def spare(self, constant: list[bool] | None = None) -> None:
+        """Keep blocks that were to go for their tokens only: those without which the page has no article or main element,
+        and those with more than half of the text that its article and main elements, or else the page, can give (constants
+        and what its tag drops aside)."""
+        size = len(self.tag)
+        if not any(self.regions()):
+            held = list(self.region)
+            for k in range(size - 1, 0, -1):
+                if held[k] and not self.never[k]:
+                    held[self.parent[k]] = True
+                    self.drop[k] = False
+        sizes, regions = self.sizes(constant), self.regions()
+        tops = [k for k in range(1, size) if regions[k] and not regions[self.parent[k]]] or [0]
+        half, inside = sum(sizes[k] for k in tops) / 2, [False] * size
+        for k in tops:
+            inside[k] = True
+        for k in range(1, size):
+            inside[k] = inside[k] or inside[self.parent[k]]
+            if self.named[k] and inside[k] and sizes[k] > half:
+                self.drop[k] = False
+
+    def sizes(self, constant: list[bool] | None = None, dropped: list[bool] | None = None) -> list[int]:
+        """Characters of text below each node, without constants, what its tag drops, and what is ``dropped``."""
+        out = [0] * len(self.tag)
+        for k in range(len(self.tag) - 1, -1, -1):
+            if self.never[k] or dropped and dropped[k]:
+                out[k] = 0
+                continue
+            if not (constant and constant[k]):
+                out[k] += len(self.own[k])
+            if k:
+                out[self.parent[k]] += out[k]
+        return out
 
+    def dropped(self) -> list[bool]:
+        """Whether a node or one that holds it is dropped."""
+        out = list(self.drop)
+        for k in range(1, len(out)):
+            out[k] = out[k] or out[self.parent[k]]
+        return out
 
-def groups(node: Node) -> list[list[Node]]:
-    """Child elements in order; leaves that stand together and look alike are one group."""
-    out: list[list[Node]] = []
-    for x in node.parts:
-        if isinstance(x, Node):
-            if out and out[-1][0].label == x.label and not any(isinstance(y, Node) for y in (*x.parts, *out[-1][0].parts)):
-                out[-1].append(x)
-            else:
-                out.append([x])
-    return out
+    def regions(self) -> list[bool]:
+        """Whether a node is in an article or main element that can hold text."""
+        out, gone = [False] * len(self.tag), self.dropped()
+        for k in range(1, len(out)):
+            out[k] = not gone[k] and (self.region[k] or out[self.parent[k]])
+        return out
+
+    def text(self, keep: list[bool]) -> str:
+        """The texts of the nodes to keep, blocks joined by one space."""
+        out = []
+        for k, text in self.parts:
+            if text is None:
+                if self.tag[k] not in INLINE or keep[k]:
+                    out.append(" ")
+            elif keep[k]:
+                out.append(text)
+        return " ".join(html.unescape("".join(out)).split())
 
 
-def slots(root: Node, kept: set[int] | None = None) -> dict[int, list[Node]]:
-    """The nodes of each slot of a page, a slot being a path from the root.
+class Tree:
+    """A page's tree for the alignment, without what its tag drops: children, text hashes, and subtrees' hashes and weights.
 
-    A node has a path in each of three views, so that an insertion elsewhere leaves one as it was: a step is the
-    label and its number among like siblings from the first on (view 0), from the last on (1), or the labels beside it (2).
-    The last two bits of a slot are its view. What its tag drops has no slots; an article or main element is one slot
-    with all that it holds, since nothing in it is cut as constant. ``kept`` takes the slots that no dropped block holds.
+    An article or main element is one node with all that it holds, since nothing in it is cut as constant.
     """
-    out: dict[int, list[Node]] = {}
-    todo = [(root, (0, 0, 0), False)]
-    while todo:
-        node, path, dropped = todo.pop()
-        found = groups(node)
-        names = [g[0].label for g in found]
-        total, seen = Counter(names), Counter()
-        for i, group in enumerate(found):
-            name = names[i]
-            seen[name] += 1
-            if group[0].tag in DROP_TAGS:
-                continue
-            steps = (seen[name], seen[name] - total[name], f"{names[i - 1] if i else ''} {names[i + 1] if i + 1 < len(names) else ''}")
-            below = tuple((xxhash.xxh3_64_intdigest(f"{up} {name} {step}") >> 2 << 2 | view) - 2**63 for view, (up, step) in enumerate(zip(path, steps)))
-            gone = dropped or group[0].drop
-            for slot in below:
-                out.setdefault(slot, []).extend(group)
-            if kept is not None and not gone:
-                kept.update(below)
-            if len(group) == 1 and not is_region(group[0]):
-                todo.append((group[0], below, gone))
-    return out
 
+    def __init__(self, page: Page) -> None:
+        self.label = page.label
+        size = len(page.tag)
+        self.children: list[list[int]] = [[] for _ in range(size)]
+        for k in range(1, size):
+            if not page.never[k] and not page.within[k]:
+                self.children[page.parent[k]].append(k)
+        self.whole, self.weight = [0] * size, [0] * size
+        self.own = list(page.own)
+        for k in range(size - 1, 0, -1):
+            if page.within[k] and not page.never[k] and self.own[k]:
+                up = page.parent[k]
+                self.own[up] = f"{self.own[k]}\n{self.own[up]}" if self.own[up] else self.own[k]
+        self.text = [text_hash(x) for x in self.own]
+        for k in range(size - 1, -1, -1):
+            if not page.never[k] and not page.within[k]:
+                below = self.children[k]
+                self.whole[k] = hash((page.label[k], self.text[k], *[self.whole[x] for x in below]))
+                self.weight[k] = MATCH + EQUAL + sum(self.weight[x] for x in below)
+
+
+class Matching:
+    """Simple tree matching of two trees: the heaviest alignment that keeps labels, parents and order.
+
+    Subtrees that are the same in structure and text weigh all that they can, so they are matched without a look
+    inside. The rest of two lists of children is aligned row by row, each row at once; weights of other
+    pairs of subtrees are found once for each two contents.
+    """
 
-def slot_texts(root: Node) -> Iterator[tuple[int, int, bool]]:
-    """The slots of a page with the hashes of their texts, and whether the text is kept if it varies."""
-    kept: set[int] = set()
-    for slot, nodes in slots(root, kept).items():
-        texts = [whole_text(x) if is_region(x) else own_text(x) for x in nodes]
-        yield slot, text_hash("\n".join(texts) if any(texts) else ""), slot in kept
+    def __init__(self, a: Tree, b: Tree) -> None:
+        self.a, self.b = a, b
+        self.known: dict[tuple[int, int], int] = {}
+
+    def value(self, i: int, j: int) -> int:
+        """The weight of matching node i of a with node j of b, which have one label."""
+        a, b = self.a, self.b
+        if a.whole[i] == b.whole[j]:
+            return a.weight[i]
+        own = MATCH + EQUAL * (a.text[i] == b.text[j])
+        if not a.children[i] or not b.children[j]:
+            return own
+        key = (a.whole[i], b.whole[j])
+        found = self.known.get(key)
+        if found is None:
+            found = self.known[key] = own + self.lists(a.children[i], b.children[j], None)
+        return found
+
+    def lists(self, x: list[int], y: list[int], pairs: list[tuple[int, int]] | None) -> int:
+        """The weight of the best alignment of two lists of children; ``pairs`` takes it."""
+        a, b = self.a, self.b
+        low, total = 0, 0
+        while low < min(len(x), len(y)) and a.whole[x[low]] == b.whole[y[low]]:
+            total += a.weight[x[low]]
+            low += 1
+        high = 0
+        while high < min(len(x), len(y)) - low and a.whole[x[-1 - high]] == b.whole[y[-1 - high]]:
+            total += a.weight[x[-1 - high]]
+            high += 1
+        if pairs is not None:
+            pairs += zip(x[:low], y[:low])
+            pairs += zip(x[len(x) - high :], y[len(y) - high :])
+        x, y = x[low : len(x) - high], y[low : len(y) - high]
+        if x and y:
+            if pairs is None and len(x) * len(y) <= 64:
+                return total + self.few(x, y)
+            total += self.aligned(x, y, pairs) if len(x) <= len(y) else self.aligned(y, x, pairs, True)
+        return total
+
+    def few(self, x: list[int], y: list[int]) -> int:
+        """The weight of the best alignment of two short lists."""
+        a, b = self.a.label, self.b.label
+        row = [0] * (len(y) + 1)
+        for i in x:
+            last = 0
+            for n, j in enumerate(y, 1):
+                now = row[n]
+                if a[i] == b[j]:
+                    last += self.value(i, j)
+                row[n], last = max(now, row[n - 1], last), now
+        return row[-1]
+
+    def aligned(self, x: list[int], y: list[int], pairs: list[tuple[int, int]] | None, swapped: bool = False) -> int:
+        s, t = (self.b, self.a) if swapped else (self.a, self.b)
+        labels: dict[str, list[int]] = {}
+        texts: dict[tuple[str, int], list[int]] = {}
+        inner: dict[str, list[int]] = {}
+        for n, j in enumerate(y):
+            labels.setdefault(t.label[j], []).append(n)
+            texts.setdefault((t.label[j], t.text[j]), []).append(n)
+            if t.children[j]:
+                inner.setdefault(t.label[j], []).append(n)
+        alike: dict[str, np.ndarray] = {}
+        for label, found in labels.items():
+            alike[label] = np.zeros(len(y), np.int32)
+            alike[label][found] = MATCH
+        none = np.zeros(len(y), np.int32)
+
+        def row(i: int) -> np.ndarray:
+            w, same = alike.get(s.label[i], none), texts.get((s.label[i], s.text[i]))
+            if same or s.children[i] and s.label[i] in inner:
+                w = w.copy()
+                w[same or []] += EQUAL
+                for n in inner.get(s.label[i], ()) if s.children[i] else ():
+                    w[n] = self.value(y[n], i) if swapped else self.value(i, y[n])
+            return w
+
+        def best(before: np.ndarray, w: np.ndarray) -> np.ndarray:
+            out = np.zeros_like(before)
+            np.maximum.accumulate(np.maximum(before[1:], before[:-1] + w), out=out[1:])
+            return out
+
+        step = math.isqrt(len(x)) + 1
+        held = [np.zeros(len(y) + 1, np.int32)]  # every step-th row; those between are found again on the way back
+        now = held[0]
+        for n, i in enumerate(x, 1):
+            now = best(now, row(i))
+            if n % step == 0:
+                held.append(now)
+        total = int(now[-1])
+        if pairs is None:
+            return total
+        j = len(y)
+        for block in range(len(held) - 1, -1, -1):
+            part = x[block * step : (block + 1) * step]
+            table = [held[block]]
+            for i in part:
+                table.append(best(table[-1], row(i)))
+            for n in range(len(part), 0, -1):
+                while j and table[n][j] > table[n - 1][j]:
+                    if table[n][j] == table[n][j - 1]:
+                        j -= 1
+                        continue
+                    j -= 1
+                    pairs.append((y[j], part[n - 1]) if swapped else (part[n - 1], y[j]))
+                    break
+        return total
+
+    def pairs(self) -> dict[int, int]:
+        """Nodes of b by those of a that are matched with them, from the roots on."""
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(limit, 20_000 + 8 * min(len(self.a.label), len(self.b.label))))
+        try:
+            out, todo = {0: 0}, [(0, 0)]
+            while todo:
+                i, j = todo.pop()
+                found: list[tuple[int, int]] = []
+                self.lists(self.a.children[i], self.b.children[j], found)
+                out.update(found)
+                todo += found
+            return out
+        finally:
+            sys.setrecursionlimit(limit)
+
+
+def inserted(*parts: object) -> int:
+    """An even signed number for an insertion."""
+    return (xxhash.xxh3_64_intdigest("\x1f".join(map(str, parts))) >> 1 << 1) - 2**63
+
+
+def slots(page: Page, seed: Tree) -> Iterator[tuple[int, int, tuple[int, ...], int, int]]:
+    """Each node of a page that has text with its slots and the slot of its parent: (node, text hash, slots, parent's, characters).
+
+    The slot of a node that matches one of the host's seed page is twice that one's number and 2. Others are insertions:
+    theirs tell the parent's slot, the label, and the number among insertions of that label from the first on and from
+    the last on, so that an insertion elsewhere leaves one of the two as it was. The last bit of a slot is its view.
+    """
+    tree = Tree(page)
+    match = Matching(tree, seed).pairs()
+    of: dict[int, tuple[int, ...]] = {0: (2,)}
+    todo = [0]
+    while todo:
+        k = todo.pop()
+        below, mine = tree.children[k], of[k]
+        added = []
+        for x in below:
+            if x in match:
+                of[x] = (2 * match[x] + 2,)
+            else:
+                added.append(x)
+        if added:
+            total, seen = Counter(tree.label[x] for x in added), Counter()
+            for x in added:
+                label = tree.label[x]
+                seen[label] += 1
+                of[x] = (inserted(mine[0], label, seen[label]), inserted(mine[-1], label, seen[label] - total[label] - 1) | 1)
+        if tree.text[k]:
+            yield k, tree.text[k], mine, of[page.parent[k]][0] if k else mine[0], len(tree.own[k])
+        todo += below
 
 
-def whole_text(node: Node) -> str:
-    """All the text that a node may give, before any is marked as constant."""
-    out: list[str] = []
-    collect(node, out)
-    return " ".join("".join(out).split())
+@lru_cache(maxsize=256)
+def seed_tree(source: str) -> Tree:
+    return Tree(Page(source))
 
 
-def mark(root: Node, constants: set[int]) -> None:
-    """Set ``constant`` on the nodes of the host's constant slots."""
-    for slot, nodes in slots(root).items():
-        if slot in constants:
-            for node in nodes:
-                node.constant = True
+def main_text(source: str | None, seed: str | None = None, constants: set[int] | frozenset[int] = frozenset()) -> str:
+    """The article's blocks joined by one space.
 
+    Out go the template's constant slots outside of article and main elements, and blocks of a dropped kind.
+    Of what stays, article and main elements are the text if they hold at least half of it, else all is.
+    """
+    page = Page(source)
+    size = len(page.tag)
+    constant = [False] * size
+    if constants and seed is not None:
+        for k, _, found, _, _ in slots(page, seed_tree(seed)):
+            constant[k] = not page.region[k] and not constants.isdisjoint(found)
+    page.spare(constant)
+    gone, region = page.dropped(), page.regions()
+    free = page.sizes(constant, gone)
+    outside = page.sizes(constant, [a or b for a, b in zip(gone, region)])
+    keep = [not gone[k] and not constant[k] for k in range(size)]
+    if any(region) and 2 * outside[0] <= free[0]:
+        keep = [a and b for a, b in zip(keep, region)]
+    return page.text(keep)
+
+
+class SlotCounts:
+    """Slots of the pages that a task has seen: smallest and largest text hash, hashes of up to SUPPORT distinct pages,
+    whether the text is kept if it varies, the slot of the parent, characters and rows."""
+
+    COLUMNS = ["host", "slot", "low", "high", "pages", "kept", "up", "chars", "n"]
+    SCHEMA = "host string, slot long, low long, high long, pages array<long>, kept boolean, up long, chars long, n long"
+
+    def __init__(self) -> None:
+        self.held: dict[tuple[str, int], list] = {}
+
+    def add(self, host: str, seed: str, source: str) -> None:
+        """Pages are one if the text that they may give is one, so copies whose scripts or menus differ count once."""
+        page = Page(source)
+        page.spare()
+        gone = page.dropped()
+        mark = text_hash(page.text([not x for x in gone]))
+        self._add(host, 0, 0, mark, False, 0, 0)
+        for k, text, found, up, chars in slots(page, seed_tree(seed)):
+            for slot in found:
+                self._add(host, slot, text, mark, not gone[k], up, chars)
+
+    def _add(self, host: str, slot: int, text: int, mark: int, kept: bool, up: int, chars: int) -> None:
+        x = self.held.get((host, slot))
+        if x is None:
+            self.held[host, slot] = [text, text, [mark], kept, up, chars, 1]
+            return
+        x[0], x[1], x[3], x[4] = min(x[0], text), max(x[1], text), x[3] or kept, min(x[4], up)
+        if len(x[2]) < SUPPORT and mark not in x[2]:
+            x[2].append(mark)
+        x[5] += chars
+        x[6] += 1
+
+    def flush(self) -> pd.DataFrame:
+        out = pd.DataFrame([(*key, *v) for key, v in self.held.items()], columns=self.COLUMNS)
+        self.held.clear()
+        return out
 
-def is_region(node: Node) -> bool:
-    return node.tag in ("article", "main") or node.label.endswith(".main")
 
+def seeds_of(rows: DataFrame) -> DataFrame:
+    """host, value: of each host the page whose hash is the smallest."""
+    hashed = rows.filter("host <> ''").select("host", "html", F.xxhash64("html").alias("h"))
+    least = hashed.groupBy("host").agg(F.min("h").alias("h"))
+    return save(hashed.join(small(save(least, "html-least")), ["host", "h"]).groupBy("host").agg(F.min("html").alias("value")), "html-seeds")
 
-def spare(root: Node) -> None:
-    """Keep blocks that were to go for their tokens only: those without which the page has no article or main element,
-    and those with more than half of the text that the page can give (constants and what its tag drops aside)."""
-    if not regions(root):
-        hold_region(root)
-    sizes: dict[int, int] = {}
-    total = varying_size(root, sizes)
-    todo = [root]
-    while todo:
-        for x in todo.pop().parts:
-            if isinstance(x, Node) and 2 * sizes.get(id(x), 0) > total:
-                x.drop = False
-                todo.append(x)
-
-
-def hold_region(node: Node) -> bool:
-    """Keep what holds an article or main element; whether ``node`` does or is one."""
-    held = is_region(node)
-    for x in node.parts:
-        if isinstance(x, Node) and x.tag not in DROP_TAGS:
-            held |= hold_region(x)
-    if held:
-        node.drop = False
-    return held
-
-
-def varying_size(node: Node, sizes: dict[int, int]) -> int:
-    """Characters of text below a node that aren't constant; ``sizes`` takes those of all nodes by ``id``."""
-    size = 0 if node.constant else len(own_text(node))
-    for x in node.parts:
-        if isinstance(x, Node) and x.tag not in DROP_TAGS:
-            size += varying_size(x, sizes)
-    sizes[id(node)] = size
-    return size
-
-
-def regions(node: Node) -> list[Node]:
-    """The outermost article or main elements that can hold text."""
-    out: list[Node] = []
-    for x in node.parts:
-        if isinstance(x, Node) and not x.drop:
-            out += [x] if is_region(x) else regions(x)
-    return out
 
+def per_host(
+    rows: DataFrame, model: DataFrame, start: Callable[[], object], visit: Callable, schema: str, broadcast_bytes: int,
+) -> DataFrame:
+    """``visit(state, batch, seeds, constants)`` over batches of rows (host, html, ...), with what the model has for the batch's hosts.
 
-def collect(node: Node, out: list[str]) -> None:
-    for x in node.parts:
-        if isinstance(x, str):
-            if not node.constant:
-                out.append(x)
-        elif not x.drop:
-            out.append(" ")
-            collect(x, out)
-            out.append(" ")
+    ``model`` has rows (host, is_slot, value): the host's seed page and its constant slots. It goes to all tasks if it
+    has up to ``broadcast_bytes`` in all; else rows are shuffled to those of their host, a large host's to several tasks.
+    ``visit`` yields frames; called with no batch at the end.
+    """
+    size = model.agg(F.coalesce(F.sum(F.length("host") + F.octet_length("value")), F.lit(0)).alias("n")).first().n
+    columns = rows.columns
 
+    if size <= broadcast_bytes:
+        seeds: dict[str, str] = {}
+        constants: dict[str, set[int]] = {}
+        for r in model.collect():
+            if r.is_slot:
+                constants.setdefault(r.host, set()).add(int(r.value))
+            else:
+                seeds[r.host] = r.value
 
-def main_text(source: str | None, constants: set[int] | None = None) -> str:
-    """The article's blocks joined by one space; markup, menus and adverts are left out, and without an article or main element the host's constant slots."""
-    root = parse(source or "")
-    if constants and not regions(root):
-        mark(root, constants)
-    spare(root)
-    found = regions(root)
-    out: list[str] = []
-    for region in found or [root]:
-        collect(region, out)
-        out.append(" ")
-    return " ".join(html.unescape("".join(out)).split())
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            state = start()
+            for batch in batches:
+                yield from visit(state, batch, seeds, constants)
+            yield from visit(state, None, seeds, constants)
 
+        return rows.mapInPandas(run, schema)
 
-def induce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """host, slot, smallest and largest text hash, hashes of up to ``SUPPORT`` distinct pages: over a task's pages, and whether the slot is kept; several rows a slot where memory asks for it.
+    def sorted_run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A host's model stands before its rows, so a task holds that of one host."""
+        state, at, seed, held = start(), None, {}, {}
+        for batch in batches:
+            for host, group in batch.groupby("host", sort=False, dropna=False):
+                if host != at:
+                    at, seed, held = host, {}, {}
+                mine = group["kind_"].to_numpy()
+                for value in group["value_"][mine == 0]:
+                    seed[host] = value
+                held.setdefault(host, set()).update(int(v) for v in group["value_"][mine == 1])
+                if (mine == 2).any():
+                    yield from visit(state, group.loc[mine == 2, columns], seed, held)
+        yield from visit(state, None, seed, held)
+
+    parts = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / PART_PAGES).cast("int").alias("parts_"))
+    parts = save(parts, "html-parts")
+    kinds = dict(rows.dtypes)
+    dealt = rows.join(small(parts), "host").select(
+        *columns, F.pmod(F.xxhash64(*columns), F.col("parts_")).cast("int").alias("part_"), F.lit(2).alias("kind_"), F.lit(None).cast("string").alias("value_")
+    )
+    copies = model.join(parts, "host").select(
+        *[F.col("host") if c == "host" else F.lit(None).cast(kinds[c]).alias(c) for c in columns],
+        F.explode(F.sequence(F.lit(0), F.col("parts_") - 1)).alias("part_"), F.col("is_slot").cast("int").alias("kind_"), F.col("value").alias("value_"),
+    )
+    return dealt.unionByName(copies).repartition("host", "part_").sortWithinPartitions("host", "part_", "kind_").mapInPandas(sorted_run, schema)
 
-    Pages are one if the text that they may give is one, so copies whose scripts or menus differ count once.
-    """
-    held: dict[tuple[str, int], list] = {}
 
-    def flush() -> pd.DataFrame:
-        out = pd.DataFrame([(*k, *v) for k, v in held.items()], columns=["host", "slot", "low", "high", "pages", "kept"])
-        held.clear()
-        return out
+def host_constants(rows: DataFrame, seeds: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """host, value: the slots that at least ``SUPPORT`` distinct pages of the host have, all with one text.
 
-    for batch in batches:
-        for host, source in zip(batch["host"], batch["html"]):
-            root = parse(source)
-            spare(root)
-            page = text_hash(whole_text(root))
-            for slot, text, kept in slot_texts(root):
-                found = held.get((host, slot))
-                if found:
-                    found[0], found[1], found[3] = min(found[0], text), max(found[1], text), found[3] or kept
-                    if len(found[2]) < SUPPORT and page not in found[2]:
-                        found[2].append(page)
-                else:
-                    held[host, slot] = [text, text, [page], kept]
-            if len(held) >= 100_000:
-                yield flush()
-    if held:
-        yield flush()
-
-
-def host_constants(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, slot: the slots that at least ``SUPPORT`` distinct pages of the host have, all with one text.
-
-    Every slot of every page counts, so neither the order nor the splits of the pages matter. A host none of whose
-    slots varies (from the first on as well as from the last on) has no constants, as nothing tells its content apart.
+    Constants of one parent that have more text than all that varies on a page of the host, on the average,
+    are an article that the host posted again rather than template; they stay.
     """
-    rows = pages.select(url_host(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).filter("host <> ''")
-    found = rows.mapInPandas(induce, "host string, slot long, low long, high long, pages array<long>, kept boolean").groupBy("host", "slot")
-    found = found.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("pages"), F.max("kept").alias("kept"))
-    found = save(found.filter(f"low <> high or low <> 0 and pages >= {SUPPORT}"), "html-slots")
-    varying = found.filter("low <> high and kept and slot & 3 < 2").groupBy("host").agg(F.countDistinct(F.expr("slot & 3")).alias("views")).filter("views = 2")
-    return found.filter("low = high").join(varying, "host", "left_semi").select("host", "slot")
+
+    def visit(counts: SlotCounts, batch: pd.DataFrame | None, seeds: dict, _: dict) -> Iterator[pd.DataFrame]:
+        if batch is not None:
+            for host, source in zip(batch["host"], batch["html"]):
+                if host in seeds:
+                    counts.add(host, seeds[host], source)
+        if counts.held and (batch is None or len(counts.held) >= HELD_SLOTS):
+            yield counts.flush()
+
+    model = seeds.select("host", F.lit(False).alias("is_slot"), "value")
+    found = per_host(rows.select("host", "html"), model, SlotCounts, visit, SlotCounts.SCHEMA, broadcast_bytes).groupBy("host", "slot").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.size(F.array_distinct(F.flatten(F.collect_set("pages")))).alias("pages"),
+        F.max("kept").alias("kept"), F.min("up").alias("up"), F.sum("chars").alias("chars"), F.sum("n").alias("n"),
+    )
+    found = save(found.filter(f"slot = 0 or low <> high or pages >= {SUPPORT}"), "html-slots")
+    first = F.col("slot").bitwiseAND(1) == 0
+    varies = F.when((F.col("low") != F.col("high")) & F.col("kept") & first, F.col("chars"))
+    hosts = found.groupBy("host").agg((F.coalesce(F.sum(varies), F.lit(0)) / F.max(F.when(F.col("slot") == 0, F.col("n")))).alias("varying"))
+    constant = found.filter("slot <> 0 and low = high")
+    blocks = constant.filter("kept").filter(first).groupBy("host", "up").agg(F.sum(F.col("chars") / F.col("n")).alias("block"))
+    again = blocks.join(hosts, "host").filter("block > varying").select("host", "up")
+    return constant.join(again, ["host", "up"], "left_anti").select("host", F.col("slot").cast("string").alias("value"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 8_000_000) -> DataFrame:
     """One row per input row: id, url, text.
 
     Null and empty html have empty text; a page without a host is extracted without a template.
-    Repeated pages give repeated rows; an empty table gives an empty result. Constants go to all tasks if they have
-    up to ``broadcast_bytes`` in all, else pages are shuffled to those of their host, a hot host's to several tasks.
+    Repeated pages give repeated rows; an empty table gives an empty result; other columns aren't read. Templates go to
+    all tasks if they have up to ``broadcast_bytes`` in all, else pages are shuffled to that of their host.
     """
-    constants = save(host_constants(pages, url_col, html_col), "html-constants")
-    size = constants.agg(F.coalesce(F.sum(F.length("host") + 8), F.lit(0)).alias("n")).first().n
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", url_host(F.col("url")))
+    bound_batches(pages.sparkSession)
+    rows = pages.select(
+        url_host(F.col(url_col)).alias("host"), F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"),
+        F.coalesce(F.col(html_col), F.lit("")).alias("html"),
+    )
     kind = dict(pages.select(F.col(id_col)).dtypes)[id_col]
+    seeds = seeds_of(rows)
+    constants = save(host_constants(rows.filter("host <> ''"), seeds, broadcast_bytes), "html-constants")
+    used = seeds.join(small(constants.select("host").distinct()), "host", "left_semi")
+    model = used.select("host", F.lit(False).alias("is_slot"), "value").unionByName(constants.select("host", F.lit(True).alias("is_slot"), "value"))
 
-    if size <= broadcast_bytes:
-        known: dict[str, set[int]] = {}
-        for r in constants.toLocalIterator():
-            known.setdefault(r.host, set()).add(r.slot)
+    def visit(_: object, batch: pd.DataFrame | None, seeds: dict, constants: dict) -> Iterator[pd.DataFrame]:
+        if batch is not None:
+            out = [main_text(source, seeds.get(h), constants.get(h, frozenset())) for h, source in zip(batch["host"], batch["html"])]
+            yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": out})
 
-        def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = [main_text(source, known.get(host)) for host, source in zip(batch["host"], batch["html"])]
-                yield pd.DataFrame({"id": batch["id"], "url": batch["url"], "text": out})
-
-        return rows.mapInPandas(texts, f"id {kind}, url string, text string").withColumnRenamed("id", id_col)
-
-    def sorted_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A host's constants stand before its pages, so a task holds those of one host."""
-        at, held = None, set()
-        for batch in batches:
-            keep, out = [], []
-            for host, is_page, slot, source in zip(batch["host"], batch["is_page"], batch["slot"], batch["html"]):
-                if host != at:
-                    at, held = host, set()
-                if is_page:
-                    out.append(main_text(source, held))
-                else:
-                    held.add(int(slot))
-                keep.append(is_page)
-            pages_only = batch[keep]
-            yield pd.DataFrame({"id": pages_only["id"].array, "url": pages_only["url"].array, "text": out}, dtype=object)
-
-    split = 16
-    rows = rows.select(
-        F.coalesce("host", F.lit("")).alias("host"), F.pmod(F.xxhash64("id", "url", "html"), F.lit(split)).cast("int").alias("part"),
-        F.lit(True).alias("is_page"), F.lit("0").alias("slot"), F.col("id").cast("string"), "url", "html",
-    )
-    copies = constants.select(
-        "host", F.explode(F.sequence(F.lit(0), F.lit(split - 1))).alias("part"), F.lit(False).alias("is_page"), F.col("slot").cast("string"),
-        F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"),
-    )
-    key = ["host", "part"]
-    joined = rows.unionByName(copies).repartition(*key).sortWithinPartitions(*key, "is_page")
-    found = joined.mapInPandas(sorted_texts, "id string, url string, text string")
+    found = per_host(rows, model, object, visit, "id string, url string, text string", broadcast_bytes)
     return found.select(F.col("id").cast(kind).alias(id_col), "url", "text")
