@@ -22,8 +22,6 @@ SAMPLE_ROWS = (4000, 6000)
 STEMS = range(3, 13)
 #: An entry needs this many labelled-1 rows and this z score of its share there against elsewhere.
 MIN_ROWS, MIN_Z = 3, 4.0
-#: The lexicon's size at most.
-MAX_ENTRIES = 2000
 #: Words that count from the start, as much as a learnt word of this weight, and phrases in which they don't.
 SEEDS = ("idiot", "imbecile", "loser", "moron", "pathetic", "scum", "stupid", "worthless")
 SEED_WEIGHT = 4.0
@@ -136,6 +134,15 @@ def fingerprint(text: Column) -> Column:
     return least(text)
 
 
+def passes(pos: Column, neg: Column, p1: int, p0: int) -> Column:
+    """Whether an entry may pass the tests of ``choose``, of p1 and p0 rows of the two labels; it has a hair's breadth to spare."""
+    if not p1 or not p0:
+        return F.lit(False)
+    share = (pos + neg) / (p1 + p0)
+    z = (pos / p1 - neg / p0) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / p1 + 1 / p0))
+    return (pos >= MIN_ROWS) & (z >= MIN_Z - 1e-9)
+
+
 def choose(table: pd.DataFrame, pos: np.ndarray, neg: np.ndarray, rows: tuple[float, float]) -> dict[str, float]:
     """The lexicon from counts: best first, without entries that begin alike."""
     p1, p0 = rows
@@ -155,7 +162,7 @@ def choose(table: pd.DataFrame, pos: np.ndarray, neg: np.ndarray, rows: tuple[fl
     for i in order:
         e = entries[i]
         starts = {e[:k] for k in range(4, len(e) + 1)}
-        if e in heads or starts & chosen.keys() or len(chosen) >= MAX_ENTRIES:
+        if e in heads or starts & chosen.keys():
             continue
         chosen[e] = float(weight[i])
         heads |= starts
@@ -174,19 +181,21 @@ def fit_lexicon(
     so that the coefficients are fitted to hits on unseen rows; the final lexicon is that of both.
     The intercept is moved from the sample's share of label 1 to that of all labelled rows. Rows
     without a label, id or text are left out; without rows of both labels the seed words remain.
+    An id that is labelled twice counts once, as 1 if it ever is; of near copies the least text stays; rows
+    that repeat an id all count. So the lexicon depends on the rows alone, not on their order or partitions.
     """
     bound_batches(docs.sparkSession)
-    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"), F.xxhash64(F.col(id_col)).alias("h")
-    )
+    labelled = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
+    known = labelled.agg(F.max(F.col(label_col).cast("int")).alias("y")).withColumn("h", F.xxhash64("id"))
     totals = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     part = [known.filter(F.col("y") == y).orderBy("h", "id").limit(n) for y, n in ((1, sample_rows[0]), (0, sample_rows[1]))]
-    picked = part[0].unionByName(part[1]).dropDuplicates(["id"])
+    picked = part[0].unionByName(part[1])
     sample = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna()
         .join(F.broadcast(picked), "id")
         .select("text", "y", fingerprint(F.col("text")).alias("same"))
-        .dropDuplicates(["y", "same"])
+        .groupBy("y", "same")
+        .agg(F.min("text").alias("text"))
         .select("text", "y", F.pmod(F.xxhash64(F.lit("half"), "same"), F.lit(2)).cast("int").alias("half"))
     )
     sample = save(sample, "toxicity-sample")
@@ -194,12 +203,10 @@ def fit_lexicon(
     n = lambda y, *halves: sum(rows.get((y, h), 0) for h in halves)
     counted = sample.mapInPandas(count_entries, "entry string, y int, half int, n bigint")
     cell = lambda y, h: F.sum(F.when((F.col("y") == y) & (F.col("half") == h), F.col("n")).otherwise(0)).alias(f"c{y}{h}")
-    table = (
-        counted.groupBy("entry").agg(*[cell(y, h) for y in (0, 1) for h in (0, 1)])
-        .filter((F.col("c10") + F.col("c11") >= MIN_ROWS) & ((F.col("c10") + F.col("c11")) * max(1, n(0, 0, 1)) > 2 * (F.col("c00") + F.col("c01")) * max(1, n(1, 0, 1))))
-        .orderBy(F.desc(F.expr("c10 + c11")), "entry").limit(20 * MAX_ENTRIES)
-        .toPandas()
-    )
+    cells = counted.groupBy("entry").agg(*[cell(y, h) for y in (0, 1) for h in (0, 1)])
+    whole_test = passes(F.col("c10") + F.col("c11"), F.col("c00") + F.col("c01"), n(1, 0, 1), n(0, 0, 1))
+    half_tests = [passes(F.col(f"c1{h}"), F.col(f"c0{h}"), n(1, h), n(0, h)) for h in (0, 1)]
+    table = cells.filter(whole_test | half_tests[0] | half_tests[1]).toPandas().sort_values("entry", ignore_index=True)
     c = {k: table[k].to_numpy(float) for k in ("c00", "c01", "c10", "c11")}
     halves = [Lexicon(choose(table, c[f"c1{h}"], c[f"c0{h}"], (n(1, h), n(0, h)))) for h in (0, 1)]
     whole = Lexicon(choose(table, c["c10"] + c["c11"], c["c00"] + c["c01"], (n(1, 0, 1), n(0, 0, 1))))
