@@ -20,6 +20,10 @@ DF_BUCKETS = 1 << 16
 #: group of near copies shares doesn't lose to what sets them apart.
 IDF_SHARE = 0.25
 BASE = 0xC2B2AE3D27D4EB4F
+#: A shingle that may give more pairs than this is split by the next shingle that a pair shares.
+HOT_PAIRS = 10_000
+#: Pairs with one document that go to one task.
+PART_PAIRS = 2000
 
 
 class Shingles:
@@ -113,7 +117,7 @@ class Sampler:
 
 
 def signatures(texts: DataFrame, weights: np.ndarray) -> DataFrame:
-    """id, whole (hash of the word sequence), odd (mean weight of its shingles), bands array: one row per input row."""
+    """id, doc, key, whole (hash of the word sequence), odd (mean weight of its shingles), bands array: one row per input row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles, sampler, band = Shingles(), Sampler(BANDS * ROWS), Rolling(BASE)
@@ -129,37 +133,78 @@ def signatures(texts: DataFrame, weights: np.ndarray) -> DataFrame:
                     key = mix(key * np.uint64(BASE) + picked[:, j])
                 wholes.append(whole)
                 bands.append(mix(key + np.arange(BANDS, dtype=np.uint64)).view(np.int64))
-            yield pd.DataFrame({"id": batch["id"], "whole": wholes, "odd": odd, "bands": bands})
+            yield batch[["id", "doc", "key"]].assign(whole=wholes, odd=odd, bands=bands)
 
-    return texts.mapInPandas(run, "id bigint, whole bigint, odd double, bands array<bigint>")
+    return texts.mapInPandas(run, "id bigint, doc bigint, key bigint, whole bigint, odd double, bands array<bigint>")
+
+
+def ordered(h: np.ndarray, n: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles from rare to common, an order that all texts share, with what each weighs and what it and its followers weigh."""
+    w = weights[bucket(h)]
+    order = np.lexsort((h, -w))
+    own = (n * w.astype(np.float64))[order]
+    return h[order], own, np.cumsum(own[::-1])[::-1]
 
 
 def prefixes(members: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
     """The members with a row for each shingle of their prefix, its weight and what it and its followers weigh.
 
-    All shingles have one order, from rare to common. A text's prefix ends where what follows
-    weighs less than ``threshold`` of the whole; so texts of that similarity share a shingle of both prefixes.
+    A text's prefix ends where what follows weighs less than ``threshold`` of the whole. The first shingle that two
+    similar texts share is in the prefix of the heavier one, and as ``light``, where what follows weighs
+    2 threshold / (1 + threshold) of the whole, in that of the lighter one.
     """
+    low, high = threshold * (1 - 1e-9), 2 * threshold / (1 + threshold) * (1 - 1e-9)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles()
         for batch in batches:
             found = []
             for text in batch["text"]:
-                h, n, _ = shingles(text)
-                w = weights[bucket(h)]
-                order = np.lexsort((h, -w))
-                after = np.cumsum((n * w.astype(np.float64))[order][::-1])[::-1]
-                keep = after >= threshold * after[0] * (1 - 1e-9)
-                found.append((h[order[keep]].view(np.int64), after[keep], after[0]))
-            yield batch[["id"]].assign(tokens=[x[0] for x in found], rests=[x[1] for x in found], weight=[x[2] for x in found])
-
-    picked = texts.join(small(members.select("id")), "id", "left_semi").dropDuplicates(["id"])
-    found = picked.mapInPandas(run, "id bigint, tokens array<bigint>, rests array<double>, weight double")
-    zipped = F.explode(F.arrays_zip(F.col("tokens").alias("token"), F.col("rests").alias("rest"))).alias("t")
+                h, _, after = ordered(*shingles(text)[:2], weights)
+                keep = after >= low * after[0]
+                found.append((h[keep].view(np.int64), after[keep], after[keep] >= high * after[0], after[0]))
+            yield batch[["id"]].assign(tokens=[x[0] for x in found], rests=[x[1] for x in found], lights=[x[2] for x in found], weight=[x[3] for x in found])
+
+    picked = texts.select("id", "text").join(small(members.select("id")), "id", "left_semi").dropDuplicates(["id"])
+    found = picked.mapInPandas(run, "id bigint, tokens array<bigint>, rests array<double>, lights array<boolean>, weight double")
+    zipped = F.explode(F.arrays_zip(F.col("tokens").alias("token"), F.col("rests").alias("rest"), F.col("lights").alias("light"))).alias("t")
     return members.join(found.select("id", "weight", zipped), "id").select(*members.columns, "weight", "t.*")
 
 
+def split_tokens(tokens: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+    """The rows of hot shingles, once for each shingle that may be the next that a pair shares.
+
+    Where a shingle is the first that two similar texts share, the next one is followed, it included, by what they must
+    share less the first one's weight; where that is nothing, the first may be all that they share.
+    """
+    low, high = threshold * (1 - 1e-9), 2 * threshold / (1 + threshold) * (1 - 1e-9)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingles()
+        for batch in batches:
+            out: dict[str, list] = {k: [] for k in ("id", "first", "token", "light")}
+            for i, text, hot in zip(batch["id"], batch["text"], batch["hot"]):
+                h, own, after = ordered(*shingles(text)[:2], weights)
+                hot = set(np.asarray(hot, np.int64).view(np.uint64).tolist())
+                for k in [k for k, x in enumerate(h.tolist()) if x in hot]:
+                    heavy, light = low * after[0] - own[k], high * after[0] - own[k]
+                    past = k + 1 + int((after[k + 1 :] >= heavy).sum())
+                    keys, lights = mix(h[k + 1 : past] ^ mix(h[k : k + 1])), after[k + 1 : past] >= light
+                    if heavy <= 0:
+                        keys, lights = np.append(keys, mix(h[k : k + 1])), np.append(lights, light <= 0)
+                    out["id"] += [i] * len(keys)
+                    out["first"] += [int(h[k].view(np.int64))] * len(keys)
+                    out["token"] += keys.view(np.int64).tolist()
+                    out["light"] += lights.tolist()
+            yield pd.DataFrame(out)
+
+    hot = tokens.groupBy("id").agg(F.collect_set("token").alias("hot"))
+    picked = texts.select("id", "text").join(small(hot.select("id")), "id", "left_semi").dropDuplicates(["id"]).join(hot, "id")
+    found = picked.mapInPandas(run, "id bigint, first bigint, token bigint, light boolean").withColumnRenamed("light", "also")
+    rows = tokens.withColumnRenamed("token", "first").join(found, ["id", "first"])
+    return rows.withColumn("light", F.col("light") & F.col("also")).select(*tokens.columns)
+
+
 def verify(pairs: DataFrame, texts: DataFrame, weights: np.ndarray) -> DataFrame:
     """a, b, similarity of each pair: the weighted Jaccard similarity of whole texts."""
 
@@ -193,10 +238,17 @@ def verify(pairs: DataFrame, texts: DataFrame, weights: np.ndarray) -> DataFrame
 
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     packed = save(
-        texts.join(small(save(ids, "near-ids")), "id", "left_semi").dropDuplicates(["id"]).mapInPandas(pack, "id bigint, h binary, n binary"), "near-packed"
+        texts.select("id", "text").join(small(save(ids, "near-ids")), "id", "left_semi").dropDuplicates(["id"]).mapInPandas(pack, "id bigint, h binary, n binary"), "near-packed"
     )
     first = packed.select(F.col("id").alias("a"), F.col("h").alias("h1"), F.col("n").alias("n1"))
     second = packed.select(F.col("id").alias("b"), F.col("h").alias("h2"), F.col("n").alias("n2"))
+    # a document that is in very many pairs goes to several tasks
+    parts = save(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PART_PAIRS).cast("int").alias("parts")).filter("parts > 1"), "near-parts")
+    if not parts.isEmpty():
+        count = F.coalesce("parts", F.lit(1))
+        pairs = pairs.join(small(parts), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), count).cast("int").alias("part"))
+        second = second.join(small(parts), "b", "left").select("b", "h2", "n2", F.explode(F.sequence(F.lit(0), count - 1)).alias("part"))
+        return pairs.join(first, "a").join(second, ["b", "part"]).mapInPandas(compare, "a bigint, b bigint, similarity double")
     return pairs.join(first, "a").join(second, "b").mapInPandas(compare, "a bigint, b bigint, similarity double")
 
 
@@ -224,6 +276,29 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def candidate_pairs(tokens: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+    """a, b with a > b: members of several components, one of them to be probed, that may be similar by the rows of ``prefixes``."""
+    uses = tokens.groupBy("token").agg(
+        F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("probe").alias("probe"),
+        (F.count(F.when(F.col("light"), 1)) * F.count(F.lit(1))).alias("pairs"),
+    ).filter("r0 <> r1 and probe and pairs > 0")
+    uses = save(uses.select("token", (F.col("pairs") > HOT_PAIRS).alias("hot")), "near-uses")
+    held = tokens.join(uses.filter("not hot").select("token"), "token", "left_semi")
+    if not uses.filter("hot").isEmpty():
+        hot = save(tokens.join(uses.filter("hot").select("token"), "token", "left_semi"), "near-hot")
+        held = held.unionByName(split_tokens(hot, texts, weights, threshold))
+    held = save(held, "near-held")
+    side = lambda df, x: df.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "probe", "rest", "weight")], F.col("id").alias(x))
+    enough = F.lit(threshold / (1 + threshold) * (1 - 1e-9)) * (F.col("weight_a") + F.col("weight_b"))
+    return (
+        side(held.filter("light"), "a").join(side(held, "b"), "token")
+        .filter((F.col("weight_a") <= F.col("weight_b")) & (F.least("rest_a", "rest_b") >= enough))
+        .filter((F.col("root_a") != F.col("root_b")) & (F.col("probe_a") | F.col("probe_b")))
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        .distinct()
+    )
+
+
 def near_pairs(sketched: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
     """Pairs of representatives that span all classes.
 
@@ -231,7 +306,8 @@ def near_pairs(sketched: DataFrame, texts: DataFrame, weights: np.ndarray, thres
     common: as many pairs as members. Buckets whose members then still are in several components
     get a second round: members outside their bucket's largest component are compared with members
     of other components with which they share a shingle of both prefixes, from which on both weigh
-    as much as similar texts must share; no others can be similar.
+    as much as similar texts must share; no others can be similar. Shingles whose members are all of one component
+    give no pairs, and those with very many members are split by the next shingle that a pair shares.
     """
     key = F.posexplode("bands").alias("band", "value")
     members = save(sketched.select("id", "odd", key), "near-bands")
@@ -251,52 +327,51 @@ def near_pairs(sketched: DataFrame, texts: DataFrame, weights: np.ndarray, thres
         .groupBy("id", "root").agg(F.max(F.col("root") != F.col("most")).alias("probe"))
     )
     tokens = save(prefixes(save(open_ids, "near-open"), texts, weights, threshold), "near-tokens")
-    side = lambda df, x: df.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "probe", "rest", "weight")], F.col("id").alias(x))
-    probes, others = side(tokens.filter("probe"), "a"), side(tokens, "b")
-    enough = F.lit(threshold / (1 + threshold) * (1 - 1e-9)) * (F.col("weight_a") + F.col("weight_b"))
-    more = (
-        probes.join(others, "token")
-        .filter(F.least("rest_a", "rest_b") >= enough)
-        .filter((F.col("root_a") != F.col("root_b")) & (~F.col("probe_b") | (F.col("a") > F.col("b"))))
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
-    more = save(more, "near-more")
+    more = save(candidate_pairs(tokens, texts, weights, threshold), "near-more")
     if more.isEmpty():
         return linked
     return linked.union(verify(more, texts, weights).filter(F.col("similarity") >= threshold).select("a", "b"))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: id, class_id, kept.
+    """One row per input row: id, class_id, kept, text_key, class_key.
 
     A class is a connected component of links of similarity ``threshold`` or more, its id the
     smallest id in it, whose row is kept. Texts of equal words are one representative and are not
     compared with each other. Shingles are five words, lower-cased; weights are counts times a
     damped IDF over all rows. Null texts count as empty; texts without words are similar only to
-    equal ones. Rows that share an id are one node; a null id is a class of its own, kept. An
-    empty table gives an empty result.
+    equal ones. Rows that repeat an id and a text carry the same verdict; rows that share an id but
+    not a text are judged apart, told from each other by ``text_key``, a 64-bit hash of the text; their
+    classes, which may have one id in common, are told apart by ``class_key``. A null id is a class of
+    its own, kept, with null keys of its class. An empty table gives an empty result. Ids are integers.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    texts = rows.filter("id is not null")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    texts = rows.filter("doc is not null").withColumn("id", F.col("doc"))
+    # nodes are ids, but a 62-bit hash of id and text, negative, for ids that have several texts
+    several = save(texts.groupBy("doc").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).filter("k0 <> k1").select("doc", F.lit(True).alias("several")), "near-several")
+    apart = not several.isEmpty()
+    if apart:
+        node = -F.xxhash64("doc", "key").bitwiseAND(2**62 - 1) - 1
+        texts = texts.join(small(several), "doc", "left").withColumn("id", F.when(F.col("several"), node).otherwise(F.col("doc"))).drop("several")
     weights = idf_weights(*document_frequencies(texts))
-    sketched = save(signatures(texts, weights), "near-sketches")
+    sketched = save(signatures(texts.select("id", "doc", "key", "text"), weights), "near-sketches")
     # a band's key beside the hash of the words makes 128 bits, so texts that differ don't count as copies
     sketched = sketched.withColumn("also", F.get("bands", F.lit(0)))
     copies = save(sketched.groupBy("whole", "also").agg(F.min("id").alias("rep")), "near-copies")
-    single = sketched.join(copies, ["whole", "also"]).select("id", "rep", "odd", "bands")
-    single = save(single, "near-members")
-    pairs = near_pairs(single.filter("id = rep").dropDuplicates(["id"]).select("id", "odd", "bands"), texts, weights, threshold)
-    # an id with several texts links their classes
-    many = single.groupBy("id").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).filter("r0 <> r1")
-    edges = pairs.union(many.join(single.select("id", "rep"), "id").select(F.col("rep").alias("a"), F.col("r0").alias("b")))
-    roots = components(edges)
+    single = save(sketched.join(copies, ["whole", "also"]).select("id", "doc", "key", "rep", "odd", "bands"), "near-members")
+    roots = components(near_pairs(single.filter("id = rep").dropDuplicates(["id"]).select("id", "odd", "bands"), texts, weights, threshold))
     found = (
-        single.select("id", "rep")
+        single.select("doc", "key", "rep")
         .join(roots.withColumnsRenamed({"id": "rep"}), "rep", "left")
-        .select("id", F.coalesce("root", "rep").alias("class_id"))
+        .select("doc", "key", F.coalesce("root", "rep").alias("class_key"))
+        .withColumn("class_id", F.col("class_key"))
     )
-    return found.unionByName(rows.filter("id is null").select("id", F.lit(None).cast("bigint").alias("class_id"))).select(
-        F.col("id").alias(id_col), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept")
+    if apart:
+        found = save(found, "near-found")
+        least = found.groupBy("class_key").agg(F.min("doc").alias("least"))
+        found = found.join(least, "class_key").select("doc", "key", "class_key", F.col("least").alias("class_id"))
+    none = F.lit(None).cast("bigint")
+    return found.unionByName(rows.filter("doc is null").select("doc", "key", none.alias("class_key"), none.alias("class_id"))).select(
+        F.col("doc").alias(id_col), "class_id", F.col("doc").eqNullSafe(F.col("class_id")).alias("kept"), F.col("key").alias("text_key"), "class_key"
     )
