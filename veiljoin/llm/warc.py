@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, shared_dir, small
+from .common import bound_batches, save, shared_dir, small
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -159,18 +159,44 @@ def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CANDIDATE.split(", ")]).astype(object)
 
 
+def exits(nodes: pd.DataFrame) -> pd.DataFrame:
+    """Of each candidate in one part of a file, where its chain of claims leaves the part; null if it ends at no candidate."""
+    nodes = nodes.sort_values("at")
+    out: dict[int, int | None] = {}
+    last = int(nodes["at"].iloc[-1])
+    for at, then in zip(nodes["at"].to_numpy()[::-1].tolist(), nodes["next"].tolist()[::-1]):
+        past = None if pd.isna(then) else int(then)
+        out[at] = past if past is None or past > last else out.get(past)
+    file, part = nodes["file"].iloc[0], nodes["block"].iloc[0]
+    return pd.DataFrame({"file": file, "block": part, "at": list(out), "exit": pd.array(list(out.values()), dtype="Int64")})
+
+
+def walk(nodes: pd.DataFrame) -> pd.DataFrame:
+    """The candidates on the chain that starts at those which are reached from other parts of the file."""
+    after = {at: None if pd.isna(then) else int(then) for at, then in zip(nodes["at"].tolist(), nodes["next"].tolist())}
+    on: set[int] = set()
+    for at in nodes["at"][nodes["entry"]].tolist():
+        while at in after and at not in on:
+            on.add(at)
+            at = after[at]
+    return pd.DataFrame({"file": nodes["file"].iloc[0], "at": sorted(on)})
+
+
 def reachable(nodes: DataFrame) -> DataFrame:
-    """Of nodes (file, at, next) those on the chain that starts at 0, by pointer jumping.
+    """Of nodes (file, block, at, next) those on the chain that starts at 0, by pointer jumping.
 
-    Each round doubles the reach: what a reached node points to is reached, then each pointer
-    becomes the pointer of what it points to. Stops when a round reaches nothing new.
+    A part of a file, which is as large as Spark reads at once, is one group: there each pointer becomes the one that
+    leaves the part. Only nodes that such pointers meet can be entries to a part, a few a part; over these each round
+    doubles the reach: what a reached entry points to is reached, then each pointer becomes the pointer of
+    what it points to. It stops when a round reaches nothing new; then each part is walked from its entry.
     """
-    state = save(nodes.select("file", "at", "next", (F.col("at") == 0).alias("on")), "warc-chain")
+    nodes = save(nodes, "warc-nodes")
+    left = save(nodes.groupBy("file", "block").applyInPandas(exits, "file string, block bigint, at bigint, exit bigint"), "warc-exits")
+    met = left.filter("exit is not null").select("file", F.col("exit").alias("at")).distinct().hint("merge")
+    entries = left.filter("at = 0").unionByName(left.filter("at > 0").join(met, ["file", "at"], "left_semi"))
+    state = save(entries.select("file", "at", F.col("exit").alias("next"), (F.col("at") == 0).alias("on")), "warc-chain")
     count = -1
-    while True:
-        now = state.filter("on").count()
-        if now == count:
-            return state.filter("on").select("file", "at")
+    while (now := state.filter("on").count()) != count:
         count = now
         hit = state.filter("on and next is not null").select("file", F.col("next").alias("at"), F.lit(True).alias("hit"))
         jump = state.select("file", F.col("at").alias("next"), F.col("next").alias("then"))
@@ -180,6 +206,9 @@ def reachable(nodes: DataFrame) -> DataFrame:
             .select("file", "at", F.col("then").alias("next"), (F.col("on") | F.col("hit").isNotNull()).alias("on")),
             "warc-chain",
         )
+    reached = state.filter("on").select("file", "at", F.lit(True).alias("entry")).hint("merge")
+    marked = nodes.join(reached, ["file", "at"], "left").select("file", "block", "at", "next", F.coalesce("entry", F.lit(False)).alias("entry"))
+    return marked.groupBy("file", "block").applyInPandas(walk, "file string, at bigint")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -188,6 +217,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     ``digest`` and ``payload_length`` are the header's, ``body`` is the record's own length and
     ``found`` the digest of its body, computed here; ``intact`` says that they agree.
     """
+    bound_batches(spark)
     lines = spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("value").cast("binary").alias("data"),
         F.col("_metadata.file_path").alias("file"),
@@ -198,10 +228,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("file", "block", F.coalesce(F.sum("part").over(before), F.lit(0)).alias("base"))
     placed = save(
-        pieces.join(starts, ["file", "block"]).withColumn("at", F.col("base") + F.col("at")).drop("base", "block"), "warc-placed"
+        pieces.join(starts.hint("merge"), ["file", "block"]).withColumn("at", F.col("base") + F.col("at")).drop("base"), "warc-placed"
     )
-    chain = reachable(placed.select("file", "at", (F.col("at") + F.col("length")).alias("next")))
-    records = placed.join(chain, ["file", "at"], "left_semi").filter("length is not null")
+    chain = reachable(placed.select("file", "block", "at", (F.col("at") + F.col("length")).alias("next")))
+    records = placed.join(chain.hint("merge"), ["file", "at"], "left_semi").filter("length is not null").drop("block")
     split = records.filter("found is null")
     if not split.isEmpty():
         records = records.filter("found is not null").unionByName(joined_records(lines, starts, records, split))
@@ -227,13 +257,13 @@ def joined_records(lines: DataFrame, starts: DataFrame, records: DataFrame, spli
                 offsets[file, block] = (here or 0) + len(data) + (0 if here is None and block == 0 else len(MAGIC))
             yield batch.assign(at=at)
 
-    pieces = lines.mapInPandas(place, "data binary, file string, block bigint, at bigint").join(starts, ["file", "block"])
+    pieces = lines.mapInPandas(place, "data binary, file string, block bigint, at bigint").join(starts.hint("merge"), ["file", "block"])
     ends = split.select("file", F.col("at").alias("first"), (F.col("at") + F.col("length")).alias("past"), "body")
     spread = ends.withColumn("slot", F.explode(F.sequence(F.shiftright("first", 20), F.shiftright(F.col("past") - 1, 20))))
     mine = (
         pieces.select("file", (F.col("at") + F.col("base")).alias("at"), "data")
         .withColumn("slot", F.shiftright("at", 20))
-        .join(spread, ["file", "slot"])
+        .join(spread.hint("merge"), ["file", "slot"])
         .filter("at >= first and at < past")
     )
 
@@ -244,4 +274,4 @@ def joined_records(lines: DataFrame, starts: DataFrame, records: DataFrame, spli
         return pd.DataFrame({"file": [group["file"].iloc[0]], "at": [group["first"].iloc[0]], "again": [base32(body)]})
 
     found = mine.groupBy("file", "first").applyInPandas(whole, "file string, at bigint, again string")
-    return split.join(found, ["file", "at"]).withColumn("found", F.col("again")).drop("again").select(*records.columns)
+    return split.join(found.hint("merge"), ["file", "at"]).withColumn("found", F.col("again")).drop("again").select(*records.columns)
