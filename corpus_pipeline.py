@@ -13,16 +13,35 @@ from pyspark.sql import functions as F
 
 from veiljoin.llm.common import save
 from veiljoin.llm.decontaminate import decontaminate
-from veiljoin.llm.exact_dedup import exact_dedup
+from veiljoin.llm.exact_dedup import exact_dedup, text_key
 from veiljoin.llm.mixing import mix_sources
 from veiljoin.llm.near_dedup import near_classes
 from veiljoin.llm.queries import held_out, table
 from veiljoin.llm.toxicity import fit_lexicon, reject_toxic
 
 
-def drop_rows(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents without those whose verdict is not to keep them; rows with a null id stay."""
-    return docs.join(verdicts.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def drop_rows(docs: DataFrame, verdicts: DataFrame, group: str) -> DataFrame:
+    """The documents that their verdict keeps, one of each ``group``, a column of ``verdicts``.
+
+    Rows whose id is unique find their verdict by it. Rows that share an id, or have none, find it by id and text, so a
+    text goes only by its own verdict; of those that are kept with one id and one group, the least row stays. Rows
+    whose group is null all stay. Columns must be of types that sort.
+    """
+    verdicts = save(verdicts.select("doc_id", "kept", "text_key", group), "pipeline-verdicts")
+    again = verdicts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("again_id"))
+    again = save(again, "pipeline-again")
+    gone = verdicts.filter("not kept").select("doc_id").distinct()
+    if again.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    shared = lambda df: df["doc_id"].eqNullSafe(F.col("again_id"))
+    alone = docs.join(again, shared(docs), "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    many = docs.join(again, shared(docs), "left_semi").select(
+        F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("row_id"), text_key(F.col("text")).alias("row_key")
+    )
+    told = verdicts.join(again, shared(verdicts), "left_semi").filter("kept").drop("kept").distinct()
+    kept = many.join(told, F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_key") == F.col("text_key")))
+    one = kept.filter(F.col(group).isNotNull()).groupBy("row_id", group).agg(F.min("row").alias("row"))
+    return alone.unionByName(one.select("row.*")).unionByName(kept.filter(F.col(group).isNull()).select("row.*"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +51,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the smallest doc_id stays."""
-    return drop_rows(docs, exact_dedup(docs))
+    """Of equal texts the row with the smallest doc_id stays, one of them if several have it, or if all have none."""
+    return drop_rows(docs, exact_dedup(docs), "text_sha256")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the row with the smallest doc_id stays."""
-    return drop_rows(docs, near_classes(docs))
+    """Of each class of near-duplicates the row with the smallest doc_id stays; rows without an id stay."""
+    return drop_rows(docs, near_classes(docs), "class_key")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
