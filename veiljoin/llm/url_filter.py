@@ -37,33 +37,36 @@ def reversed_host(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit("."))
 
 
+def longest_rule(stack: list[tuple[str, str, dict[int, dict[str, str]]]], path: str) -> tuple[str, str, str] | None:
+    """The longest open rule that the path starts with, as (host, path, verdict); one look-up for each length of path that a host's rules have."""
+    best = None
+    for _, host, lengths in stack:
+        for n, rules in lengths.items():
+            if (verdict := rules.get(path[:n])) is not None and n <= len(path):
+                best = max(best or (-1,), (len(host) + n, len(host), host, path[:n], verdict))
+    return best and best[2:]
+
+
 def sweep(batches: Iterator[pd.DataFrame], default: str) -> Iterator[pd.DataFrame]:
     """Judge URLs in key order; the stack holds the rules whose interval the sweep is in, outermost first."""
-    stack: list[tuple[str, dict[str, str], list[tuple[str, str]]]] = []
-    bucket, here, judge = None, None, {}
+    stack: list[tuple[str, str, dict[int, dict[str, str]]]] = []  # end, host, and verdicts by length of path and path
+    bucket = None
     for batch in batches:
         ids, hosts, paths, rules, verdicts = [], [], [], [], []
         for b, key, rule, end, verdict, row, host, path in batch[
             ["bucket", "key", "rule", "end", "verdict", "row", "host", "path"]
         ].itertuples(index=False, name=None):
             if b != bucket:
-                bucket, stack, here = b, [], None
+                bucket, stack = b, []
             while stack and stack[-1][0] <= key:
                 stack.pop()
-                here = None
             if rule is not None:
-                if not stack or stack[-1][1]["host"] != host:
-                    stack.append((end, {"host": host}, []))
-                stack[-1][2].append((path, verdict))
-                here = None
+                if not stack or stack[-1][1] != host:
+                    stack.append((end, host, {}))
+                same = stack[-1][2].setdefault(len(path), {})
+                same[path] = min(verdict, same.get(path, verdict))
                 continue
-            if here != host:  # the rules that fit this host, longest first
-                here = host
-                judge = sorted(
-                    ((h["host"], p, v) for _, h, ps in stack for p, v in ps),
-                    key=lambda x: (-len(x[0]) - len(x[1]), -len(x[0]), x),
-                )
-            hit = next((x for x in judge if path.startswith(x[1])), None)
+            hit = longest_rule(stack, path)
             ids.append(row)
             hosts.append(host)
             paths.append(path)
