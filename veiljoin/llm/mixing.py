@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small
@@ -19,25 +17,19 @@ def unit(seed: int, *parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
 
 
-def poisson_table(rate: Column) -> Column:
-    """The distribution function at 0, 1, 2, ... as an array."""
-    last = F.ceil(rate + TAIL[0] * F.sqrt(rate) + TAIL[1]).cast("int")
-    terms = F.transform(
-        F.sequence(F.lit(0), last),
-        lambda k: F.exp(-rate + F.when(rate > 0, k * F.ln(rate)).otherwise(0.0) - log_factorial(k)),
-    )
-    sums = F.aggregate(
-        terms,
-        F.array().cast("array<double>"),
-        lambda out, term: F.concat(out, F.array(F.coalesce(F.get(out, F.size(out) - 1), F.lit(0.0)) + term)),
-    )
-    return F.when(rate > 0, sums).otherwise(F.array(F.lit(1.0)))
-
+def poisson_table(rates: DataFrame) -> DataFrame:
+    """source, cdf: the distribution function of each rate at 0, 1, 2, ... as an array.
 
-def log_factorial(k: Column) -> Column:
-    return F.when(k < 2, F.lit(0.0)).otherwise(
-        F.aggregate(F.sequence(F.lit(2), F.greatest(k, F.lit(2))), F.lit(0.0), lambda total, i: total + F.ln(i.cast("double")))
-    )
+    A source's terms are rows, whose logarithms add up from one to the next, so their number grows with the rate alone.
+    """
+    last = F.when(F.col("rate") > 0, F.ceil(F.col("rate") + TAIL[0] * F.sqrt("rate") + TAIL[1])).otherwise(0).cast("int")
+    rows = rates.withColumn("k", F.explode(F.sequence(F.lit(0), last)))
+    up_to = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    log_factorial = F.sum(F.ln(F.greatest("k", F.lit(1)).cast("double"))).over(up_to)
+    term = F.when(F.col("rate") > 0, F.exp(-F.col("rate") + F.col("k") * F.ln("rate") - log_factorial)).otherwise(1.0)
+    told = rows.withColumn("term", term).withColumn("cdf", F.sum("term").over(up_to))
+    held = told.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "cdf"))).alias("cdf"))
+    return held.select("source", F.transform("cdf", lambda x: x.cdf).alias("cdf"))
 
 
 def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, epochs: float) -> DataFrame:
@@ -76,9 +68,7 @@ def mix_sources(
     Columns named copy and mix_key are replaced.
     """
     rest = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    rates = source_rates(docs, source_col, weights, epochs).select(
-        F.col("source").alias("mix_source"), poisson_table(F.col("rate")).alias("mix_cdf")
-    )
+    rates = poisson_table(source_rates(docs, source_col, weights, epochs)).select(F.col("source").alias("mix_source"), F.col("cdf").alias("mix_cdf"))
     u = unit(seed, F.col(source_col), F.col(id_col))
     out = (
         docs.select(*rest)
