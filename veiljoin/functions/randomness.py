@@ -22,9 +22,10 @@ def secret_seed() -> int:
     return secrets.randbits(62)
 
 
-def uniform(id: Column, tag: str, seed: int, *parts: Part) -> Column:
-    """Uniform in (0, 1), never at an end: 48 bits of md5(id|seed|tag|parts...)."""
-    text = [id.cast("string"), F.lit(f"{seed}|{tag}"), *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]]
+def uniform(id: Column, tag: str, seed: int | Column, *parts: Part) -> Column:
+    """Uniform in (0, 1), never at an end: 48 bits of md5(id|seed|tag|parts...). A column as seed, such as a trial's number, gives each row its own."""
+    seeded = F.concat(seed.cast("string"), F.lit(f"|{tag}")) if isinstance(seed, Column) else F.lit(f"{seed}|{tag}")
+    text = [id.cast("string"), seeded, *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]]
     return (F.conv(F.substring(F.md5(F.concat_ws("|", *text)), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(TWO48)
 
 

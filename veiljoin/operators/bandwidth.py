@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .prep import keep_ranked
+from ..functions.randomness import uniform
+from .features import exact_quantiles
+from .prep import keep_ranked, numbered
 
 
 def sampled_distances(df: DataFrame, id: str, vector: str, rows: int, seed: int) -> DataFrame:
@@ -22,13 +28,56 @@ def median_distance(df: DataFrame, id: str, vector: str, rows: int = 1000, seed:
     return sampled_distances(df, id, vector, rows, seed).agg(F.percentile("distance", F.lit(0.5)).alias("bandwidth"))
 
 
-def mean_of_medians(df: DataFrame, id: str, vector: str, repeats: int = 10, rows: int = 200, seed: int = 7) -> DataFrame:
-    """The mean of the medians of several samples."""
-    parts = None
-    for k in range(repeats):
-        one = median_distance(df, id, vector, rows, seed + k)
-        parts = one if parts is None else parts.unionAll(one)
-    return parts.agg(F.avg("bandwidth").alias("bandwidth"))
+def all_distances(rows: DataFrame, group: str, largest: int, block_rows: int = 2048) -> DataFrame:
+    """``group``, v, n: distances of all pairs of rows (group, id, x, n) within a group of at most ``largest`` rows, and how often.
+
+    A row stands for ``n`` equal ones. Rows are packed in blocks; each pair of a group's blocks is a row, so no task holds more than two.
+    """
+    blocks = max(1, -(-largest // block_rows))
+    held = rows.groupBy(group, F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("n", "x")).alias("rows"))
+    packed = held.select(
+        group, "block", F.transform("rows", lambda r: r.n.cast("bigint")).alias("ns"), F.flatten(F.transform("rows", lambda r: r.x.cast("array<double>"))).alias("xs")
+    )
+    met = packed.join(packed.toDF(group, "other", "ns2", "xs2"), group).filter("block <= other")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, p, q, ns, xs, ns2, xs2 in zip(*(batch[c] for c in (group, "block", "other", "ns", "xs", "ns2", "xs2"))):
+                a, b = np.reshape(xs, (len(ns), -1)), np.reshape(xs2, (len(ns2), -1))
+                for i in range(len(a)):
+                    rest = slice(i + 1, None) if p == q else slice(None)
+                    yield pd.DataFrame({group: g, "v": np.sqrt(((b[rest] - a[i]) ** 2).sum(axis=1)), "n": ns2[rest] * ns[i]})
+                if p == q:
+                    yield pd.DataFrame({group: g, "v": 0.0, "n": ns * (ns - 1) // 2})
+
+    return met.mapInPandas(run, f"{group} {dict(rows.dtypes)[group]}, v double, n bigint").filter("n > 0")
+
+
+def one_figure(spark: SparkSession, values: list[float]) -> DataFrame:
+    return spark.createDataFrame([(float(np.mean(values)) if values else None,)], "bandwidth double")
+
+
+def median_of_all(df: DataFrame, id: str, vector: str) -> DataFrame:
+    """The median distance of all pairs of rows, exactly; their number grows with the square of the rows'. Null under two rows."""
+    rows = df.select(F.lit(0).alias("i"), F.col(id).alias("id"), F.col(vector).alias("x"), F.lit(1).alias("n"))
+    found = exact_quantiles(all_distances(rows, "i", df.count()), [0.5])
+    return one_figure(df.sparkSession, [v[0] for v in found.values()])
+
+
+def mean_of_medians(df: DataFrame, id: str, vector: str, repeats: int = 10, rows: int = 10_000, seed: int = 7) -> DataFrame:
+    """The mean of the exact medians of all pairwise distances of several samples with replacement, of ``rows`` rows each.
+
+    A draw is a place in a fixed order of the rows. A row that is drawn several times is one with a count, so as many pairs are
+    compared as there are of different rows; copies are 0 apart.
+    """
+    spark, size = df.sparkSession, df.count()
+    if not size:
+        return one_figure(spark, [])
+    table = numbered(df.select(F.col(id).alias("id"), F.col(vector).alias("x")), "id", seed)
+    place = F.floor(uniform(F.col("id"), "bootstrap", seed) * size).cast("bigint")
+    draws = spark.range(repeats * rows).groupBy(F.floor(F.col("id") / rows).cast("int").alias("i"), place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    found = exact_quantiles(all_distances(draws.join(table, "place").select("i", "id", "x", "n"), "i", min(rows, size)), [0.5])
+    return one_figure(spark, [v[0] for v in found.values()])
 
 
 def variance_bandwidth(df: DataFrame, vector: str) -> DataFrame:

@@ -109,12 +109,41 @@ def sensitivities(df: DataFrame, vector: str, centred: bool = False) -> DataFram
     return cells(df, vector).groupBy("i").agg(own.alias("sens"))
 
 
+def exact_quantiles(values: DataFrame, quantiles: list[float], bins: int = 1024) -> dict[int, list[float]]:
+    """Exact quantiles, interpolated between neighbours, of ``v`` by the integer ``i``, of which there are a bounded number; a column ``n`` counts copies.
+
+    No task holds a group's values. An interval is kept around each order statistic that is asked for; each round
+    counts what lies in the bins of all intervals in one aggregate and goes on with the bins that hold the statistics,
+    until a bin holds one value. Null, NaN and infinite values are left out.
+    """
+    copies = F.sum("n") if "n" in values.columns else F.count(F.lit(1))
+    values = values.filter("abs(v) < double('Infinity')")
+    stats = {r.i: r for r in values.groupBy("i").agg(copies.alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}
+    ranks = {(i, q): q * (r.n - 1) for i, r in stats.items() for q in quantiles}
+    #: (i, rank) to the interval that holds it and the number of values below that
+    held = {(i, k): (stats[i].low, stats[i].high, 0) for (i, _), x in ranks.items() for k in (math.floor(x), math.ceil(x))}
+    while wide := [(i, k, *map(float, v[:2])) for (i, k), v in held.items() if v[0] < v[1]]:
+        table = values.sparkSession.createDataFrame(wide, "i int, k bigint, low double, high double")
+        at = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * bins), F.lit(bins - 1))
+        found = values.join(F.broadcast(table), "i").filter("v >= low and v <= high").groupBy("i", "k", at.alias("bin"))
+        rows = found.agg(copies.alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).orderBy("i", "k", "bin").collect()
+        below = {(i, k): held[i, k][2] for i, k, _, _ in wide}
+        for r in rows:
+            key = (r.i, r.k)
+            if below[key] <= r.k < below[key] + r.n:
+                held[key] = (r.least, r.most, below[key])
+            below[key] += r.n
+    out = {}
+    for i in stats:
+        pairs = [(held[i, math.floor(ranks[i, q])][0], held[i, math.ceil(ranks[i, q])][0], ranks[i, q] % 1) for q in quantiles]
+        out[i] = [a + (b - a) * f if a != b else a for a, b, f in pairs]
+    return out
+
+
 def quantile_report(df: DataFrame, vector: str) -> DataFrame:
     """i, top, q95, q05, low of each column."""
-    q = F.percentile("v", F.array(F.lit(0.95), F.lit(0.05)))
-    return cells(df, vector).groupBy("i").agg(F.max("v").alias("top"), F.min("v").alias("low"), q.alias("q")).select(
-        "i", "top", F.col("q")[0].alias("q95"), F.col("q")[1].alias("q05"), "low"
-    )
+    found = exact_quantiles(cells(df, vector), [1.0, 0.95, 0.05, 0.0])
+    return df.sparkSession.createDataFrame([(i, *map(float, q)) for i, q in found.items()], "i int, top double, q95 double, q05 double, low double")
 
 
 @dataclass
@@ -129,6 +158,10 @@ class Basis:
         y = F.zip_with(F.zip_with(x, doubles(self.scale), lambda v, s: v / s), doubles(self.shift), lambda v, m: v - m)
         return project(y, self.vectors)
 
+    def raw(self) -> Basis:
+        """The same vectors for rows that aren't scaled."""
+        return Basis(self.vectors, np.ones_like(self.scale), np.zeros_like(self.shift))
+
 
 def leading(matrix: np.ndarray, d: int) -> np.ndarray:
     values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
@@ -154,41 +187,65 @@ def column_means(df: DataFrame, vector: str, p: int) -> tuple[np.ndarray, int]:
     return means, max((r.n for r in rows), default=0)
 
 
-def private_pca_laplace(df: DataFrame, vector: str, d: int, eps: float | None, bounds: np.ndarray, seed: int) -> Basis:
-    """PCA of data scaled into [0, 1], with Laplace noise on means and covariance.
+@dataclass
+class Moments:
+    """A table's Gram matrix, means, largest absolute values and row count: all that a PCA needs of it."""
+
+    gram: np.ndarray
+    means: np.ndarray
+    largest: np.ndarray
+    rows: int
 
-    ``bounds`` are public bounds of |x|. Two aggregates are distributed; noise is added to p numbers
-    and a symmetric p by p matrix. No noise if eps is None.
+    @classmethod
+    def of(cls, df: DataFrame, vector: str) -> Moments:
+        g = gram(df, vector)
+        p = g.shape[0]
+        means, n = column_means(df, vector, p)
+        largest = np.zeros(p)
+        for r in sensitivities(df, vector).collect():
+            largest[r.i] = r.sens
+        return cls(g, means, largest, n)
+
+
+def private_pca_laplace(
+    df: DataFrame | Moments, vector: str, d: int, eps: float | None, seed: int, bounds: np.ndarray | None = None, spread: float = 4.0,
+) -> Basis:
+    """PCA of data scaled to x / (spread * s) + 1/2, with Laplace noise on means and covariance.
+
+    ``s`` are public ``bounds`` of |x|, or else the data's own, which aren't private, and 0.001 more. With a
+    spread of 4 scaled data lie in [1/4, 3/4], with 2 they fill [0, 1], so that the same noise weighs a quarter. Noise is
+    added to p numbers and a symmetric p by p matrix. The basis serves scaled rows; ``Basis.raw`` gives one
+    for rows as they are. Without eps it is the Gram matrix's basis, with neither scaling nor noise.
     """
-    g, p = gram(df, vector), len(bounds)
-    means, n = column_means(df, vector, p)
-    scale = 2 * (np.asarray(bounds, float) + 0.001)
+    m = df if isinstance(df, Moments) else Moments.of(df, vector)
+    g, means, n, p = m.gram, m.means, m.rows, len(m.means)
+    if eps is None:
+        return Basis(leading(g, d), np.ones(p), np.zeros(p))
+    scale = spread * ((m.largest if bounds is None else np.asarray(bounds, float)) + 0.001)
     draw = np.random.Generator(np.random.PCG64(seed))
-    # scaled data are x / scale + 1/2
     mid = means / scale + 0.5
     second = g / np.outer(scale, scale) / n + 0.5 * (means / scale)[:, None] + 0.5 * (means / scale)[None, :] + 0.25
-    noisy = mid + (draw.laplace(scale=2 / (n * eps), size=p) if eps else 0)
+    noisy = mid + draw.laplace(scale=2 / (n * eps), size=p)
     cov = second - np.outer(mid, noisy) - np.outer(noisy, mid) + np.outer(noisy, noisy)
-    if eps:
-        noise = np.tril(draw.laplace(scale=6 * p * p / (n * eps), size=(p, p)))
-        cov = cov + noise + noise.T
-    return Basis(leading(cov, d), scale, noisy - 0.5)
+    noise = np.tril(draw.laplace(scale=6 * p * p / (n * eps), size=(p, p)))
+    return Basis(leading(cov + noise + noise.T, d), scale, noisy - 0.5)
 
 
 def private_pca_power(
-    df: DataFrame, vector: str, d: int, eps: float | None, iterations: int, bound: float, seed: int, delta: float = 1e-4, variance_as_scale: bool = False,
+    df: DataFrame | Moments, vector: str, d: int, eps: float | None, iterations: int, seed: int, delta: float = 1e-4, variance_as_scale: bool = True,
 ) -> Basis:
     """PCA by the power method with Gaussian noise in each iteration; one distributed aggregate.
 
-    The noise has the standard deviation bound * sigma; ``variance_as_scale`` squares it, as some do.
+    In each iteration the noise's sigma is multiplied by the largest absolute cell of the current vectors. That
+    is squared for the standard deviation, or taken as it is without ``variance_as_scale``.
     """
-    g = gram(df, vector)
+    g = df.gram if isinstance(df, Moments) else gram(df, vector)
     p = g.shape[0]
     draw = np.random.Generator(np.random.PCG64(seed))
     x = np.linalg.qr(draw.standard_normal((p, d)))[0]
     sigma = math.sqrt(4 * d * iterations * math.log(1 / delta)) / eps if eps else 0.0
-    std = bound * sigma
     for _ in range(iterations):
+        std = np.abs(x).max() * sigma
         y = g @ x + (draw.normal(scale=std**2 if variance_as_scale else std, size=(p, d)) if std else 0)
         x = np.linalg.qr(y)[0]
     return Basis(x, np.ones(p), np.zeros(p))

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.randomness import geometric, laplace, sign
 from . import response, sketch
 from .features import ROOT2, clip
-from .selection import row_mask
+from .selection import row_mask, top_columns
 
 
 def joined(known: DataFrame, private: DataFrame, id: str) -> DataFrame:
@@ -58,14 +58,20 @@ def join_signs(
 
     Same: the k likeliest columns by p. Unif, NonUnif: for each id k columns, others 0.
     """
-    from .selection import top_columns
+    out = joined(known.select(id, label), private.select(id, vector), id)
+    return noisy_signs(out, id, label, vector, total, k, eps_memb=eps_memb, eps_val=eps_val, kind=kind, selection=selection, p=p, seed=seed)
+
 
+def noisy_signs(
+    out: DataFrame, id: str, label: str, vector: str, total: int, k: int, *, eps_memb: float, eps_val: float,
+    kind: str = "Ind", selection: str = "Same", p: list[float] | None = None, seed: int | Column = 7, keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """``join_signs`` of rows that are ``joined`` already, with the columns to ``keep``; the seed may be one of them."""
     key = F.col(id)
     chosen = top_columns(p, k) if selection == "Same" and p else list(range(k))
     eps = response.split_selection(eps_val, selection)[1]
     flips = response.signs(key, kind, eps, total, k, seed, p, chosen if selection == "Same" else None)
     filler = F.array(*[sign(key, "fill", seed, i) for i in range(total)])
-    out = joined(known.select(id, label), private.select(id, vector), id)
     out = out.withColumn("membership", sketch.own_membership(key, F.col("_in"), eps_memb, seed))
     cells = F.when(F.col("_in"), F.zip_with(F.col(vector), flips, lambda v, s: v * s)).otherwise(filler)
     if selection == "Same":
@@ -73,7 +79,7 @@ def join_signs(
     else:
         mask = row_mask(key, total, k, seed, p if selection == "NonUnif" else None)
         cells = F.zip_with(cells, mask, lambda v, m: v * m)
-    return flip_labels(out.withColumn(vector, cells), label).select(id, label, "membership", vector)
+    return flip_labels(out.withColumn(vector, cells), label).select(*keep, id, label, "membership", vector)
 
 
 def join_features(
@@ -86,11 +92,20 @@ def join_features(
     clipped to ``bound``. Binary: signs kept with probability 1 - exp(-eps_val / dims) / 2, rows
     without a partner are random signs times sqrt(2). Noise is drawn for surviving rows only.
     """
-    key = F.col(id)
     out = joined(known.select(id, label), private.select(id, vector), id)
+    return noisy_features(out, id, label, vector, dims, eps_memb=eps_memb, eps_val=eps_val, data_type=data_type, sens=sens, seed=seed, bound=bound)
+
+
+def noisy_features(
+    out: DataFrame, id: str, label: str, vector: str, dims: int, *, eps_memb: float, eps_val: float, data_type: str = "Real",
+    sens: list[float] | Column | None = None, seed: int | Column = 7, bound: float = ROOT2, keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """``join_features`` of rows that are ``joined`` already, with the columns to ``keep``; seed and sensitivities may be of them."""
+    key = F.col(id)
     out = flip_labels(out.withColumn("membership", sketch.own_membership(key, F.col("_in"), eps_memb, seed)), label)
     if data_type in ("Real", "Real Clip"):
-        noise = [float(s) * dims / eps_val for s in (sens or [ROOT2] * dims)]
+        each = [F.get(sens, F.lit(i)) for i in range(dims)] if isinstance(sens, Column) else [F.lit(float(s)) for s in (sens or [ROOT2] * dims)]
+        noise = [s * F.lit(dims / eps_val) for s in each]
         noisy = F.array(*[
             F.coalesce(F.get(vector, F.lit(i)).cast("double"), F.lit(0.0)) + laplace(key, "feat", seed, noise[i], i) for i in range(dims)
         ])
@@ -101,7 +116,7 @@ def join_features(
         cells = F.zip_with(F.when(F.col("_in"), F.col(vector).cast("array<double>")).otherwise(filler), flips, lambda v, s: v * s)
     else:
         raise ValueError(f"no data type {data_type}")
-    return out.withColumn(vector, cells).select(id, label, "membership", vector)
+    return out.withColumn(vector, cells).select(*keep, id, label, "membership", vector)
 
 
 def invention_rate(eps: float) -> float:

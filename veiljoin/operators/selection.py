@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.randomness import uniform
-from .features import gram
+from .features import ROOT2, gram
 
 
 def square_root(matrix: np.ndarray) -> np.ndarray:
@@ -18,21 +20,42 @@ def square_root(matrix: np.ndarray) -> np.ndarray:
     return (vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T
 
 
-def feature_distribution(df: DataFrame, vector: str, eps: float | None, seed: int, samples_per_feature: int = 100) -> list[float]:
-    """How often each column of the Gram matrix's root is nearest to a random direction, noise added.
+def draw_block(block: int, size: int, root: np.ndarray, rows: int, eps: float | None, seed: int) -> np.ndarray:
+    """How often each column of the root is nearest to one of ``size`` directions of length sqrt(rows), noise added to the distances."""
+    draw = np.random.Generator(np.random.PCG64([seed, block]))
+    r = draw.standard_normal((size, len(root)))
+    r *= math.sqrt(rows) / np.linalg.norm(r, axis=1, keepdims=True)
+    distance = np.sqrt(np.maximum(2 * rows - 2 * r @ root, 0))
+    if eps is not None:
+        distance += draw.laplace(scale=ROOT2 * len(root) / eps, size=distance.shape)
+    return np.bincount(distance.argmin(axis=1), minlength=len(root))
+
+
+def feature_distribution(
+    df: DataFrame, vector: str, eps: float | None, seed: int, samples_per_row: int = 100, block: int = 10_000,
+) -> list[float]:
+    """How often each column of the Gram matrix's root is nearest to a random direction, each counted once more.
 
-    The Gram matrix is one distributed aggregate; the rest has the size of the number of features.
+    Columns are taken to have the length sqrt(rows), as columns of signs have, so a direction r of that length is
+    sqrt(2 rows - 2 r.c) away from column c. The Gram matrix is one distributed aggregate; directions are drawn
+    by tasks, a block of them at a time, and only their counts by column are gathered.
     """
     root = square_root(gram(df, vector))
-    n = root.shape[0]
-    draw = np.random.Generator(np.random.PCG64(seed))
-    norms = np.linalg.norm(root, axis=0)
-    r = draw.standard_normal((samples_per_feature * n, n))
-    r *= math.sqrt(n) / np.linalg.norm(r, axis=1, keepdims=True)
-    distance = np.sqrt(np.maximum(n + norms**2 - 2 * r @ root, 0)) if not np.allclose(norms**2, n) else np.sqrt(np.maximum(2 * n - 2 * r @ root, 0))
-    if eps is not None:
-        distance += draw.laplace(scale=math.sqrt(2) * n / eps, size=distance.shape)
-    counts = 1 + np.bincount(distance.argmin(axis=1), minlength=n)
+    rows = df.filter(F.col(vector).isNotNull()).count()
+    total = samples_per_row * rows
+    if not total:
+        return [1 / len(root)] * len(root)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b in batch["id"].tolist():
+                counts = draw_block(b, min(block, total - b * block), root, rows, eps, seed)
+                yield pd.DataFrame({"i": range(len(counts)), "n": counts})
+
+    blocks = df.sparkSession.range(-(-total // block))
+    counts = np.ones(len(root))
+    for r in blocks.mapInPandas(run, "i int, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        counts[r.i] += r.n
     return (counts / counts.sum()).tolist()
 
 

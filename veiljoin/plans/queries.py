@@ -18,7 +18,8 @@ from . import sql as q
 from . import sweep
 
 Query = Callable[[SparkSession, str], DataFrame]
-SEED, DIM, FLAGS = q.SEED, 5, 6
+#: ``WIDTH`` is the length of the test table's vectors, which SQL with literal matrices has to know.
+SEED, DIM, FLAGS, WIDTH = q.SEED, 5, 6, 64
 #: Likelihoods of the six customer flags in the queries that are given a distribution.
 P = [0.3, 0.25, 0.2, 0.1, 0.1, 0.05]
 QUERIES: dict[str, Query] = {}
@@ -64,13 +65,6 @@ RETURNED = "SELECT l_orderkey AS o_orderkey, sum(l_extendedprice) / 1000 AS y FR
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    """The two classes 4 and 9 as -1 and 1, with the first eight cells as doubles."""
-    df = read_table(spark, d, "embeddings").filter(F.col("label").isin(4, 9))
-    x = F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double"))
-    return df.select(F.col("vec_id").alias("id"), F.when(F.col("label") == 9, 1).otherwise(-1).alias("label"), x.alias("x"))
-
-
-def whole_vectors(spark: SparkSession, d: str) -> DataFrame:
     """The two classes 4 and 9 as -1 and 1, with all cells as doubles."""
     df = read_table(spark, d, "embeddings").filter(F.col("label").isin(4, 9))
     x = F.transform("embedding", lambda v: v.cast("double"))
@@ -82,7 +76,7 @@ def width(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.max(F.size("x")), F.lit(0)).alias("n")).first().n
 
 
-VECTORS = "SELECT vec_id AS id, CASE WHEN label = 9 THEN 1 ELSE -1 END AS label, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS x FROM embeddings WHERE label IN (4, 9)"
+VECTORS = "SELECT vec_id AS id, CASE WHEN label = 9 THEN 1 ELSE -1 END AS label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings WHERE label IN (4, 9)"
 
 
 def customers(spark: SparkSession, d: str) -> DataFrame:
@@ -188,11 +182,11 @@ def hash_split(spark, d):
 
 
 @query(
-    "SELECT vec_id, [(v / 255)::FLOAT FOR v IN embedding][1] AS first_cell, len(embedding)::INTEGER AS cells FROM embeddings"
+    "SELECT vec_id, [(v / 255)::FLOAT FOR v IN embedding] AS cells FROM embeddings"
 )
 def flatten_scale(spark, d):
     x = features.flatten_scale(F.array("embedding"))
-    return read_table(spark, d, "embeddings").select("vec_id", x[0].alias("first_cell"), F.size(x).alias("cells"))
+    return read_table(spark, d, "embeddings").select("vec_id", x.alias("cells"))
 
 
 @query("SELECT id, [least(greatest(v * 2, -sqrt(2e0)), sqrt(2e0)) FOR v IN x] AS x FROM (" + VECTORS + ")")
@@ -364,8 +358,8 @@ def select_distribution(spark, d):
     return spark.createDataFrame(list(enumerate(p)), "feature int, p double")
 
 
-OMEGA = features.Fourier.draw(8, DIM, 2.0, seed=SEED)
-JL = features.projection_matrix(8, DIM, seed=SEED)
+OMEGA = features.Fourier.draw(WIDTH, DIM, 2.0, seed=SEED)
+JL = features.projection_matrix(WIDTH, DIM, seed=SEED)
 
 
 def matrix_sql(m: np.ndarray) -> str:
@@ -373,7 +367,7 @@ def matrix_sql(m: np.ndarray) -> str:
 
 
 def dots(m: np.ndarray) -> str:
-    return f"[list_sum([x[i] * w[i] FOR i IN range(1, 9)]) FOR w IN {matrix_sql(m)}]"
+    return f"[list_sum([x[i] * w[i] FOR i IN range(1, {WIDTH + 1})]) FOR w IN {matrix_sql(m)}]"
 
 
 BETA = "[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in OMEGA.beta) + "]"
@@ -415,14 +409,14 @@ def jl_project(spark, d):
 
 def g3(spark, d, kind):
     known = vectors(spark, d).select("id", "label")
-    private = rff(spark, d).filter("id % 3 <> 0").select("id", "x")
+    private = prep.subsample(rff(spark, d), "id", 0.7, SEED).select("id", "x")
     return join.join_features(known, private, "id", "label", "x", DIM, eps_memb=1.0, eps_val=5.0, data_type=kind, seed=SEED)
 
 
 def g3_sql(cells: str) -> str:
     return (
         f"SELECT id, (label * sign(membership))::DOUBLE AS label, membership, [round(v, 6) FOR v IN {cells}] AS x FROM (SELECT k.id, k.label, p.x, "
-        f"{q.own_membership('k.id', 'p.id IS NOT NULL', 1.0)} AS membership FROM ({VECTORS}) k LEFT JOIN (SELECT * FROM ({RFF}) WHERE id % 3 <> 0) p ON k.id = p.id) WHERE membership <> 0"
+        f"{q.own_membership('k.id', 'p.id IS NOT NULL', 1.0)} AS membership FROM ({VECTORS}) k LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {q.u('id', 'sample')}, id) AS r FROM ({RFF})) WHERE r <= round((SELECT count(*) FROM ({VECTORS})) * 0.7e0)) p ON k.id = p.id) WHERE membership <> 0"
     )
 
 
@@ -450,7 +444,7 @@ def join_g3_binary(spark, d):
 
 # ---------------------------------------------------------------- matrices, bandwidths
 
-CELLS = f"SELECT id, unnest(range(8))::INTEGER AS i, unnest(x) AS v FROM ({VECTORS})"
+CELLS = f"SELECT id, unnest(range(len(x)))::INTEGER AS i, unnest(x) AS v FROM ({VECTORS})"
 
 
 @query(f"WITH c AS ({CELLS}) SELECT a.i, b.i AS j, round(sum(a.v * b.v), 6) AS value FROM c a JOIN c b ON a.id = b.id GROUP BY ALL")
@@ -479,39 +473,50 @@ def basis_rows(spark, basis):
 
 @query()
 def pca_gram(spark, d):
-    return basis_rows(spark, features.pca(whole_vectors(spark, d), "x", 3))
+    return basis_rows(spark, features.pca(vectors(spark, d), "x", 3))
 
 
 @query()
 def pca_centred(spark, d):
-    return basis_rows(spark, features.pca(whole_vectors(spark, d), "x", 3, centred=True))
+    return basis_rows(spark, features.pca(vectors(spark, d), "x", 3, centred=True))
 
 
 @query()
 def private_pca_laplace(spark, d):
-    df = whole_vectors(spark, d)
-    return basis_rows(spark, features.private_pca_laplace(df, "x", 3, 5.0, np.full(width(df), 4.0), SEED))
+    return basis_rows(spark, features.private_pca_laplace(vectors(spark, d), "x", 3, 5.0, SEED))
 
 
 @query()
 def private_pca_power(spark, d):
-    return basis_rows(spark, features.private_pca_power(whole_vectors(spark, d), "x", 3, 5.0, 10, 4.0, SEED))
+    return basis_rows(spark, features.private_pca_power(vectors(spark, d), "x", 3, 5.0, 10, SEED))
 
 
-SAMPLE100 = f"SELECT id, x FROM ({VECTORS}) ORDER BY {q.u('id', 'bandwidth')}, id LIMIT 100"
+@query(f"WITH s AS ({VECTORS}) SELECT round(quantile_cont(list_distance(a.x, b.x), 0.5), 6) AS bandwidth FROM s a JOIN s b ON a.id < b.id")
+def bandwidth_median(spark, d):
+    return bandwidth.median_of_all(vectors(spark, d), "id", "x").select(r6("bandwidth", "bandwidth"))
 
 
-@query(f"WITH s AS ({SAMPLE100}) SELECT round(quantile_cont(list_distance(a.x, b.x), 0.5), 6) AS bandwidth FROM s a JOIN s b ON a.id < b.id")
-def bandwidth_median(spark, d):
-    return bandwidth.median_distance(vectors(spark, d), "id", "x", 100, SEED).select(r6("bandwidth", "bandwidth"))
+SAMPLE1000 = f"SELECT id, x FROM ({VECTORS}) ORDER BY {q.u('id', 'bandwidth')}, id LIMIT 1000"
 
 
-@query()
+@query(f"WITH s AS ({SAMPLE1000}) SELECT round(quantile_cont(list_distance(a.x, b.x), 0.5), 6) AS bandwidth FROM s a JOIN s b ON a.id < b.id")
+def bandwidth_median_sampled(spark, d):
+    return bandwidth.median_distance(vectors(spark, d), "id", "x", seed=SEED).select(r6("bandwidth", "bandwidth"))
+
+
+@query(
+    f"WITH t AS (SELECT id, x, row_number() OVER (ORDER BY {q.u('id', 'place')}, id) - 1 AS place FROM ({VECTORS})), "
+    f"s AS (SELECT g // 10000 AS i, floor({q.u('g', 'bootstrap')} * (SELECT count(*) FROM t))::BIGINT AS place, count(*) AS n FROM range(100000) AS r(g) GROUP BY ALL), "
+    "h AS (SELECT * FROM s JOIN t USING (place)), "
+    "p AS (SELECT a.i, list_distance(a.x, b.x) AS v, a.n * b.n AS n FROM h a JOIN h b ON a.i = b.i AND a.id < b.id UNION ALL SELECT i, 0, n * (n - 1) // 2 FROM h WHERE n > 1), "
+    "c AS (SELECT i, v, sum(n) OVER (PARTITION BY i ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY i) AS whole FROM p) "
+    "SELECT round(avg(m), 6) AS bandwidth FROM (SELECT i, (min(v) FILTER (upto > floor((whole - 1) / 2)) + min(v) FILTER (upto > ceil((whole - 1) / 2))) / 2 AS m FROM c GROUP BY i)"
+)
 def bandwidth_mean_of_medians(spark, d):
-    return bandwidth.mean_of_medians(whole_vectors(spark, d), "id", "x", 3, 60, SEED)
+    return bandwidth.mean_of_medians(vectors(spark, d), "id", "x", seed=SEED).select(r6("bandwidth", "bandwidth"))
 
 
-@query(f"SELECT round(sqrt(8 * var_pop(v)), 6) AS bandwidth FROM ({CELLS})")
+@query(f"SELECT round(sqrt((max(i) + 1) * var_pop(v)), 6) AS bandwidth FROM ({CELLS})")
 def bandwidth_var(spark, d):
     return bandwidth.variance_bandwidth(vectors(spark, d), "x").select(r6("bandwidth", "bandwidth"))
 
@@ -564,14 +569,14 @@ def mse(spark, d):
 TRAIN_TEST = f"WITH v AS (SELECT *, {q.u('id', 'split')} < 0.8e0 AS train FROM ({VECTORS}))"
 
 
-def train_test(spark, d, source=vectors):
-    df = source(spark, d)
+def train_test(spark, d):
+    df = vectors(spark, d)
     df = df.withColumns({"train": prep.hash_split(df, "id", 0.8, SEED), "label": F.col("label").cast("double")})
     return df.filter("train").drop("train"), df.filter("not train").drop("train")
 
 
 KNN = (
-    TRAIN_TEST + ", p AS (SELECT t.id, n.label, row_number() OVER (PARTITION BY t.id ORDER BY round(list_sum([(t.x[i] - n.x[i]) * (t.x[i] - n.x[i]) FOR i IN range(1, 9)]), 9), n.id) AS r "
+    TRAIN_TEST + ", p AS (SELECT t.id, n.label, row_number() OVER (PARTITION BY t.id ORDER BY round(list_sum([(t.x[i] - n.x[i]) * (t.x[i] - n.x[i]) FOR i IN range(1, " + str(WIDTH + 1) + ")]), 9), n.id) AS r "
     "FROM v t JOIN v n ON n.train AND NOT t.train), k AS (SELECT id, CASE WHEN sum(label) >= 0 THEN 1e0 ELSE -1e0 END AS predicted FROM p WHERE r <= 5 GROUP BY id) "
 )
 
@@ -591,22 +596,24 @@ def accuracy(spark, d):
 
 @query()
 def model_accuracies(spark, d):
-    train, test = (x.cache() for x in train_test(spark, d, whole_vectors))
-    rows = [(name, float(regression.accuracy(fit(train)(test), F.col("predicted"), "label").first().accuracy or 0.0)) for name, fit in models.MODELS.items()]
+    train, test = train_test(spark, d)
+    if train.select("label").distinct().count() < 2:  # nothing to fit
+        return spark.createDataFrame([(name, None) for name in models.MODELS], "model string, accuracy double")
+    rows = [(name, regression.accuracy(fit(train)(test), F.col("predicted"), "label").first().accuracy) for name, fit in models.MODELS.items()]
     return spark.createDataFrame(rows, "model string, accuracy double")
 
 
 TTC_VOTES = (
     f"SELECT id, CASE WHEN list_sum([CASE WHEN c = 1 THEN ({P!r})[i] ELSE 0 END FOR c, i IN cs]) > 0.5e0 THEN 1e0 ELSE -1e0 END AS vote FROM (SELECT id, t, ["
     + ", ".join(f"greatest(CASE WHEN {q.u('id', 'ttc', 't', i)} < {response.flip_probability(1.0)!r}e0 THEN -f[{i + 1}] ELSE f[{i + 1}] END, 0e0)" for i in range(FLAGS))
-    + f"] AS cs FROM ({FLAG_ROWS}), range(21) AS r(t))"
+    + f"] AS cs FROM ({FLAG_ROWS}), range(201) AS r(t))"
 )
 
 
 @query(f"SELECT id, quantile_cont(vote, 0.5) AS predicted FROM ({TTC_VOTES}) GROUP BY id")
 def ttc_median_vote(spark, d):
     score = lambda x: F.when(features.dot(x, features.doubles(P)) > 0.5, 1.0).otherwise(-1.0)
-    return models.corrected_votes(flags(spark, d), "f", 1.0, score, 21, SEED)
+    return models.corrected_votes(flags(spark, d), "f", 1.0, score, 201, SEED)
 
 
 def trial_rows(spark, d):
@@ -645,19 +652,19 @@ def sign_split(spark, d):
     """Customers' labels and flags, split by customer."""
     known, private = customers(spark, d), flags(spark, d).withColumnRenamed("f", "x")
     train = prep.hash_split(known, "id", 0.8, SEED)
-    return ex.Split(known.filter(train).cache(), private.filter(train).cache(), known.filter(~train).join(private, "id").cache())
+    return ex.Split(known.filter(train), private.filter(train), known.filter(~train).join(private, "id"))
 
 
 def vector_split(spark, d):
     """Known labels of all training vectors; the private side lacks three in four of one class."""
-    train, test = train_test(spark, d, whole_vectors)
+    train, test = train_test(spark, d)
     centred = [F.transform("x", lambda v, i: v - F.get(F.lit(list(map(float, features.column_means(train, "x", width(train))[0]))), i)).alias("x")]
     private = prep.biased_subsample(train, "id", "label", 1.0, SEED)
-    return ex.Split(train.select("id", "label").cache(), private.select("id", *centred).cache(), test.select("id", "label", *centred).cache())
+    return ex.Split(train.select("id", "label"), private.select("id", *centred), test.select("id", "label", *centred))
 
 
-def median_trials(spark: SparkSession, settings: list[dict], trial: Callable[..., float]) -> DataFrame:
-    """Median and quartile offsets of 25 trials of each setting."""
+def median_trials(spark: SparkSession, settings: list[dict], trial: Callable[..., DataFrame]) -> DataFrame:
+    """Median and quartile offsets of 25 trials of each setting, all in one job."""
     found = sweep.run_grid(spark, [s | {"trial": t} for s in settings for t in range(25)], trial)
     return sweep.median_offsets(found, list(settings[0]))
 
@@ -666,7 +673,7 @@ def median_trials(spark: SparkSession, settings: list[dict], trial: Callable[...
 def sweep_sign_variants(spark, d):
     split = sign_split(spark, d)
     p = selection.feature_distribution(split.private, "x", 0.5, SEED)
-    settings = [s | {"k": 3} for s in sweep.grid(variant=sweep.SEVEN_VARIANTS, eps=[3.0])]
+    settings = [s | {"k": 3} for s in sweep.grid(variant=sweep.SEVEN_VARIANTS, eps=[1.0, 3.0])]
     rows = [{"kind": s["variant"][0], "selection_type": s["variant"][1], "k": s["k"], "eps": s["eps"]} for s in settings]
     return median_trials(spark, rows, lambda **s: ex.sign_trial(split, FLAGS, p, "BernoulliNB", **s))
 
@@ -682,13 +689,13 @@ def sweep_sign_columns(spark, d):
 @query()
 def sweep_pca(spark, d):
     split = vector_split(spark, d)
-    return median_trials(spark, sweep.grid(dim=[2, 4], eps=[2.0, 8.0]), lambda **s: ex.pca_trial(split, 4.0, "GaussianNB", **s))
+    return median_trials(spark, sweep.grid(method=["power", "laplace"], dim=[2, 4], eps=[2.0, 8.0]), lambda **s: ex.pca_trial(split, "GaussianNB", **s))
 
 
 @query()
 def sweep_pca_iterations(spark, d):
     split = vector_split(spark, d)
-    return median_trials(spark, sweep.grid(iterations=[1, 5, 20], dim=[3], eps=[8.0]), lambda **s: ex.pca_trial(split, 4.0, "GaussianNB", **s))
+    return median_trials(spark, sweep.grid(iterations=[1, 5, 20], dim=[3], eps=[8.0]), lambda **s: ex.pca_trial(split, "GaussianNB", **s))
 
 
 @query()
@@ -718,8 +725,8 @@ def sweep_regression(spark, d):
     rows = orders(spark, d).withColumnRenamed("o_orderkey", "id")
     train = prep.hash_split(rows, "id", 0.5, SEED)
     private = returned(spark, d).withColumnRenamed("o_orderkey", "id")
-    known, whole = rows.filter(train).cache(), rows.join(private, "id").cache()
-    part, test = whole.filter(train).select("id", "y").cache(), whole.filter(~train).cache()
+    known, whole = rows.filter(train), rows.join(private, "id")
+    part, test = whole.filter(train).select("id", "y"), whole.filter(~train)
     control = regression.mse(test, regression.predict(["x"], regression.ols(whole.filter(train), ["x"], "y")), "y").first().mse
     found = median_trials(spark, sweep.grid(estimator=["plain", "oblivious", "datadep"], eps=[2.0, 4.0]), lambda **s: ex.regression_trial(known, part, test, sens=100.0, **s))
     return found.select("estimator", "eps", *[(F.col(c) / control).alias(n) for c, n in (("median", "ratio"), ("low", "low"), ("high", "high"))])
