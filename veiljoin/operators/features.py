@@ -232,12 +232,12 @@ def private_pca_laplace(
 
 
 def private_pca_power(
-    df: DataFrame | Moments, vector: str, d: int, eps: float | None, iterations: int, seed: int, delta: float = 1e-4, variance_as_scale: bool = True,
+    df: DataFrame | Moments, vector: str, d: int, eps: float | None, iterations: int, bound: float | None, seed: int, delta: float = 1e-4, variance_as_scale: bool = True,
 ) -> Basis:
     """PCA by the power method with Gaussian noise in each iteration; one distributed aggregate.
 
-    In each iteration the noise's sigma is multiplied by the largest absolute cell of the current vectors. That
-    is squared for the standard deviation, or taken as it is without ``variance_as_scale``.
+    In each iteration the noise's sigma is multiplied by the largest absolute cell of the current vectors, or by ``bound`` if
+    that is given. The product is squared for the standard deviation, or taken as it is without ``variance_as_scale``.
     """
     g = df.gram if isinstance(df, Moments) else gram(df, vector)
     p = g.shape[0]
@@ -245,7 +245,7 @@ def private_pca_power(
     x = np.linalg.qr(draw.standard_normal((p, d)))[0]
     sigma = math.sqrt(4 * d * iterations * math.log(1 / delta)) / eps if eps else 0.0
     for _ in range(iterations):
-        std = np.abs(x).max() * sigma
+        std = (np.abs(x).max() if bound is None else bound) * sigma
         y = g @ x + (draw.normal(scale=std**2 if variance_as_scale else std, size=(p, d)) if std else 0)
         x = np.linalg.qr(y)[0]
     return Basis(x, np.ones(p), np.zeros(p))

@@ -175,6 +175,37 @@ def uniform_subsample(spark, d):
     return prep.subsample(labels(spark, d), "doc_id", 0.25, SEED)
 
 
+@query(
+    f"WITH l AS (SELECT doc_id, quality, row_number() OVER (ORDER BY {q.u('doc_id', 'sample')}, doc_id) AS r FROM labels) "
+    "SELECT doc_id, quality FROM l WHERE r <= round((SELECT count(*) FROM documents) * 0.2e0)"
+)
+def subsample_of_known(spark, d):
+    return prep.subsample(labels(spark, d), "doc_id", 0.2, SEED, of=docs(spark, d))
+
+
+@query(
+    f"WITH e AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {q.u('vec_id', 'sample')}, vec_id) AS r FROM embeddings WHERE label IN (4, 9)) "
+    "SELECT vec_id, label FROM e WHERE label = 4 OR r <= (SELECT floor(count(*) / 5) FROM e)"
+)
+def stratified_keep_of_all(spark, d):
+    df = read_table(spark, d, "embeddings").select("vec_id", "label").filter(F.col("label").isin(4, 9))
+    return prep.biased_subsample(df, "vec_id", "label", 4, SEED, divisor=5, of="all")
+
+
+STATUSES = ["F", "O", "P"]
+
+
+@query(
+    "SELECT o_orderkey, " + ", ".join(f"(o_orderstatus = '{v}')::INTEGER AS \"o_orderstatus_{v}\"" for v in STATUSES)
+    + ", " + ", ".join(f"(o_orderpriority = '{p}')::INTEGER AS \"o_orderpriority_{p}\"" for p in PRIORITIES)
+    + ", (o_totalprice <= 1000)::INTEGER AS big_false, (o_totalprice > 1000)::INTEGER AS big_true FROM orders"
+)
+def one_hot_by_type(spark, d):
+    rows = read_table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", (F.col("o_totalprice") > 1000).alias("big"))
+    out = prep.one_hot_types(rows)
+    return out.select("o_orderkey", *[F.col(f"`{c}`") if c in out.columns else F.lit(0).alias(c) for c in (*[f"o_orderstatus_{v}" for v in STATUSES], *[f"o_orderpriority_{p}" for p in PRIORITIES], "big_false", "big_true")])
+
+
 @query(f"SELECT doc_id, {q.u('doc_id', 'split')} < 0.8e0 AS train FROM labels")
 def hash_split(spark, d):
     df = labels(spark, d)
@@ -352,6 +383,66 @@ def join_g2_nonunif(spark, d):
     return g2(spark, d, "NonUnif")
 
 
+DEP_UNIF = f"(CASE WHEN {q.u('id', 'rr.row')} < {(math.exp(2) - 1) / (math.exp(2) + 2.0**3 - 1)!r}e0 THEN [{', '.join(['1e0'] * FLAGS)}] ELSE {flip_list([0.5] * FLAGS)} END)"
+
+
+@query(g2_sql(WEIGHTED, "[" + ", ".join(f"g[{i + 1}]" for i in TOP3) + "]"))
+def join_g2_same_weighted(spark, d):
+    return g2(spark, d, "Same", "WeightedInd")
+
+
+@query(g2_sql(DEP, "[" + ", ".join(f"g[{i + 1}]" for i in TOP3) + "]"))
+def join_g2_same_dep(spark, d):
+    return g2(spark, d, "Same", "Dep")
+
+
+@query(g2_sql(DEP_UNIF, masked(None)))
+def join_g2_unif_dep(spark, d):
+    return g2(spark, d, "Unif", "Dep")
+
+
+@query(g2_sql(DEP, masked(P)))
+def join_g2_nonunif_dep(spark, d):
+    return g2(spark, d, "NonUnif", "Dep")
+
+
+TWO = "SELECT l_orderkey AS o_orderkey, sum(l_extendedprice) / 1000 AS y, sum(l_quantity)::DOUBLE AS z FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1"
+
+
+def two_columns(spark, d):
+    lines = read_table(spark, d, "lineitem").filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    return lines.agg((F.sum("l_extendedprice") / 1000).alias("y"), F.sum("l_quantity").cast("double").alias("z"))
+
+
+@query(
+    f"SELECT o_orderkey, x, membership, round(coalesce(y, 0) + {q.sign('o_orderkey', 'val.y')} * {q.laplace('o_orderkey', 'val.y', 200.0)}, 6) AS y, "
+    f"round(coalesce(z, 0) + {q.sign('o_orderkey', 'val.z')} * {q.laplace('o_orderkey', 'val.z', 200.0)}, 6) AS z "
+    f"FROM (SELECT *, {q.own_membership('o_orderkey', 'y IS NOT NULL', 1.0)} AS membership FROM ({ORDERS}) LEFT JOIN ({TWO}) USING (o_orderkey)) WHERE membership >= 1"
+)
+def join_g1_two_columns(spark, d):
+    out = join.join_values(orders(spark, d), two_columns(spark, d), "o_orderkey", ["y", "z"], eps_memb=1.0, eps_val=1.0, sens=100.0, seed=SEED)
+    return out.select("o_orderkey", "x", "membership", r6("y", "y"), r6("z", "z"))
+
+
+def bucket_sql(value: str, tag: str, noise: str) -> str:
+    return (
+        f"SELECT b.bucket, coalesce(s, 0) + {noise} AS value FROM (SELECT range AS bucket FROM range(128)) b "
+        f"LEFT JOIN (SELECT {q.bucket('o_orderkey', tag, 128)} AS bucket, sum({q.sign('o_orderkey', tag)} * {value}) AS s FROM ({TWO}) GROUP BY 1) k USING (bucket)"
+    )
+
+
+@query(
+    f"SELECT o_orderkey, x, membership, round(y, 4) AS y, round(z, 4) AS z FROM (SELECT o_orderkey, x, {q.sign('o_orderkey', 'memb')} * m.value AS membership, "
+    f"{q.sign('o_orderkey', 'val.y')} * v.value AS y, {q.sign('o_orderkey', 'val.z')} * w.value AS z FROM ({ORDERS}) "
+    f"JOIN ({bucket_sql('1e0', 'memb', q.geometric('b.bucket', 'memb', 1.0))}) m ON {q.bucket('o_orderkey', 'memb', 128)} = m.bucket "
+    f"JOIN ({bucket_sql('y', 'val.y', q.laplace('b.bucket', 'val.y', 200.0))}) v ON {q.bucket('o_orderkey', 'val.y', 128)} = v.bucket "
+    f"JOIN ({bucket_sql('z', 'val.z', q.laplace('b.bucket', 'val.z', 200.0))}) w ON {q.bucket('o_orderkey', 'val.z', 128)} = w.bucket) WHERE membership >= 1"
+)
+def join_g1_two_columns_buckets(spark, d):
+    out = join.join_values(orders(spark, d), two_columns(spark, d), "o_orderkey", ["y", "z"], eps_memb=1.0, eps_val=1.0, sens=100.0, seed=SEED, buckets=128)
+    return out.select("o_orderkey", "x", "membership", F.round("y", 4).alias("y"), F.round("z", 4).alias("z"))
+
+
 @query()
 def select_distribution(spark, d):
     p = selection.feature_distribution(flags(spark, d), "f", 1.0, SEED)
@@ -488,7 +579,7 @@ def private_pca_laplace(spark, d):
 
 @query()
 def private_pca_power(spark, d):
-    return basis_rows(spark, features.private_pca_power(vectors(spark, d), "x", 3, 5.0, 10, SEED))
+    return basis_rows(spark, features.private_pca_power(vectors(spark, d), "x", 3, 5.0, 10, None, SEED))
 
 
 @query(f"WITH s AS ({VECTORS}) SELECT round(quantile_cont(list_distance(a.x, b.x), 0.5), 6) AS bandwidth FROM s a JOIN s b ON a.id < b.id")
@@ -559,6 +650,19 @@ def ols_noisy_features(spark, d):
     return slope(spark, regression.noisy_features(df, ["x"], "y", df.count(), 0.5, 1.0)[0])
 
 
+@query(
+    f"WITH a AS (SELECT o_orderkey, o_totalprice / 1000 AS x, o_custkey / 1000e0 AS v FROM orders), k AS (SELECT a.*, y FROM a JOIN ({KEPT}) USING (o_orderkey)), "
+    f"f AS (SELECT sum(x * x) AS xx, sum(x * v) AS xv, sum(v * v) AS vv FROM a), s AS (SELECT sum(x * x) AS xx, sum(x * v) AS xv, sum(v * v) AS vv, sum(x * y) AS xy, sum(v * y) AS vy FROM k), "
+    f"m AS (SELECT (s.xx - {H!r} * f.xx) * c AS a, (s.xv - {H!r} * f.xv) * c AS b, (s.vv - {H!r} * f.vv) * c AS d, xy, vy FROM s, f, (SELECT {(1 - H) / (1 - 2 * H)!r}::DOUBLE AS c)) "
+    "SELECT round((d * xy - b * vy) / (a * d - b * b), 5) AS slope_x, round((a * vy - b * xy) / (a * d - b * b), 5) AS slope_v FROM m"
+)
+def ols_two_features(spark, d):
+    more = read_table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") / 1000).alias("v"))
+    known = orders(spark, d).join(more, "o_orderkey")
+    x, v = regression.data_dependent(g1(spark, d).join(more, "o_orderkey"), ["x", "v"], "y", known, H)
+    return spark.createDataFrame([(round(float(x), 5), round(float(v), 5))], "slope_x double, slope_v double")
+
+
 @query(f"WITH j AS (SELECT x, y FROM ({ORDERS}) JOIN ({RETURNED}) USING (o_orderkey)) SELECT round(avg((x * (SELECT sum(x * y) / sum(x * x) FROM j) - y) ** 2), 6) AS mse FROM j")
 def mse(spark, d):
     df = orders(spark, d).join(returned(spark, d), "o_orderkey")
