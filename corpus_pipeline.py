@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veiljoin.llm.common import save
+from veiljoin.llm.common import save, small
 from veiljoin.llm.decontaminate import decontaminate
 from veiljoin.llm.exact_dedup import exact_dedup, text_key
 from veiljoin.llm.mixing import mix_sources
@@ -30,7 +30,7 @@ def drop_rows(docs: DataFrame, verdicts: DataFrame, group: str) -> DataFrame:
     verdicts = save(verdicts.select("doc_id", "kept", "text_key", group), "pipeline-verdicts")
     again = verdicts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("again_id"))
     again = save(again, "pipeline-again")
-    gone = verdicts.filter("not kept").select("doc_id").distinct()
+    gone = small(save(verdicts.filter("not kept").select("doc_id").distinct(), "pipeline-gone"))
     if again.isEmpty():
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     shared = lambda df: df["doc_id"].eqNullSafe(F.col("again_id"))
