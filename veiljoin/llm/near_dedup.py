@@ -20,8 +20,9 @@ DF_BUCKETS = 1 << 16
 #: group of near copies shares doesn't lose to what sets them apart.
 IDF_SHARE = 0.25
 BASE = 0xC2B2AE3D27D4EB4F
-#: A shingle that may give more pairs than this is split by the next shingle that a pair shares.
-HOT_PAIRS = 10_000
+#: A shingle that may give more pairs than this, about a second's work of a task, is split by the next shingle that a
+#: pair shares, for which its texts are read again; fewer pairs cost less than that.
+HOT_PAIRS = 1_000_000
 #: Pairs with one document that go to one task.
 PART_PAIRS = 2000
 
