@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import randomness as rnd
 from ..operators import bandwidth, features, join, models, prep, regression, response, selection, sketch
 from ..sources.tables import read_table
-from ..streaming.membership import stream_member_sketch
+from ..streaming.membership import add_noise, stream_member_sketch
 from . import experiments as ex
 from . import sql as q
 from . import sweep
@@ -823,7 +823,28 @@ def sweep_without_privacy(spark, d):
     return median_trials(spark, sweep.grid(method=["fourier", "pca"], dim=[2, 6]), lambda **s: ex.open_trial(split, cells, "GaussianNB", **s))
 
 
-@query()
+def trial_sums(eps: float) -> str:
+    """Sums over the kept rows of 25 trials of a private join, half of eps each for membership and values."""
+    e = eps / 2
+    return (
+        f"SELECT {eps!r}::DOUBLE AS eps, {join.invention_rate(e)!r}::DOUBLE AS h, t, sum(x * x) AS xx, sum(x * y) AS xy, count(*)::DOUBLE AS m FROM (SELECT t, x, "
+        f"coalesce(y, 0) + {q.sign('o.id', 'val.y', seed='t')} * {q.laplace('o.id', 'val.y', 100.0 / e, seed='t')} AS y, "
+        f"{q.own_membership('o.id', 'r.id IS NOT NULL', e, seed='t')} AS z FROM o LEFT JOIN r ON o.id = r.id, range(25) AS k(t) WHERE train) WHERE z >= 1 GROUP BY t"
+    )
+
+
+@query(
+    f"WITH o AS (SELECT o_orderkey AS id, x, {q.u('o_orderkey', 'split')} < 0.5e0 AS train FROM ({ORDERS})), r AS (SELECT o_orderkey AS id, y FROM ({RETURNED})), "
+    "w AS (SELECT id, x, y, train FROM o JOIN r USING (id)), c AS (SELECT sum(x * y) / sum(x * x) AS b FROM w WHERE train), "
+    "t AS (SELECT sum(x * x) AS txx, sum(x * y) AS txy, sum(y * y) AS tyy, count(*)::DOUBLE AS tn, avg((x * (SELECT b FROM c) - y) ** 2) AS control FROM w WHERE NOT train), "
+    f"f AS (SELECT sum(x * x) AS ff, count(*)::DOUBLE AS n FROM o WHERE train), s AS ({trial_sums(2.0)} UNION ALL {trial_sums(4.0)}), "
+    "z AS (SELECT *, (m - h * n) / (1 - 2 * h) AS size FROM s, f), b AS ("
+    "SELECT 'plain' AS estimator, eps, xy / xx AS b FROM z UNION ALL SELECT 'oblivious', eps, xy / (xx * (m - h * (n - size)) / m) FROM z "
+    "UNION ALL SELECT 'datadep', eps, xy / ((xx - h * ff) * ((1 - h) / (1 - 2 * h))) FROM z), "
+    "v AS (SELECT estimator, eps, (b * b * txx - 2 * b * txy + tyy) / tn / control AS value FROM b, t), "
+    "g AS (SELECT estimator, eps, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.25) AS low, quantile_cont(value, 0.75) AS high FROM v GROUP BY ALL) "
+    "SELECT estimator, eps, round(m, 6) AS ratio, round(m - low, 6) AS low, round(high - m, 6) AS high FROM g"
+)
 def sweep_regression(spark, d):
     """Median error of 25 trials by estimator and eps and its quartile offsets, as ratios to the error of the inner join."""
     rows = orders(spark, d).withColumnRenamed("o_orderkey", "id")
@@ -833,21 +854,36 @@ def sweep_regression(spark, d):
     part, test = whole.filter(train).select("id", "y"), whole.filter(~train)
     control = regression.mse(test, regression.predict(["x"], regression.ols(whole.filter(train), ["x"], "y")), "y").first().mse
     found = median_trials(spark, sweep.grid(estimator=["plain", "oblivious", "datadep"], eps=[2.0, 4.0]), lambda **s: ex.regression_trial(known, part, test, sens=100.0, **s))
-    return found.select("estimator", "eps", *[(F.col(c) / control).alias(n) for c, n in (("median", "ratio"), ("low", "low"), ("high", "high"))])
+    return found.select("estimator", "eps", *[r6(F.col(c) / control, n) for c, n in (("median", "ratio"), ("low", "low"), ("high", "high"))])
 
 
-@query(
-    f"SELECT {q.bucket('user_id', 'memb', 32)} AS bucket, sum({q.sign('user_id', 'memb')}) AS value FROM (SELECT DISTINCT user_id, date_trunc('day', ts) AS w FROM events) GROUP BY 1"
-)
-def stream_membership(spark, d):
+def streamed_sums(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The final sums of the stream of events: a row a day and bucket, from the complete output of all batches."""
     schema = read_table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     sums = stream_member_sketch(stream, "user_id", "ts", 32, SEED, late="3650 days")
-    name = f"stream_membership_{abs(hash(d)) % 10**8}"
-    run = sums.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).groupBy("bucket").agg(F.sum("value").alias("value"))
+    name = f"{name}_{abs(hash(d)) % 10**8}"
+    sums.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+STREAMED = f"SELECT w, {q.bucket('user_id', 'memb', 32)} AS bucket, sum({q.sign('user_id', 'memb')}) AS value FROM (SELECT DISTINCT user_id, date_trunc('day', ts) AS w FROM events) GROUP BY ALL"
+
+
+@query(f"SELECT bucket, sum(value) AS value FROM ({STREAMED}) GROUP BY 1")
+def stream_membership(spark, d):
+    return streamed_sums(spark, d, "stream_membership").groupBy("bucket").agg(F.sum("value").alias("value"))
+
+
+@query(
+    f"WITH s AS ({STREAMED}), e AS (SELECT DISTINCT w, b AS bucket FROM s, range(32) AS r(b)) SELECT epoch(e.w)::BIGINT AS start, e.bucket, "
+    f"coalesce(value, 0e0) + {q.geometric("epoch(e.w)::BIGINT || ':' || e.bucket", 'memb', 1.0)} AS value FROM e LEFT JOIN s ON e.w = s.w AND e.bucket = s.bucket"
+)
+def stream_membership_release(spark, d):
+    """What may be published of the final days: all buckets of each, with noise."""
+    out = add_noise(streamed_sums(spark, d, "stream_membership_release"), 1.0, 32, SEED)
+    return out.select(F.col("start").cast("bigint").alias("start"), "bucket", "value")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
