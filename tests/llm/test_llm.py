@@ -14,6 +14,7 @@ from veiljoin.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+DOCS_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LONG = " ".join(f"w{i % 7001}" for i in range(60_000))
 
 
@@ -228,7 +229,9 @@ def test_mixing_rates(spark):
     rows = docs(spark, [(i, "t", "a" if i % 10 else "b") for i in range(4000)])
     out = {r.source: r["count"] for r in mixing.mix_sources(rows, {"a": 1.0, "b": 1.0}).groupBy("source").count().collect()}
     assert abs(out["a"] - 2000) < 200 and abs(out["b"] - 2000) < 200
-    assert mixing.mix_sources(edge_rows(spark)).count() >= 0 and mixing.mix_sources(docs(spark, [])).count() == 0
+    edges = mixing.mix_sources(edge_rows(spark).unionByName(edge_rows(spark)))
+    assert set(edges.select(DOCS_COLUMNS).distinct().collect()) <= set(edge_rows(spark).collect()) and edges.filter("doc_id = 4").groupBy("copy").count().filter("count % 4 > 0").isEmpty()
+    assert mixing.mix_sources(docs(spark, [])).count() == 0
 
 
 def test_pipeline_stages(spark):
