@@ -14,6 +14,7 @@ from .html_extract import extract_text
 from .mixing import mix_sources
 from .near_dedup import near_classes
 from .substring_dedup import remove_repeats
+from .token_files import read_tokens, write_tokens
 from .toxicity import fit_lexicon, toxicity_score
 from .url_filter import filter_urls
 from .warc import read_warc, write_warc
@@ -112,6 +113,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", gone.alias("n_removed"), sha256(F.col("text")).alias("kept_sha256"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, by_word=True)
+    return read_tokens(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
@@ -123,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_token_files": op12_token_files,
 }
 
 NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
