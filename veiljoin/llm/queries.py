@@ -17,6 +17,7 @@ from .substring_dedup import remove_repeats
 from .token_files import read_tokens, write_tokens
 from .toxicity import fit_lexicon, toxicity_score
 from .url_filter import filter_urls
+from .vector_codes import vector_codes
 from .warc import read_warc, write_warc
 
 
@@ -120,6 +121,11 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_url_filter": op2_url_filter,
@@ -132,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
     "op12_token_files": op12_token_files,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
@@ -140,6 +147,22 @@ ESCAPED = "replace(text, '\\', '\\\\')"
 for word in CONTROL:
     ESCAPED = f"replace({ESCAPED}, '{word}', '{word[0]}\\{word[1:]}')"
 
+#: Components in rows; then each round's nearest entries and the codebooks they lead to; then the codes.
+CODES = ["""
+        k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        x AS MATERIALIZED (SELECT vec_id, label, p, i, v[16 * p + i + 1] AS x FROM k, range(4) AS a(p), range(16) AS b(i)),
+        b0 AS (SELECT dense_rank() OVER (ORDER BY vec_id) - 1 AS e, p, i, x AS c FROM x QUALIFY e < 256)"""]
+for step in range(5):
+    CODES.append(f"""
+        n{step} AS MATERIALIZED (SELECT vec_id, p, e, d FROM
+              (SELECT vec_id, x.p, e, sum((x - c) * (x - c))::BIGINT AS d FROM x JOIN b{step} AS b ON x.p = b.p AND x.i = b.i GROUP BY ALL)
+              QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, e) = 1)""")
+    if step < 4:
+        CODES.append(f"""
+        m{step} AS (SELECT p, e, i, sum(x) AS s, count(*) AS n FROM x JOIN n{step} USING (vec_id, p) GROUP BY ALL),
+        b{step + 1} AS MATERIALIZED (SELECT e, p, i, coalesce((s - ((s % n) + n) % n) // n, c)::BIGINT AS c FROM b{step} LEFT JOIN m{step} USING (e, p, i))""")
+
 SQL: dict[str, str] = {
     "op2_url_filter": r"""
         WITH u AS (
@@ -223,4 +246,10 @@ SQL: dict[str, str] = {
                sha256(coalesce(CASE WHEN n IS NULL THEN array_to_string(w, ' ')
                    ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(ps, i)), ' ') END, '')) AS kept_sha256
         FROM d LEFT JOIN r USING (doc_id)""",
+    "op13_vector_codes": f"""
+        WITH {",".join(CODES)},
+        r AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM n4 GROUP BY vec_id)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+               (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY p, e, i)) FROM b4) AS codebooks_sha256
+        FROM r JOIN k USING (vec_id)""",
 }

@@ -20,7 +20,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,7 +41,7 @@ WIDTHS = {IDS: np.dtype("<u4"), DOC_IDS: np.dtype("<u8"), COUNTS: np.dtype("<u8"
 BLOCK = 65_536
 #: A file gets about so many bytes of text, more only if a single document is larger.
 TEXT_BYTES = 48_000_000
-#: Words whose ids a Python worker remembers; it forgets all when there are more.
+#: Words whose ids a Python worker remembers; when there are more, it forgets those that the present texts lack.
 WORDS = 600_000
 #: Texts are encoded in groups of about so many characters; longer ones in pieces that end before a space.
 GROUP_CHARS = 2_000_000
@@ -155,46 +155,53 @@ class TokenFile:
 class TextIds:
     """Token ids of texts, by a tokenizer file of the ``tokenizers`` library.
 
-    ``by_word``: for tokenizers that drop white space, whose ids of a text are those of its words one after the
-    other. Words are then encoded once and remembered, many to a call, with NUL between them as its id tells where
-    a word ends. Words that hold NUL or the tokenizer's own control strings are encoded alone.
+    ``by_word``: for tokenizers that fold case and drop white space, whose ids of a text are those of its words one
+    after the other. Words are then encoded once and remembered, many to a call, with NUL between them as its id tells
+    where a word ends. Words that hold NUL or the tokenizer's own control strings are encoded alone.
     """
 
     def __init__(self, path: str, by_word: bool) -> None:
         self.tokenizer, self.by_word, self.known = Tokenizer.from_file(path), by_word, {}
         self.control = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + ["\0"]
-        end = self.encode(["\0"])[0]
-        self.end = end[0] if len(end) == 1 else None
+        end, stop, comma = self.encode(["\0", ".", ","])
+        self.end = end[0]
+        folds = self.encode(["AbC."])[0] == self.encode(["abc"])[0] + stop
+        self.marks = {m: np.array(ids, "<u4").tobytes() for m, ids in (("", []), (".", stop), (",", comma))} if folds and len(end) == 1 else {}
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        alone = [w for w in words if len(w) > LONG_WORD or self.end is None or any(c in w for c in self.control)]
+    def learn(self, words: Iterable[str]) -> None:
+        """ASCII words by their lower-case form, and without a last full stop or comma, which is a token of its own."""
+        whole = " ".join(words)
+        if not self.marks or any(c in whole for c in self.control):
+            alone = [w for w in words if not self.marks or len(w) > LONG_WORD or any(c in w for c in self.control)]
+        else:
+            alone = [w for w in words if len(w) > LONG_WORD]
         for word, ids in zip(alone, self.encode(alone)):
             self.known[word] = np.array(ids, "<u4").tobytes()
-        plain = list(set(words).difference(alone))
+        forms = {w: stem(w) for w in (set(words).difference(alone) if alone else words)}
+        plain = list({s for s, _ in forms.values()}.difference(self.known))
         for i in range(0, len(plain), 20_000):
             some = plain[i : i + 20_000]
             ids = np.array(self.encode([" \0 ".join(some) + " \0"])[0], "<u4")
-            cuts = np.flatnonzero(ids == self.end).tolist()
             raw, at = ids.tobytes(), 0
-            for word, cut in zip(some, cuts, strict=True):
-                self.known[word] = raw[4 * at : 4 * cut]
-                at = cut + 1
+            for word, cut in zip(some, (4 * np.flatnonzero(ids == self.end)).tolist(), strict=True):
+                self.known[word] = raw[at:cut]
+                at = cut + 4
+        for word, (base, mark) in forms.items():
+            self.known[word] = self.known[base] + self.marks[mark]
 
     def of_words(self, texts: list[str]) -> list[bytes]:
         rows = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         words = set().union(*rows)
         new = words.difference(self.known)
         if len(self.known) + len(new) > WORDS:
-            self.known.clear()
-            new = words
-        self.learn(list(new))
+            self.known = {w: self.known[w] for w in words.difference(new)}
+        self.learn(new)
         out = [b"".join(map(self.known.__getitem__, row)) for row in rows]
-        for word in new:
-            if len(word) > LONG_WORD:
-                del self.known[word]
+        for word in [w for w in new if len(w) > LONG_WORD]:
+            del self.known[word]
         return out
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
@@ -214,6 +221,13 @@ class TextIds:
             at = past
 
 
+def stem(word: str) -> tuple[str, str]:
+    if not word.isascii():
+        return word, ""
+    low = word.lower()
+    return (low[:-1], low[-1]) if low[-1:] in (".", ",") and low[-2:-1].isalpha() else (low, "")
+
+
 def pieces(text: str) -> Iterator[str]:
     at = 0
     while at < len(text):
