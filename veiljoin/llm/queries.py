@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, read_chats, trained_text
+from .chat_repair import repair_chats
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .html_extract import extract_text
@@ -114,6 +115,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", gone.alias("n_removed"), sha256(F.col("text")).alias("kept_sha256"))
 
 
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    rows = table(spark, sf_dir, "conversations").withColumn("fault", F.crc32(F.concat(told("conv_id"), F.lit(":"), told("turn")).cast("binary")) % 20)
+    damaged = rows.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("fault") == 4, "user").otherwise(told("role")).alias("role"),
+        F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace(told("text"), "[.!?]", "")).otherwise(told("text")).alias("text"),
+        (F.col("fault") != 0).alias("present"),
+        F.explode(F.when(F.col("fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
+    )
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return repair_chats(damaged, F.col("present")).withColumn("turns", sha256(text)).withColumnRenamed("turns", "repaired_sha256")
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -137,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_chat_repair": op11_chat_repair,
     "op12_token_files": op12_token_files,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -147,6 +164,25 @@ ESCAPED = "replace(text, '\\', '\\\\')"
 for word in CONTROL:
     ESCAPED = f"replace({ESCAPED}, '{word}', '{word[0]}\\{word[1:]}')"
 
+#: Options of the repair are {cost, audit, text}; an edit adds to them.
+EDIT = "{{'c': {v}.c + {cost}, 'a': {v}.a || '{letter}', 't': {v}.t || {text}}}"
+
+
+def sql_edit(v: str, letter: str, cost: str, text: str = "''") -> str:
+    return EDIT.format(v=v, letter=letter, cost=cost, text=text)
+
+
+def sql_put(v: str, initial: str, role: str) -> str:
+    kept, other = sql_edit(v, "K", "z", "role || ':' || text || chr(10)"), sql_edit(v, "R", "z + 3", f"'{role}:' || text || chr(10)")
+    return f"CASE WHEN x = '{initial}' THEN {kept} ELSE {other} END"
+
+
+def sql_inserts(rows: str) -> str:
+    inserted = ", ".join(sql_edit(v, "I", "3", "'user:' || chr(10)") for v in ("v0", "v1", "v3"))
+    last = sql_edit("w2", "I", "3", "'assistant:' || chr(10)")
+    return f"(SELECT *, least(v3, {last}) AS w3 FROM (SELECT *, least(v2, {inserted}) AS w2 FROM {rows}))"
+
+
 #: Components in rows; then each round's nearest entries and the codebooks they lead to; then the codes.
 CODES = ["""
         k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
@@ -246,6 +282,39 @@ SQL: dict[str, str] = {
                sha256(coalesce(CASE WHEN n IS NULL THEN array_to_string(w, ' ')
                    ELSE array_to_string(list_filter(w, lambda x, i: NOT list_contains(ps, i)), ' ') END, '')) AS kept_sha256
         FROM d LEFT JOIN r USING (doc_id)""",
+    "op11_chat_repair": f"""
+        WITH RECURSIVE c AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_reduce(list_prepend(4294967295,
+                [ascii(x)::BIGINT FOR x IN string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')]),
+                lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))) AS crc FROM conversations),
+        d AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role,
+                CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+              FROM (SELECT *, xor(crc, 4294967295) % 20 AS f FROM c)),
+        q AS (SELECT *, left(role, 1) AS x, row_number() OVER talk AS i, lag(left(role, 1)) OVER talk || left(role, 1) AS pair,
+                regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS e
+              FROM d WINDOW talk AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM q),
+        g AS (SELECT *, e = '' AS blank, e <> '' AND seen > 1 AS duplicate, seen = 1 AND e NOT IN ('', '.', '!', '?') AS truncated,
+                CASE WHEN seen = 1 AND e NOT IN ('', '.', '!', '?') THEN 3 ELSE 0 END AS z FROM t),
+        s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank) AS blank,
+                count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+                count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM g GROUP BY conv_id),
+        dp AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 't': ''}} AS v0, {{'c': 1000000::BIGINT, 'a': '', 't': ''}} AS v1,
+                {{'c': 1000000::BIGINT, 'a': '', 't': ''}} AS v2, {{'c': 1000000::BIGINT, 'a': '', 't': ''}} AS v3 FROM s
+            UNION ALL SELECT w.conv_id, g.i, {sql_edit("v0", "D", "4")},
+                CASE WHEN x = 's' AND NOT (blank OR duplicate) THEN least({sql_edit("v1", "D", "4")}, {sql_edit("v0", "K", "z", "role || ':' || text || chr(10)")})
+                     ELSE {sql_edit("v1", "D", "4")} END,
+                CASE WHEN blank OR duplicate THEN {sql_edit("w2", "D", "4")} ELSE least({sql_edit("w2", "D", "4")},
+                     {", ".join(sql_put(v, "u", "user") for v in ("v0", "v1", "w3"))}) END,
+                CASE WHEN blank OR duplicate THEN {sql_edit("w3", "D", "4")} ELSE least({sql_edit("w3", "D", "4")}, {sql_put("w2", "a", "assistant")}) END
+            FROM {sql_inserts("dp")} AS w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1),
+        r AS (SELECT conv_id, i, least(v0, w3) AS best FROM {sql_inserts("dp")})
+        SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+               coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+               coalesce(best.a, '') AS audit, sha256(coalesce(left(best.t, length(best.t) - 1), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS o LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM o.conv_id AND r.i = s.n""",
     "op13_vector_codes": f"""
         WITH {",".join(CODES)},
         r AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM n4 GROUP BY vec_id)
