@@ -76,5 +76,5 @@ def test_mixing_copies_whole_rows(spark):
     assert set(out) <= set(rows) and 150 < len(out) < 450
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+def test_thirteen_operators_are_registered():
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))

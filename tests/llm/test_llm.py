@@ -30,7 +30,7 @@ def edge_rows(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in "documents pages benchmark labels conversations".split():
+    for t in "documents pages benchmark labels conversations embeddings".split():
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = db.sql(SQL[name])
     order = [d[0] for d in want.description]

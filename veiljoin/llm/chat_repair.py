@@ -122,7 +122,7 @@ def repair_chats(rows: DataFrame, present: Column | None = None) -> DataFrame:
     here = F.lit(True) if present is None else F.coalesce(present, F.lit(False))
     known = rows.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), here.alias("here")
-    )
+    ).repartition("conv_id")
     order = [F.col("turn").asc_nulls_first(), "role", "text"]
     same = Window.partitionBy("conv_id", "here", "role", "text").orderBy("place")
     talk = Window.partitionBy("conv_id", "here").orderBy(*order)

@@ -50,7 +50,7 @@ LONG_WORD = 64
 
 def to_planes(values: np.ndarray, bits: int) -> list[bytes]:
     """Planes of unsigned numbers, the lowest first, up to the highest that isn't all zero: ``bits`` is 1 or 8."""
-    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
     top = int(values.max()) if len(values) else 0
     if bits == 8:
         return [raw[i].tobytes() for i in range((top.bit_length() + 7) // 8)]
@@ -141,7 +141,8 @@ class TokenFile:
         return values
 
     def ids(self, start: int, stop: int) -> np.ndarray:
-        """Ids of the file from ``start`` up to ``stop``; only the blocks that hold them are decompressed."""
+        """Ids of the file from ``start`` up to ``stop`` or its end; only the blocks that hold them are decompressed."""
+        stop = min(stop, self.n_ids)
         first, past = start // self.block, -(-stop // self.block)
         found = [self.numbers(IDS, i) for i in range(first, past)]
         return np.concatenate([np.zeros(0, WIDTHS[IDS]), *found])[start - first * self.block : stop - first * self.block]
