@@ -11,6 +11,8 @@ from ..functions.randomness import uniform
 
 #: Bins of the distributed rank: only the bin that holds the cut, a millionth of the rows, is sorted.
 BINS = 1 << 20
+#: One row a group is broadcast up to so many groups.
+BROADCAST_GROUPS = 100_000
 
 
 def universe(*tables: DataFrame, id: str = "id") -> DataFrame:
@@ -66,17 +68,20 @@ def keep_ranked(df: DataFrame, id: str, seed: int, keep: DataFrame, group: str |
     """Of each group the ``k`` rows with the smallest draw, exactly, without a sort of all rows.
 
     ``keep`` has a row (group, k), or one row (k). Draws are uniform, so bins of them are even: bins
-    under the cut stay whole, and only the bin with the cut is ranked. Rows meet one row a group, the cut.
+    under the cut stay whole, and only the bin with the cut is ranked. Rows meet one row a group, the cut, by a
+    broadcast where ``keep`` has at most ``BROADCAST_GROUPS`` rows, so they aren't shuffled.
     """
+    few = group is None or keep.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    spread = F.broadcast if few else (lambda one: one)
     g = F.col(group) if group else F.lit(0)
     rows = df.withColumns({"_u": uniform(F.col(id), tag, seed), "_g": g}).withColumn("_bin", F.floor(F.col("_u") * BINS))
     counts = rows.groupBy("_g", "_bin").agg(F.count(F.lit(1)).alias("_n"))
     up_to = Window.partitionBy("_g").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     wanted = keep.select((F.col(group) if group else F.lit(0)).alias("_g"), F.col("k").cast("bigint").alias("_k"))
-    bins = counts.withColumn("_below", F.coalesce(F.sum("_n").over(up_to), F.lit(0))).join(wanted, "_g").filter("_below < _k")
+    bins = counts.withColumn("_below", F.coalesce(F.sum("_n").over(up_to), F.lit(0))).join(spread(wanted), "_g").filter("_below < _k")
     cuts = bins.groupBy("_g").agg(F.max("_bin").alias("_cut"), F.max_by("_below", "_bin").alias("_below"), F.max("_k").alias("_k"))
     rank = F.row_number().over(Window.partitionBy("_g", "_bin").orderBy("_u", id))
-    held = rows.join(cuts, "_g")
+    held = rows.join(spread(cuts), "_g")
     whole = held.filter("_bin < _cut")
     cut = held.filter("_bin = _cut").withColumn("_r", rank).filter("_below + _r <= _k").drop("_r")
     return whole.unionByName(cut).select(*df.columns)
