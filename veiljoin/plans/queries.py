@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import randomness as rnd
-from ..operators import bandwidth, features, join, models, prep, regression, response, selection, sketch
+from ..operators import bandwidth, cells, features, join, models, prep, regression, response, selection, sketch, wide
 from ..sources.tables import read_table
 from ..streaming.membership import add_noise, stream_member_sketch
 from . import experiments as ex
@@ -587,6 +587,35 @@ def bandwidth_median(spark, d):
     return bandwidth.median_of_all(vectors(spark, d), "id", "x").select(r6("bandwidth", "bandwidth"))
 
 
+ORDER_COLUMNS = ["o_orderstatus", "o_orderpriority", "o_custkey"]
+ORDER_CATEGORIES = " UNION ALL ".join(f"SELECT o_orderkey AS id, '{c}=' || {c} AS name FROM orders" for c in ORDER_COLUMNS)
+
+
+@query(f"WITH c AS ({ORDER_CATEGORIES}) SELECT a.name AS a, b.name AS b, count(*)::DOUBLE AS value FROM c a JOIN c b ON a.id = b.id AND a.name <= b.name GROUP BY ALL")
+def gram_one_hot(spark, d):
+    """Gram matrix of one-hot orders, a column for each status, priority and customer: its cells that aren't 0."""
+    rows, known, _ = wide.sparse_one_hot(read_table(spark, d, "orders"), "o_orderkey", ORDER_COLUMNS, SEED)
+    name = known.select("index", F.concat_ws("=", "column", "category").alias("name"))
+    met = wide.gram_entries(wide.gram_tiles(rows)).join(name.toDF("i", "x"), "i").join(name.toDF("j", "y"), "j")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "value")
+
+
+@query()
+def pca_one_hot(spark, d):
+    """The three largest eigenvalues of the covariance of one-hot orders and each category's squared loading: no p by p matrix is held."""
+    rows, known, width = wide.sparse_one_hot(read_table(spark, d, "orders"), "o_orderkey", ORDER_COLUMNS, SEED)
+    vectors, values = wide.principal(rows, width, 3, centred=True)
+    found = [(i, k, float(values[k]), float(vectors[i, k] ** 2)) for i in range(width) for k in range(vectors.shape[1])]
+    loadings = spark.createDataFrame(found, "index int, component int, eigenvalue double, loading double")
+    return known.join(loadings, "index").select("column", "category", "component", r6("eigenvalue", "eigenvalue"), r6("loading", "loading"))
+
+
+@query(SQL["bandwidth_median"])
+def bandwidth_median_pruned(spark, d):
+    found, _ = cells.median_by_cells(vectors(spark, d), "id", "x")
+    return bandwidth.one_figure(spark, [] if found is None else [found]).select(r6("bandwidth", "bandwidth"))
+
+
 SAMPLE1000 = f"SELECT id, x FROM ({VECTORS}) ORDER BY {q.u('id', 'bandwidth')}, id LIMIT 1000"
 
 
@@ -691,6 +720,12 @@ def knn_vote(spark, d):
     return models.nearest_votes(train, test).select("id", "label", "predicted")
 
 
+@query(SQL["knn_vote"])
+def knn_vote_pruned(spark, d):
+    train, test = train_test(spark, d)
+    return cells.pruned_votes(train, test).select("id", "label", "predicted")
+
+
 @query(KNN + "SELECT round(avg((predicted = v.label)::INTEGER), 6) AS accuracy FROM v JOIN k USING (id) WHERE NOT train")
 def accuracy(spark, d):
     train, test = train_test(spark, d)
@@ -720,6 +755,14 @@ def ttc_median_vote(spark, d):
     return models.corrected_votes(flags(spark, d), "f", 1.0, score, 201, SEED)
 
 
+@query()
+def ttc_fitted_vote(spark, d):
+    """The median prediction of a tree, fitted to whole rows, over noisy copies of the rows held out."""
+    split = sign_split(spark, d)
+    fitted = models.MODELS["DecisionTree"](split.known.join(split.private, "id").withColumn("x", F.transform("x", lambda v: F.greatest(v, F.lit(0.0)))))
+    return models.corrected_predictions(split.test, "x", 1.0, fitted, 201, SEED)
+
+
 def trial_rows(spark, d):
     """Membership joins of ten trials: kept known rows by trial and eps."""
     grid = spark.range(10).withColumnRenamed("id", "trial").crossJoin(spark.createDataFrame([(1.0,), (2.0,)], "eps double"))
