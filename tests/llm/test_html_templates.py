@@ -84,3 +84,28 @@ def test_edges(spark):
     assert h.extract_text(df.limit(0)).count() == 0
     ids = df.withColumn("page_id", df.url)
     assert h.extract_text(ids).filter("page_id = 'http://b.com'").count() == 2
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<article><p class="a"">Hello</p><p class="b">World</p></article>', "Hello World"),
+        ("<p title=don't>First</p><p>it's here</p><p>Third</p>", "First it's here Third"),
+        ("<article><p title=\"a > b\">One</p><p title='c > d' data-x = \"e>\">Two</p><p \"odd\">Three</p><p x=>Four</p></article>", "One Two Three Four"),
+        ("<article><p>One</p><noscript class=\"x\"\">no</noscript><p>Two</p></article>", "One Two"),
+    ],
+)
+def test_quotes_open_values_only_after_an_equals_sign(page, text):
+    assert h.main_text(f"<body>{page}</body>") == text
+
+
+@pytest.mark.parametrize("token", "comment-body comment-list reader-comments post-comments-area respond share-buttons related-posts ad-slot promo-box navbar-top ad_300x250 site-nav".split())
+def test_blocks_of_comments_and_adverts_go_by_compound_names(token):
+    for name in ("class", "id"):
+        assert h.main_text(f'<body><article><p>Own words of the article</p><div {name}="{token}"><p>Not own</p></div></article></body>') == "Own words of the article"
+        assert h.main_text(f'<body><p>Own words of the page</p><div {name}="x {token}"><p>Not own</p></div></body>') == "Own words of the page"
+
+
+@pytest.mark.parametrize("token", "has-sidebar comments-open nav-fixed no-banner share-price content".split())
+def test_names_of_states_say_nothing(token):
+    assert h.main_text(f'<body><article><h1>Head of it all</h1><p class="{token}">Own</p></article></body>') == "Head of it all Own"

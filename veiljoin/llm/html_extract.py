@@ -24,14 +24,16 @@ from pyspark.sql import functions as F
 from .common import bound_batches, save, small
 from .url_filter import url_host
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?|<[!?][^>]*>?", re.S)
+#: What a tag holds after its name. A quote opens a value only after an equals sign, and only if it is closed.
+INSIDE = r"((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)"
+TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*){INSIDE}>?|<[!?][^>]*>?", re.S)
 NAMES = re.compile(r"""(?<![\w:.-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 WORDS = re.compile(r"[a-z]+")
 RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "noembed", "template", "svg", "math", "select"}
 #: Raw elements that take the rest of the page if they aren't closed, as browsers read them; of others only the tag goes.
 TO_END = {"script", "style", "title", "textarea"}
 RAW_TAGS = {
-    tag: re.compile(rf"<(/){tag}\b[^>]*>?" if tag in TO_END else rf"<(/?){tag}(?![^\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>?", re.I) for tag in RAW
+    tag: re.compile(rf"<(/){tag}\b[^>]*>?" if tag in TO_END else rf"<(/?){tag}(?![^\s/>]){INSIDE}>?", re.I) for tag in RAW
 }
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
@@ -48,7 +50,13 @@ DROP_TAGS = {"head", "nav", "header", "footer", "aside", "form", "menu", "button
 DROP_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "complementary",
     "contentinfo", "cookie", "cookies", "consent", "disqus", "footer", "menu", "nav", "navbar", "navigation", "newsletter", "notice",
-    "notices", "popup", "promo", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar",
+    "notices", "popup", "promo", "related", "respond", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar",
+}
+#: What such a word is joined with where the whole still names a block of its kind, as in comment-list or related-posts; has-sidebar doesn't.
+COMPANIONS = {
+    "area", "articles", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "footer", "form", "global", "header", "icons", "inner", "item",
+    "items", "left", "links", "list", "main", "meta", "page", "panel", "post", "posts", "primary", "reader", "reply", "right", "secondary", "section", "site", "slot", "stories",
+    "text", "thread", "title", "top", "unit", "user", "widget", "wrap", "wrapper",
 }
 #: A slot is constant if this many distinct pages of its host have it and all have one text.
 SUPPORT = 3
@@ -78,8 +86,12 @@ def closing(tag: str, source: str) -> dict[int, int]:
 
 
 def speaks_against(names: str) -> bool:
-    """Whether a token is one of DROP_WORDS, or some of them joined by hyphens."""
-    return any(DROP_WORDS.issuperset(re.split("[-_]+", x)) for x in names.lower().split())
+    """Whether a token is one of DROP_WORDS, or some of them joined by hyphens to each other, to COMPANIONS or to numbers."""
+    for token in names.lower().split():
+        parts = [p for p in re.split("[-_]+", token) if p and not re.fullmatch(r"\d+(x\d+)?", p)]
+        if not DROP_WORDS.isdisjoint(parts) and all(p in DROP_WORDS or p in COMPANIONS for p in parts):
+            return True
+    return False
 
 
 class Page:
@@ -87,7 +99,7 @@ class Page:
 
     ``parts`` has the texts with their nodes, also in page order, and (node, None) where an element begins or
     ends; inline tags leave only their text. ``named`` says that tokens of class, id and role speak against an
-    element: one of DROP_WORDS, or some of them joined by hyphens; ``drop`` that it can't hold article text.
+    element (see ``speaks_against``); ``drop`` that it can't hold article text.
     Unclosed and stray tags are tolerated.
     """
 
