@@ -41,8 +41,9 @@ WIDTHS = {IDS: np.dtype("<u4"), DOC_IDS: np.dtype("<u8"), COUNTS: np.dtype("<u8"
 BLOCK = 65_536
 #: A file gets about so many bytes of text, more only if a single document is larger.
 TEXT_BYTES = 48_000_000
-#: Words whose ids a Python worker remembers; when there are more, it forgets those that the present texts lack.
-WORDS = 600_000
+#: Words whose ids a Python worker remembers in each of two generations: when the younger is full it becomes the older,
+#: from which words are taken over that come again, and the older is forgotten.
+WORDS = 350_000
 #: Texts are encoded in groups of about so many characters; longer ones in pieces that end before a space.
 GROUP_CHARS = 2_000_000
 LONG_WORD = 64
@@ -162,7 +163,7 @@ class TextIds:
     """
 
     def __init__(self, path: str, by_word: bool) -> None:
-        self.tokenizer, self.by_word, self.known = Tokenizer.from_file(path), by_word, {}
+        self.tokenizer, self.by_word, self.known, self.older = Tokenizer.from_file(path), by_word, {}, {}
         self.control = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + ["\0"]
         end, stop, comma = self.encode(["\0", ".", ","])
         self.end = end[0]
@@ -182,7 +183,7 @@ class TextIds:
         for word, ids in zip(alone, self.encode(alone)):
             self.known[word] = np.array(ids, "<u4").tobytes()
         forms = {w: stem(w) for w in (set(words).difference(alone) if alone else words)}
-        plain = list({s for s, _ in forms.values()}.difference(self.known))
+        plain = list(self.recall({s for s, _ in forms.values()}.difference(self.known)))
         for i in range(0, len(plain), 20_000):
             some = plain[i : i + 20_000]
             ids = np.array(self.encode([" \0 ".join(some) + " \0"])[0], "<u4")
@@ -193,12 +194,19 @@ class TextIds:
         for word, (base, mark) in forms.items():
             self.known[word] = self.known[base] + self.marks[mark]
 
+    def recall(self, words: set[str]) -> set[str]:
+        """Take over what the older generation knows; returns the rest."""
+        known = words.intersection(self.older) if self.older else ()
+        for word in known:
+            self.known[word] = self.older[word]
+        return words.difference(known)
+
     def of_words(self, texts: list[str]) -> list[bytes]:
         rows = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         words = set().union(*rows)
-        new = words.difference(self.known)
+        new = self.recall(words.difference(self.known))
         if len(self.known) + len(new) > WORDS:
-            self.known = {w: self.known[w] for w in words.difference(new)}
+            self.older, self.known = self.known, {w: self.known[w] for w in words.difference(new)}
         self.learn(new)
         out = [b"".join(map(self.known.__getitem__, row)) for row in rows]
         for word in [w for w in new if len(w) > LONG_WORD]:
