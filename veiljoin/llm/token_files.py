@@ -20,7 +20,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +29,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from .common import bound_batches, save, shared_dir, small
 
@@ -47,6 +47,8 @@ WORDS = 350_000
 #: Texts are encoded in groups of about so many characters; longer ones in pieces that end before a space.
 GROUP_CHARS = 2_000_000
 LONG_WORD = 64
+#: Letters before this one are Latin, and composed in one way only.
+LATIN = "\u0250"
 
 
 def to_planes(values: np.ndarray, bits: int) -> list[bytes]:
@@ -159,7 +161,8 @@ class TextIds:
 
     ``by_word``: for tokenizers that fold case and drop white space, whose ids of a text are those of its words one
     after the other. Words are then encoded once and remembered, many to a call, with NUL between them as its id tells
-    where a word ends. Words that hold NUL or the tokenizer's own control strings are encoded alone.
+    where a word ends. Words that hold NUL or the tokenizer's own control strings are encoded alone. Words of
+    Latin letters are normalised many at a time and then only cut at spaces; tokens with the suffix of word ends tell where they end.
     """
 
     def __init__(self, path: str, by_word: bool) -> None:
@@ -169,6 +172,15 @@ class TextIds:
         self.end = end[0]
         folds = self.encode(["AbC."])[0] == self.encode(["abc"])[0] + stop
         self.marks = {m: np.array(ids, "<u4").tobytes() for m, ids in (("", []), (".", stop), (",", comma))} if folds and len(end) == 1 else {}
+        self.letters, self.ends = Tokenizer.from_file(path), None
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        probe = ["a", "the", "abcdefghijklmnopqrstuvwxyz", "zzqxj", "\u00e9\u00df\u0153\u0180"]
+        if suffix and self.tokenizer.normalizer and self.encode(probe) == [e.ids for e in self.letters.encode_batch_fast(probe, add_special_tokens=False)]:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -183,17 +195,28 @@ class TextIds:
         for word, ids in zip(alone, self.encode(alone)):
             self.known[word] = np.array(ids, "<u4").tobytes()
         forms = {w: stem(w) for w in (set(words).difference(alone) if alone else words)}
-        plain = list(self.recall({s for s, _ in forms.values()}.difference(self.known)))
-        for i in range(0, len(plain), 20_000):
-            some = plain[i : i + 20_000]
-            ids = np.array(self.encode([" \0 ".join(some) + " \0"])[0], "<u4")
-            raw, at = ids.tobytes(), 0
-            for word, cut in zip(some, (4 * np.flatnonzero(ids == self.end)).tolist(), strict=True):
-                self.known[word] = raw[at:cut]
-                at = cut + 4
+        plain = self.recall({s for s, _ in forms.values()}.difference(self.known))
+        letters = {w: w for w in plain if w.isalpha() and w.isascii()} if self.ends is not None else {}
+        if self.ends is not None:
+            latin = [w for w in plain.difference(letters) if w.isalpha() and max(w) < LATIN]
+            low = self.tokenizer.normalizer.normalize_str(" ".join(latin)).split(" ")
+            letters |= {w: x for w, x in zip(latin, low, strict=True) if x.isalpha() and max(x) < LATIN} if latin else {}
+        self.cut(list(letters), list(letters.values()), self.letters, " ", lambda ids: self.ends[ids])
+        rest = list(plain.difference(letters))
+        self.cut(rest, rest, self.tokenizer, " \0 ", lambda ids: ids == self.end)
         for word, (base, mark) in forms.items():
             self.known[word] = self.known[base] + self.marks[mark]
 
+    def cut(self, words: list[str], forms: list[str], tokenizer: Tokenizer, between: str, ends: Callable[[np.ndarray], np.ndarray]) -> None:
+        """Encode the forms of words in one text and cut its ids after the tokens that end a word, or at those between words."""
+        for i in range(0, len(words), 20_000):
+            some = forms[i : i + 20_000]
+            ids = np.array(tokenizer.encode_batch_fast([between.join([*some, ""]).rstrip(" ")], add_special_tokens=False)[0].ids, "<u4")
+            raw, at, gap = ids.tobytes(), 0, 4 * (between != " ")
+            for word, past in zip(words[i : i + 20_000], (4 * np.flatnonzero(ends(ids)) + 4).tolist(), strict=True):
+                self.known[word] = raw[at : past - gap]
+                at = past
+
     def recall(self, words: set[str]) -> set[str]:
         """Take over what the older generation knows; returns the rest."""
         known = words.intersection(self.older) if self.older else ()
