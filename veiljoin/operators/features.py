@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.budget import BudgetError, Ledger
 from ..functions.randomness import gaussian_value, uniform_value
 
 ROOT2 = math.sqrt(2)
@@ -207,8 +208,17 @@ class Moments:
         return cls(g, means, largest, n)
 
 
+def charged(ledger: Ledger | None, df: DataFrame | Moments, eps: float | None) -> None:
+    """Charge a basis to the table's sources; moments don't tell theirs, so they can't be charged."""
+    if ledger and isinstance(df, Moments):
+        raise BudgetError("a ledger needs the private table, not its moments")
+    if ledger and not isinstance(df, Moments):
+        ledger.charge(df, "basis", math.inf if eps is None else eps)
+
+
 def private_pca_laplace(
     df: DataFrame | Moments, vector: str, d: int, eps: float | None, seed: int, bounds: np.ndarray | None = None, spread: float = 4.0,
+    ledger: Ledger | None = None,
 ) -> Basis:
     """PCA of data scaled to x / (spread * s) + 1/2, with Laplace noise on means and covariance.
 
@@ -217,6 +227,7 @@ def private_pca_laplace(
     added to p numbers and a symmetric p by p matrix. The basis serves scaled rows; ``Basis.raw`` gives one
     for rows as they are. Without eps it is the Gram matrix's basis, with neither scaling nor noise.
     """
+    charged(ledger, df, eps)
     m = df if isinstance(df, Moments) else Moments.of(df, vector)
     g, means, n, p = m.gram, m.means, m.rows, len(m.means)
     if eps is None:
@@ -233,12 +244,14 @@ def private_pca_laplace(
 
 def private_pca_power(
     df: DataFrame | Moments, vector: str, d: int, eps: float | None, iterations: int, bound: float | None, seed: int, delta: float = 1e-4, variance_as_scale: bool = True,
+    ledger: Ledger | None = None,
 ) -> Basis:
     """PCA by the power method with Gaussian noise in each iteration; one distributed aggregate.
 
     In each iteration the noise's sigma is multiplied by the largest absolute cell of the current vectors, or by ``bound`` if
     that is given. The product is squared for the standard deviation, or taken as it is without ``variance_as_scale``.
     """
+    charged(ledger, df, eps)
     g = df.gram if isinstance(df, Moments) else gram(df, vector)
     p = g.shape[0]
     draw = np.random.Generator(np.random.PCG64(seed))

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.budget import Ledger
 from ..functions.randomness import geometric, laplace, sign
 from . import response, sketch
 from .features import ROOT2, clip
@@ -32,9 +33,11 @@ def flip_labels(df: DataFrame, label: str) -> DataFrame:
 
 def join_values(
     known: DataFrame, private: DataFrame, id: str, columns: list[str], *, eps_memb: float, eps_val: float, sens: float,
-    seed: int, buckets: int | None = None, drop: bool = True,
+    seed: int, buckets: int | None = None, drop: bool = True, ledger: Ledger | None = None,
 ) -> DataFrame:
     """Known rows with their membership and an estimate of each private column; eps_val is split over the columns."""
+    if ledger:
+        ledger.charge(private, "join of values", eps_memb + eps_val)
     eps = eps_val / max(1, len(columns))
     if buckets is None:
         out = joined(known, private.select(id, *columns), id)
@@ -52,12 +55,14 @@ def join_values(
 
 def join_signs(
     known: DataFrame, private: DataFrame, id: str, label: str, vector: str, total: int, k: int, *, eps_memb: float, eps_val: float,
-    kind: str = "Ind", selection: str = "Same", p: list[float] | None = None, seed: int = 7,
+    kind: str = "Ind", selection: str = "Same", p: list[float] | None = None, seed: int = 7, ledger: Ledger | None = None,
 ) -> DataFrame:
     """id, label, membership, vector: signs of the private rows under randomised response, random signs for the others.
 
     Same: the k likeliest columns by p. Unif, NonUnif: for each id k columns, others 0.
     """
+    if ledger:
+        ledger.charge(private, "join of signs", eps_memb + eps_val)
     out = joined(known.select(id, label), private.select(id, vector), id)
     return noisy_signs(out, id, label, vector, total, k, eps_memb=eps_memb, eps_val=eps_val, kind=kind, selection=selection, p=p, seed=seed)
 
@@ -84,7 +89,7 @@ def noisy_signs(
 
 def join_features(
     known: DataFrame, private: DataFrame, id: str, label: str, vector: str, dims: int, *, eps_memb: float, eps_val: float,
-    data_type: str = "Real", sens: list[float] | None = None, seed: int = 7, bound: float = ROOT2,
+    data_type: str = "Real", sens: list[float] | None = None, seed: int = 7, bound: float = ROOT2, ledger: Ledger | None = None,
 ) -> DataFrame:
     """id, label, membership, vector: noisy dense features of the rows that the membership lets through.
 
@@ -92,6 +97,8 @@ def join_features(
     clipped to ``bound``. Binary: signs kept with probability 1 - exp(-eps_val / dims) / 2, rows
     without a partner are random signs times sqrt(2). Noise is drawn for surviving rows only.
     """
+    if ledger:
+        ledger.charge(private, "join of features", eps_memb + eps_val)
     out = joined(known.select(id, label), private.select(id, vector), id)
     return noisy_features(out, id, label, vector, dims, eps_memb=eps_memb, eps_val=eps_val, data_type=data_type, sens=sens, seed=seed, bound=bound)
 
