@@ -27,11 +27,11 @@ def test_gram_tiles_are_the_gram_matrix(spark, monkeypatch):
     draw = np.random.default_rng(1)
     x = draw.normal(size=(90, 130)) * (draw.random((90, 130)) < 0.2)
     monkeypatch.setattr(wide, "HELD_BYTES", 3 * 32 * 32 * 8)  # sums are handed on early
-    cells = wide.gram_entries(wide.gram_tiles(rows_of(spark, x), 32), 32).collect()
-    out = np.zeros((130, 130))
-    for r in cells:
-        out[r.i, r.j] = out[r.j, r.i] = r.value
-    assert np.allclose(out, x.T @ x, atol=1e-9) and len(cells) == len({(r.i, r.j) for r in cells})
+    for df in (wide.gram_entries(wide.gram_tiles(rows_of(spark, x), 32), 32), wide.sparse_gram(rows_of(spark, x))):
+        cells, out = df.collect(), np.zeros((130, 130))
+        for r in cells:
+            out[r.i, r.j] = out[r.j, r.i] = r.value
+        assert np.allclose(out, x.T @ x, atol=1e-9) and len(cells) == len({(r.i, r.j) for r in cells})
 
 
 @pytest.mark.parametrize("centred", [False, True])

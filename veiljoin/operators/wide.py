@@ -53,7 +53,7 @@ def coordinates(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
 def gram_tiles(rows: DataFrame, tile: int = TILE) -> DataFrame:
     """ti, tj, numbers: the tile of X'X with columns ti * tile on by tj * tile on, ti <= tj, row after row; tiles of zeros are left out.
 
-    A task multiplies what its rows have in two tiles and hands sums on when they outgrow ``HELD_BYTES``.
+    For rows with many cells; ``sparse_gram`` is for those with few. A task multiplies what its rows have in two tiles and hands sums on when they outgrow ``HELD_BYTES``.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,6 +88,14 @@ def gram_tiles(rows: DataFrame, tile: int = TILE) -> DataFrame:
     return merge_sums(partial, ("ti", "tj"), lambda part, n: (*part, n.tolist()), "ti bigint, tj bigint, numbers array<double>")
 
 
+def sparse_gram(rows: DataFrame) -> DataFrame:
+    """i, j, value of X'X for i <= j where rows have cells in both columns: for rows of few cells, whose products are summed before they are shuffled."""
+    cells = F.arrays_zip("indices", "values")
+    product = lambda a, b: F.struct(a["indices"].alias("i"), b["indices"].alias("j"), (a["values"] * b["values"]).alias("v"))
+    pairs = F.transform(cells, lambda a: F.transform(F.filter(cells, lambda b: b["indices"] >= a["indices"]), lambda b: product(a, b)))
+    return rows.select(F.explode(F.flatten(pairs)).alias("p")).groupBy("p.i", "p.j").agg(F.sum("p.v").alias("value"))
+
+
 def gram_entries(tiles: DataFrame, tile: int = TILE) -> DataFrame:
     """i, j, value of the cells of X'X that aren't 0, for i <= j."""
     cells = tiles.select("ti", "tj", F.posexplode("numbers").alias("at", "value")).filter("value <> 0")

@@ -596,7 +596,7 @@ def gram_one_hot(spark, d):
     """Gram matrix of one-hot orders, a column for each status, priority and customer: its cells that aren't 0."""
     rows, known, _ = wide.sparse_one_hot(read_table(spark, d, "orders"), "o_orderkey", ORDER_COLUMNS, SEED)
     name = known.select("index", F.concat_ws("=", "column", "category").alias("name"))
-    met = wide.gram_entries(wide.gram_tiles(rows)).join(name.toDF("i", "x"), "i").join(name.toDF("j", "y"), "j")
+    met = wide.sparse_gram(rows).join(name.toDF("i", "x"), "i").join(name.toDF("j", "y"), "j")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "value")
 
 
