@@ -1,6 +1,7 @@
 """The toxicity score against a brute-force scorer; the same lexicon from any order and partitioning; edges."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -56,3 +57,13 @@ def test_edges(spark):
     rows = spark.createDataFrame([(1, None, 1.0), (1, None, 1.0), (None, "you idiot " * 40_000, 2.0)], "doc_id long, text string, score double")
     kept = t.reject_toxic(rows, t.Lexicon({" idiot ": 4.0}))
     assert kept.columns == rows.columns and kept.count() == 2
+
+
+def test_phrases_of_long_texts():
+    lexicon = t.Lexicon({" clown ": 2.0, " idiot ": 4.0, " cla": 1.0}, ("class clown", "clown fish", "a class clown idiot"))
+    draw = random.Random(4)
+    for _ in range(40):
+        text = " ".join(draw.choices(["class", "clown", "idiot", "fish", "a", "tea"], k=draw.randint(0, 60)))
+        assert math.isclose(lexicon.score(text), brute(lexicon, text), rel_tol=1e-9)
+    total, words = lexicon.measure("class clown idiot " * 333_000)
+    assert (total, words) == (4.0 * 333_000, 999_000)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -73,8 +75,10 @@ class Lexicon:
         """The weight of all hits outside exception phrases, and the number of words."""
         folded = fold(text)
         hits = [(end - n + 1, end, weight) for end, (n, weight) in self.scan.iter(folded)]
-        free = [(a, b) for a, b, weight in hits if weight is None]
-        total = sum(w for a, b, w in hits if w is not None and not any(x <= a and b <= y for x, y in free))
+        free = sorted((a, b) for a, b, weight in hits if weight is None)
+        # of the phrases that start no later than a hit, the one that reaches furthest decides
+        starts, reach = [a for a, _ in free], [-1, *accumulate((b for _, b in free), max)]
+        total = sum(w for a, b, w in hits if w is not None and reach[bisect_right(starts, a)] < b)
         return total, folded.count(" ") - 1 if len(folded) > 2 else 0
 
     def score(self, text: str | None) -> float:
