@@ -31,14 +31,35 @@ def test_rules_against_loops(spark):
 
 
 def test_poisson_tables(spark):
-    rates = {"a": 0.0, "b": 0.3, "c": 7.0, "d": 1500.0}
-    out = {r.source: r.cdf for r in mixing.poisson_table(spark.createDataFrame([*rates.items()], "source string, rate double")).collect()}
-    for source, rate in rates.items():
-        want, total = [], 0.0
-        for k in range(len(out[source])):
+    rates = {"a": 0.0, "b": 0.3, "c": 7.0, "d": 1500.0, "e": 24.0}
+    found = mixing.poisson_table(spark.createDataFrame([*rates.items()], "source string, rate double")).collect()
+    assert {r.source for r in found} == set(rates)
+    for r in found:
+        rate, past, total = rates[r.source], r.least + len(r.cdf), 0.0
+        for k in range(past):
             total += math.exp(-rate + (k * math.log(rate) if rate else 0) - math.lgamma(k + 1)) if rate or not k else 0
-            want.append(total)
-        assert all(abs(x - y) < 1e-9 for x, y in zip(out[source], want)) and abs(out[source][-1] - 1) < 1e-9
+            assert abs(total - (r.cdf[k - r.least] if k >= r.least else 0)) < 1e-9
+        assert abs(r.cdf[-1] - 1) < 1e-9
+
+
+def test_tables_of_large_rates_are_short(spark):
+    rate = 1e8
+    (r,) = mixing.poisson_table(spark.createDataFrame([("a", rate)], "source string, rate double")).collect()
+    assert len(r.cdf) < 25 * math.sqrt(rate) and r.least > rate - 13 * math.sqrt(rate) and abs(r.cdf[-1] - 1) < 1e-9
+    # quantiles by the normal law with its skewness correction, whose error is of the order of 1 / rate
+    for z in (-3.0, -1.0, 0.0, 2.0):
+        want = (1 + math.erf(z / math.sqrt(2))) / 2
+        k = rate + z * math.sqrt(rate) + (z * z - 1) / 6 - 0.5
+        assert abs(r.cdf[round(k) - r.least] - want) < 1e-4
+
+
+def test_a_row_of_very_many_copies(spark):
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 2, "rare").otherwise("big").alias("source"), F.lit(7).alias("n"), F.lit(8).alias("row"))
+    out = mixing.mix_sources(docs, shuffle=False)
+    assert out.columns == [*docs.columns, "copy", "mix_key"] and out.filter("n <> 7 or row <> 8").isEmpty()
+    rare = out.filter("source = 'rare'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.countDistinct("copy").alias("d"), F.max("copy").alias("m")).collect()
+    assert len(rare) == 2 and all(r.c == r.d == r.m and abs(r.c - 15_000) < 6 * math.sqrt(15_000) for r in rare)
+    assert out.filter("source = 'rare'").select(F.spark_partition_id()).distinct().count() > 1
 
 
 def test_mixing_edges(spark):

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import save, small
 
-#: Terms of the inverted distribution: beyond rate + 12 * sqrt(rate) + 24 the tail is below 1e-15.
+#: Terms of the inverted distribution: more than 12 * sqrt(rate) + 24 from the rate, either way, the tails are below 1e-15.
 TAIL = (12.0, 24.0)
+#: Sources with rates up to this one have short tables, which are broadcast; rows of others are at most this part of the result.
+COMMON_RATE = 1000.0
+#: A row's copies are made in steps of at most this many.
+STEP = 10_000
 
 
 def unit(seed: int, *parts: Column) -> Column:
@@ -18,18 +24,24 @@ def unit(seed: int, *parts: Column) -> Column:
 
 
 def poisson_table(rates: DataFrame) -> DataFrame:
-    """source, cdf: the distribution function of each rate at 0, 1, 2, ... as an array.
+    """source, least, cdf: the distribution function of each rate at least, least + 1, ... as an array; before that it is 0.
 
-    A source's terms are rows, whose logarithms add up from one to the next, so their number grows with the rate alone.
+    The number of terms grows with the root of the rate. Beyond 20 factorials are taken by Stirling's series, its
+    large parts cancelled beforehand, so that terms of large rates are exact too.
     """
-    last = F.when(F.col("rate") > 0, F.ceil(F.col("rate") + TAIL[0] * F.sqrt("rate") + TAIL[1])).otherwise(0).cast("int")
-    rows = rates.withColumn("k", F.explode(F.sequence(F.lit(0), last)))
+    spread = TAIL[0] * F.sqrt("rate") + TAIL[1]
+    least = F.greatest(F.floor(F.col("rate") - spread), F.lit(0)).cast("bigint")
+    last = F.when(F.col("rate") > 0, F.ceil(F.col("rate") + spread)).otherwise(0).cast("bigint")
+    rows = rates.withColumn("least", least).withColumn("k", F.explode(F.sequence("least", last)))
+    k = F.greatest(F.col("k").cast("double"), F.lit(20.0))
+    off = (F.col("rate") - k) / k
+    few = -F.col("rate") + F.col("k") * F.ln("rate") - F.ln(F.factorial(F.least(F.col("k"), F.lit(20)).cast("int")).cast("double"))
+    many = k * (F.log1p(off) - off) - F.ln(2 * math.pi * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k) - 1 / (1260 * k * k * k * k * k)
+    term = F.when(F.col("rate") <= 0, 1.0).when(F.col("k") <= 20, F.exp(few)).otherwise(F.exp(many))
     up_to = Window.partitionBy("source").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    log_factorial = F.sum(F.ln(F.greatest("k", F.lit(1)).cast("double"))).over(up_to)
-    term = F.when(F.col("rate") > 0, F.exp(-F.col("rate") + F.col("k") * F.ln("rate") - log_factorial)).otherwise(1.0)
     told = rows.withColumn("term", term).withColumn("cdf", F.sum("term").over(up_to))
-    held = told.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("k", "cdf"))).alias("cdf"))
-    return held.select("source", F.transform("cdf", lambda x: x.cdf).alias("cdf"))
+    held = told.groupBy("source", "least").agg(F.array_sort(F.collect_list(F.struct("k", "cdf"))).alias("cdf"))
+    return held.select("source", "least", F.transform("cdf", lambda x: x.cdf).alias("cdf"))
 
 
 def source_rates(docs: DataFrame, source_col: str, weights: dict[str, float] | None, epochs: float) -> DataFrame:
@@ -61,22 +73,38 @@ def mix_sources(
     the same rows. Rates follow from row counts over the whole input: the expected output is
     ``epochs`` times its rows, split by weight. ``weights`` None weighs all sources alike; sources
     that are missing from it get weight 0. Rows are ordered by ``mix_key``, a hash of id and copy,
-    over a range partitioning.
+    over a range partitioning. Copies of rows of frequent sources are made in steps, in all tasks.
 
     A null source is a source of its own, named by the empty string in ``weights``. Rows that
     repeat an id and a source get equal counts and keys. An empty table gives an empty result.
     Columns named copy and mix_key are replaced.
     """
     rest = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    rates = poisson_table(source_rates(docs, source_col, weights, epochs)).select(F.col("source").alias("mix_source"), F.col("cdf").alias("mix_cdf"))
-    u = unit(seed, F.col(source_col), F.col(id_col))
+    rates = save(source_rates(docs, source_col, weights, epochs), "mixing-rates")
+    u = unit(seed, F.col("source"), F.col("id"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def counted(picked: DataFrame) -> DataFrame:
+        """Rows of the sources picked that have copies, with the first copy of each step."""
+        found = poisson_table(picked).select(F.col("source").alias("mix_source"), F.col("least").alias("mix_least"), F.col("cdf").alias("mix_cdf"))
+        return (
+            docs.select(F.struct(*rest).alias("row"), F.col(source_col).alias("source"), F.col(id_col).alias("id"))
+            .join(small(found, 10_000), F.col("source").eqNullSafe(F.col("mix_source")))
+            .withColumn("n", F.col("mix_least") + F.size(F.filter("mix_cdf", lambda c: c <= u)))
+            .filter("n > 0")
+            .select("row", "id", "n")
+            .withColumn("from", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"), F.lit(STEP).cast("bigint"))))
+        )
+
+    steps = counted(rates.filter(F.col("rate") <= COMMON_RATE))
+    often = rates.filter(F.col("rate") > COMMON_RATE)
+    if not often.isEmpty():
+        # few rows of very many copies: their steps go to all tasks
+        steps = steps.unionByName(counted(often).repartition(tasks, "id", "from"))
     out = (
-        docs.select(*rest)
-        .join(small(rates, 10_000), F.col(source_col).eqNullSafe(F.col("mix_source")))
-        .withColumn("mix_n", F.size(F.filter("mix_cdf", lambda c: c <= u)))
-        .filter("mix_n > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix_n"))))
-        .withColumn("mix_key", unit(seed + 1, F.col(id_col), F.col("copy")))
-        .select(*rest, "copy", "mix_key")
+        steps.withColumn("copy", F.explode(F.sequence("from", F.least(F.col("from") + (STEP - 1), F.col("n")))))
+        .withColumn("copy", F.col("copy").cast("int"))
+        .withColumn("mix_key", unit(seed + 1, F.col("id"), F.col("copy")))
+        .select("row.*", "copy", "mix_key")
     )
     return out.orderBy("mix_key", id_col) if shuffle else out
