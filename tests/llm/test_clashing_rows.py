@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veiljoin.llm import chat, decontaminate, exact_dedup, mixing, near_dedup, substring_dedup
+from veiljoin.llm import chat, common, decontaminate, exact_dedup, mixing, near_dedup, substring_dedup
 from veiljoin.llm.queries import QUERIES
 
 #: Names that the operators use for columns of their own.
@@ -78,3 +78,24 @@ def test_mixing_copies_whole_rows(spark):
 
 def test_thirteen_operators_are_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
+
+
+def test_text_that_repeats_itself_is_cut_in_bounded_blocks(spark, monkeypatch):
+    words = ["same"] * 20_000
+    texts = [" ".join(x) for x in (words, words[:300], ["a", "b", "c"] * 2_000, ["c", "a", "b"] * 700, words[:49], ["x", *words[:90], "y"])]
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    rolling, hashes = common.Rolling(substring_dedup.BASE), common.WordHashes()
+    _, _, first, n = substring_dedup.doc_blocks(hashes.of([b"same"] * 20_000), rolling, 50)
+    assert n.max() == substring_dedup.BLOCK_WINDOWS and n.sum() == 20_000 - 49 and (first[1:] == (first + n)[:-1]).all()
+    for size in (substring_dedup.BLOCK_WINDOWS, 7):
+        monkeypatch.setattr(substring_dedup, "BLOCK_WINDOWS", size)
+        seen, out = set(), {r.doc_id: r for r in substring_dedup.remove_repeats(rows).collect()}
+        for k, text in enumerate(texts):
+            w = text.split()
+            windows = [tuple(w[i : i + 50]) for i in range(len(w) - 49)]
+            gone = [False] * len(w)
+            for i, x in enumerate(windows):
+                if x in seen:
+                    gone[i : i + 50] = [True] * 50
+            seen |= set(windows)
+            assert out[k].text == " ".join(x for x, g in zip(w, gone) if not g) and out[k].n_words == len(w)

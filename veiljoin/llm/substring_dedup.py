@@ -1,7 +1,7 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted in Spark, merged into removal intervals.
 
 A window's anchor is the smallest hash among its half-length subwindows. Equal windows have equal
-anchors, and neighbouring windows mostly share one, so a run of windows with one anchor (a block)
+anchors, and neighbouring windows mostly share one, so a run of windows with one anchor (a block, split where text repeats itself for long)
 is the unit that is shuffled: about one row for thirteen words. Only where an anchor occurs in
 several documents in different blocks are the blocks' windows themselves hashed and grouped.
 Nothing is lost by this: a window whose anchor is in one document only occurs in that document only.
@@ -20,6 +20,8 @@ from .common import Rolling, WordHashes, bound_batches, mix, plain_words, save,
 
 WINDOW = 50
 BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Windows of a block at most; only text that repeats within a window's length makes longer runs with one anchor.
+BLOCK_WINDOWS = 1024
 #: Stands for a null id, which comes after all others.
 LAST = 2**63 - 1
 
@@ -39,7 +41,10 @@ def doc_blocks(h: np.ndarray, rolling: Rolling, window: int) -> tuple[np.ndarray
     sums = rolling.prefix(h)
     parts = mix((sums[half:] - sums[:-half]) * rolling.up[: len(h) - half + 1])
     anchors = sliding_min(parts, window - half + 1)
-    first = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
+    starts = np.concatenate([[True], anchors[1:] != anchors[:-1]])
+    at = np.arange(len(anchors))
+    run = np.maximum.accumulate(np.where(starts, at, 0))
+    first = np.flatnonzero((at - run) % BLOCK_WINDOWS == 0)
     past = np.append(first[1:], len(anchors))
     content = mix((sums[past - 1 + window] - sums[first]) * rolling.up[first] + (past - first).astype(np.uint64))
     return anchors[first], content, first, past - first
