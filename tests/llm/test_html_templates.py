@@ -74,6 +74,22 @@ def test_long_lists_of_children():
     assert len(found) >= 4000 and sorted(found.values()) == list(found[k] for k in sorted(found))
 
 
+def test_long_lists_of_items_with_differing_texts(monkeypatch):
+    """Weights are found by kind, not for each pair of items, whether or not the rows of weights are remembered."""
+    def source(name, count):
+        return "<body>" + "".join(f"<div><p>{name} {i}</p><ul><li>Reply</li>{'<li>Own</li>' if i % 3 else ''}</ul></div>" for i in range(count))
+
+    for cells in (h.ROW_CELLS, 1):
+        monkeypatch.setattr(h, "ROW_CELLS", cells)
+        a, b = (h.Tree(h.Page(source(*x))) for x in (("one", 30), ("two", 33)))
+        match = h.Matching(a, b)
+        assert match.value(0, 0) == brute(a, b, 0, 0) == sum(h.MATCH + h.EQUAL * (a.text[i] == b.text[j]) for i, j in match.pairs().items())
+    monkeypatch.undo()
+    a, b = (h.Tree(h.Page(source(*x))) for x in (("one", 3000), ("two", 3100)))
+    match = h.Matching(a, b)
+    assert len(match.pairs()) >= 4 * 3000 and len(match.known) < 20
+
+
 def test_edges(spark):
     long = "<article>" + "<p>words and more</p>" * 20_000 + "</article>"
     rows = [(1, "http://a.com", long), (1, "http://a.com", long), (None, "http://a.com", "<p>x"), (2, None, "<p>y"), (3, "http://b.com", None), (4, "http://b.com", "")]

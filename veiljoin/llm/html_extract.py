@@ -62,6 +62,8 @@ COMPANIONS = {
 SUPPORT = 3
 #: Weights of a matched node in the alignment, and of its text being the same besides.
 MATCH, EQUAL = 2, 1
+#: Weights that an alignment remembers at once.
+ROW_CELLS = 2_000_000
 #: Slots that a task holds before it hands them on.
 HELD_SLOTS = 100_000
 #: Pages of a host that go to one task where templates are too large to be sent to all.
@@ -285,13 +287,27 @@ class Matching:
     """Simple tree matching of two trees: the heaviest alignment that keeps labels, parents and order.
 
     Subtrees that are the same in structure and text weigh all that they can, so they are matched without a look
-    inside. The rest of two lists of children is aligned row by row, each row at once; weights of other
-    pairs of subtrees are found once for each two contents.
+    inside. The rest of two lists of children is aligned row by row, each row at once. A text that only one of the
+    trees has equals none of the other's, so subtrees that differ in such texts alone are of one kind, and weights
+    are found once for each two kinds: items of a long list mostly have a few.
     """
 
     def __init__(self, a: Tree, b: Tree) -> None:
         self.a, self.b = a, b
         self.known: dict[tuple[int, int], int] = {}
+        numbers: dict[tuple, int] = {}
+        both = set(a.text) & set(b.text)
+        self.kind_a, self.kind_b = self.kinds(a, both, numbers), self.kinds(b, both, numbers)
+
+    @staticmethod
+    def kinds(tree: Tree, both: set[int], numbers: dict[tuple, int]) -> list[int]:
+        """The kind of each node's subtree: labels, and texts that both trees have."""
+        out = [-1] * len(tree.label)
+        for k in range(len(out) - 1, -1, -1):
+            if tree.weight[k]:
+                text = tree.text[k] if tree.text[k] in both else None
+                out[k] = numbers.setdefault((tree.label[k], text, *[out[x] for x in tree.children[k]]), len(numbers))
+        return out
 
     def value(self, i: int, j: int) -> int:
         """The weight of matching node i of a with node j of b, which have one label."""
@@ -301,7 +317,7 @@ class Matching:
         own = MATCH + EQUAL * (a.text[i] == b.text[j])
         if not a.children[i] or not b.children[j]:
             return own
-        key = (a.whole[i], b.whole[j])
+        key = (self.kind_a[i], self.kind_b[j])
         found = self.known.get(key)
         if found is None:
             found = self.known[key] = own + self.lists(a.children[i], b.children[j], None)
@@ -343,27 +359,37 @@ class Matching:
 
     def aligned(self, x: list[int], y: list[int], pairs: list[tuple[int, int]] | None, swapped: bool = False) -> int:
         s, t = (self.b, self.a) if swapped else (self.a, self.b)
+        kind_s, kind_t = (self.kind_b, self.kind_a) if swapped else (self.kind_a, self.kind_b)
         labels: dict[str, list[int]] = {}
         texts: dict[tuple[str, int], list[int]] = {}
-        inner: dict[str, list[int]] = {}
+        inner: dict[str, dict[int, list[int]]] = {}
         for n, j in enumerate(y):
             labels.setdefault(t.label[j], []).append(n)
             texts.setdefault((t.label[j], t.text[j]), []).append(n)
             if t.children[j]:
-                inner.setdefault(t.label[j], []).append(n)
+                inner.setdefault(t.label[j], {}).setdefault(kind_t[j], []).append(n)
         alike: dict[str, np.ndarray] = {}
         for label, found in labels.items():
             alike[label] = np.zeros(len(y), np.int32)
             alike[label][found] = MATCH
         none = np.zeros(len(y), np.int32)
+        rows: dict[int, np.ndarray] = {}
 
         def row(i: int) -> np.ndarray:
+            w = rows.get(kind_s[i])
+            if w is None:
+                if (len(rows) + 1) * len(y) > ROW_CELLS:
+                    rows.clear()
+                w = rows[kind_s[i]] = weigh(i)
+            return w
+
+        def weigh(i: int) -> np.ndarray:
             w, same = alike.get(s.label[i], none), texts.get((s.label[i], s.text[i]))
             if same or s.children[i] and s.label[i] in inner:
                 w = w.copy()
                 w[same or []] += EQUAL
-                for n in inner.get(s.label[i], ()) if s.children[i] else ():
-                    w[n] = self.value(y[n], i) if swapped else self.value(i, y[n])
+                for found in inner.get(s.label[i], {}).values() if s.children[i] else ():
+                    w[found] = self.value(y[found[0]], i) if swapped else self.value(i, y[found[0]])
             return w
 
         def best(before: np.ndarray, w: np.ndarray) -> np.ndarray:
