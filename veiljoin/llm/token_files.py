@@ -20,16 +20,18 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .common import bound_batches, save, shared_dir, small
 
@@ -41,14 +43,16 @@ WIDTHS = {IDS: np.dtype("<u4"), DOC_IDS: np.dtype("<u8"), COUNTS: np.dtype("<u8"
 BLOCK = 65_536
 #: A file gets about so many bytes of text, more only if a single document is larger.
 TEXT_BYTES = 48_000_000
-#: Words whose ids a Python worker remembers in each of two generations: when the younger is full it becomes the older,
-#: from which words are taken over that come again, and the older is forgotten.
-WORDS = 350_000
-#: Texts are encoded in groups of about so many characters; longer ones in pieces that end before a space.
-GROUP_CHARS = 2_000_000
+#: Words whose ids a Python worker remembers, of so many bytes with their ids on average; beyond them it keeps those of the last group of texts.
+WORDS = 1_000_000
+WORD_BYTES = 48
+#: Texts are encoded in groups of about so many bytes; longer ones in pieces that end before a space.
+GROUP_CHARS = 8_000_000
 LONG_WORD = 64
 #: Letters before this one are Latin, and composed in one way only.
 LATIN = "\u0250"
+#: White space that ends a word becomes a space.
+SPACES = bytes(32 if c in b"\t\n\r" else c for c in range(256))
 
 
 def to_planes(values: np.ndarray, bits: int) -> list[bytes]:
@@ -160,24 +164,29 @@ class TextIds:
     """Token ids of texts, by a tokenizer file of the ``tokenizers`` library.
 
     ``by_word``: for tokenizers that fold case and drop white space, whose ids of a text are those of its words one
-    after the other. Words are then encoded once and remembered, many to a call, with NUL between them as its id tells
-    where a word ends. Words that hold NUL or the tokenizer's own control strings are encoded alone. Words of
-    Latin letters are normalised many at a time and then only cut at spaces; tokens with the suffix of word ends tell where they end.
+    after the other. A group of texts is cut into words as one array of bytes, also between an ASCII letter and a digit or
+    sign if the tokenizer parts them, and becomes a dictionary of its words. Each word is encoded once and remembered, many
+    to a call, with NUL between them as its id tells where a word ends. Words that hold NUL or the tokenizer's own control strings
+    are encoded alone. Words of Latin letters are normalised many at a time and then only cut at spaces; tokens with the
+    suffix of word ends tell where they end. No Python object is made for a word that is remembered.
     """
 
     def __init__(self, path: str, by_word: bool) -> None:
-        self.tokenizer, self.by_word, self.known, self.older = Tokenizer.from_file(path), by_word, {}, {}
-        self.control = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + ["\0"]
-        end, stop, comma = self.encode(["\0", ".", ","])
-        self.end = end[0]
-        folds = self.encode(["AbC."])[0] == self.encode(["abc"])[0] + stop
-        self.marks = {m: np.array(ids, "<u4").tobytes() for m, ids in (("", []), (".", stop), (",", comma))} if folds and len(end) == 1 else {}
-        self.letters, self.ends = Tokenizer.from_file(path), None
-        self.letters.normalizer = normalizers.Sequence([])
+        self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.control = [*self.added, "\0"]
+        end = self.encode(["\0"])[0]
+        self.end = end[0] if len(end) == 1 else None
+        self.joins = self.end is not None and self.encode(["AbC."])[0] == sum(self.encode(["abc", "."]), [])
+        tails = [c + after for c in map(chr, range(128)) if not c.isalpha() for after in ("", "s", ".", "'")]
+        found = self.encode(["abc", *tails, *("aBC" + t for t in tails)])
+        self.finer = self.joins and found[1 + len(tails) :] == [found[0] + ids for ids in found[1 : 1 + len(tails)]]
+        self.letters, self.ends = Tokenizer(self.tokenizer.model), None
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         probe = ["a", "the", "abcdefghijklmnopqrstuvwxyz", "zzqxj", "\u00e9\u00df\u0153\u0180"]
-        if suffix and self.tokenizer.normalizer and self.encode(probe) == [e.ids for e in self.letters.encode_batch_fast(probe, add_special_tokens=False)]:
+        if suffix and self.joins and self.tokenizer.normalizer and self.encode(probe) == [e.ids for e in self.letters.encode_batch_fast(probe, add_special_tokens=False)]:
             vocabulary = self.tokenizer.get_vocab()
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
@@ -185,79 +194,134 @@ class TextIds:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: Iterable[str]) -> None:
-        """ASCII words by their lower-case form, and without a last full stop or comma, which is a token of its own."""
-        whole = " ".join(words)
-        if not self.marks or any(c in whole for c in self.control):
-            alone = [w for w in words if not self.marks or len(w) > LONG_WORD or any(c in w for c in self.control)]
+    def cut(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where words of texts start, and the last one ends: after each space and text, and between an ASCII letter and an ASCII byte that is none.
+
+        Capitals become small in ``data``, where no mark may follow that composes with them. With a control string anywhere, cuts are at spaces only.
+        """
+        last = data == 32
+        low = data.tobytes().lower()
+        if self.finer and not any(c.lower().encode() in low for c in self.added):
+            after = np.append(data[1:], np.uint8(32))
+            data += ((data - np.uint8(65) < 26) & (after < 128)).view(np.uint8) * np.uint8(32)
+            letter = (data | np.uint8(32)) - np.uint8(97) < 26
+            last |= letter & ~np.append(letter[1:], False) & (after < 128) & (after != 32)
+        last[ends[ends > 0] - 1] = True
+        return np.append(0, np.flatnonzero(last) + 1).astype(np.int32)
+
+    def of_words(self, texts: pa.StringArray) -> list[bytes]:
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        if at[0] == at[-1]:
+            return [b""] * len(texts)
+        data = np.frombuffer(bytearray(texts.buffers()[2][at[0] : at[-1]].to_pybytes().translate(SPACES)), np.uint8)
+        at = at - at[0]
+        starts = self.cut(data, at[1:])
+        words = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data)).dictionary_encode()
+        found = self.of_distinct(pc.ascii_rtrim(words.dictionary, " ")).take(words.indices)
+        past = np.frombuffer(found.buffers()[1], np.int64)[np.searchsorted(starts, at)].tolist()
+        raw = found.buffers()[2] or b""
+        return [bytes(memoryview(raw)[i:j]) for i, j in zip(past, past[1:])]
+
+    def of_distinct(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """Ids of each word, of those that are remembered and those that are learnt now."""
+        at = pc.index_in(words, value_set=self.words)
+        unknown = pc.is_null(at)
+        asked = words.filter(unknown)
+        new, ids = self.learn(asked.unique())
+        at = pc.replace_with_mask(at, unknown, pc.add(pc.index_in(asked, value_set=new), pa.scalar(len(self.words), pa.int32())))
+        every, its = pa.concat_arrays([self.words, new]), pa.concat_arrays([self.ids, ids])
+        if max(len(every), (every.nbytes + its.nbytes) // WORD_BYTES) > WORDS:
+            kept = at.unique()
+            kept = kept.filter(pc.less_equal(pc.binary_length(every.take(kept)), LONG_WORD))[:WORDS]
+            self.words, self.ids = every.take(kept), its.take(kept)
         else:
-            alone = [w for w in words if len(w) > LONG_WORD]
-        for word, ids in zip(alone, self.encode(alone)):
-            self.known[word] = np.array(ids, "<u4").tobytes()
-        forms = {w: stem(w) for w in (set(words).difference(alone) if alone else words)}
-        plain = self.recall({s for s, _ in forms.values()}.difference(self.known))
-        letters = {w: w for w in plain if w.isalpha() and w.isascii()} if self.ends is not None else {}
-        if self.ends is not None:
-            latin = [w for w in plain.difference(letters) if w.isalpha() and max(w) < LATIN]
-            low = self.tokenizer.normalizer.normalize_str(" ".join(latin)).split(" ")
-            letters |= {w: x for w, x in zip(latin, low, strict=True) if x.isalpha() and max(x) < LATIN} if latin else {}
-        self.cut(list(letters), list(letters.values()), self.letters, " ", lambda ids: self.ends[ids])
-        rest = list(plain.difference(letters))
-        self.cut(rest, rest, self.tokenizer, " \0 ", lambda ids: ids == self.end)
-        for word, (base, mark) in forms.items():
-            self.known[word] = self.known[base] + self.marks[mark]
-
-    def cut(self, words: list[str], forms: list[str], tokenizer: Tokenizer, between: str, ends: Callable[[np.ndarray], np.ndarray]) -> None:
-        """Encode the forms of words in one text and cut its ids after the tokens that end a word, or at those between words."""
+            short = pc.less_equal(pc.binary_length(new), LONG_WORD)
+            self.words, self.ids = pa.concat_arrays([self.words, new.filter(short)]), pa.concat_arrays([self.ids, ids.filter(short)])
+        return its.take(at)
+
+    def learn(self, words: pa.StringArray) -> tuple[pa.StringArray, pa.LargeBinaryArray]:
+        """Words in another order, and their ids. Latin words are known without the punctuation that they end in, which has tokens of its own."""
+        if self.ends is None:
+            ascii_words, rest = words[:0], words.to_pylist()
+        else:
+            plain = pc.match_substring_regex(words, f"^[a-z]{{1,{LONG_WORD}}}$")
+            for c in [c for c in self.added if c.isalpha()]:
+                plain = pc.and_not(plain, pc.match_substring(words, c))
+            ascii_words, rest = words.filter(plain), words.filter(pc.invert(plain)).to_pylist()
+        alone = [w for w in rest if not self.joins or len(w) > LONG_WORD or any(c in w for c in self.control)]
+        many = set(rest).difference(alone)
+        stems = {w: s for w in many if (s := stem(w))[1]} if self.finer and self.ends is not None else {}
+        many = many.difference(stems).union(*stems.values())
+        latin = [w for w in many if w.isalpha() and max(w) < LATIN] if self.ends is not None else []
+        low = self.tokenizer.normalizer.normalize_str(" ".join(latin)).split(" ") if latin else []
+        letters = {w: x for w, x in zip(latin, low, strict=True) if x.isalpha() and max(x) < LATIN}
+        others = list(many.difference(letters))
+        parts = [
+            self.in_one(ascii_words.to_pylist(), self.letters), self.in_one(list(letters.values()), self.letters), self.in_one(others, self.tokenizer),
+            pa.array([np.array(ids, "<u4").tobytes() for ids in self.encode(alone)], pa.large_binary()),
+        ]
+        names = [*letters, *others, *alone]
+        known = dict(zip(names, pa.concat_arrays(parts[1:]).to_pylist())) if stems else {}
+        parts.append(pa.array([known[base] + known[tail] for base, tail in stems.values()], pa.large_binary()))
+        extra = set(names).difference(rest) if stems else ()
+        every, its = pa.concat_arrays([ascii_words, pa.array([*names, *stems], pa.string())]), pa.concat_arrays(parts)
+        if extra:
+            asked = pc.is_in(every, value_set=words)
+            every, its = every.filter(asked), its.filter(asked)
+        return every, its
+
+    def in_one(self, words: list[str], tokenizer: Tokenizer) -> pa.LargeBinaryArray:
+        """Encode many words in one text and cut its ids after the tokens that end a word, or at the NUL between words."""
+        found = [pa.array([], pa.large_binary())]
         for i in range(0, len(words), 20_000):
-            some = forms[i : i + 20_000]
-            ids = np.array(tokenizer.encode_batch_fast([between.join([*some, ""]).rstrip(" ")], add_special_tokens=False)[0].ids, "<u4")
-            raw, at, gap = ids.tobytes(), 0, 4 * (between != " ")
-            for word, past in zip(words[i : i + 20_000], (4 * np.flatnonzero(ends(ids)) + 4).tolist(), strict=True):
-                self.known[word] = raw[at : past - gap]
-                at = past
-
-    def recall(self, words: set[str]) -> set[str]:
-        """Take over what the older generation knows; returns the rest."""
-        known = words.intersection(self.older) if self.older else ()
-        for word in known:
-            self.known[word] = self.older[word]
-        return words.difference(known)
-
-    def of_words(self, texts: list[str]) -> list[bytes]:
-        rows = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        words = set().union(*rows)
-        new = self.recall(words.difference(self.known))
-        if len(self.known) + len(new) > WORDS:
-            self.older, self.known = self.known, {w: self.known[w] for w in words.difference(new)}
-        self.learn(new)
-        out = [b"".join(map(self.known.__getitem__, row)) for row in rows]
-        for word in [w for w in new if len(w) > LONG_WORD]:
-            del self.known[word]
-        return out
-
-    def of(self, texts: list[str]) -> Iterator[bytes]:
+            some = words[i : i + 20_000]
+            text = (" " if tokenizer is self.letters else " \0 ").join([*some, ""]).rstrip(" ")
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            if tokenizer is self.letters:
+                past = np.flatnonzero(self.ends[ids]) + 1
+            else:
+                past = np.flatnonzero(ids == self.end)
+                ids, past = np.delete(ids, past), past - np.arange(len(past))
+            if len(past) != len(some):
+                raise ValueError("tokens don't tell where words end")
+            found.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(4 * np.append(0, past)), pa.py_buffer(ids)]))
+        return pa.concat_arrays(found)
+
+    def of(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not self.by_word:
-            yield from (np.array(ids, "<u4").tobytes() for text in texts for ids in self.encode([text]))
+            yield from (np.array(ids, "<u4").tobytes() for text in texts.to_pylist() for ids in self.encode([text]))
             return
-        at = 0
+        at, past = 0, np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64))
         while at < len(texts):
-            size, past = len(texts[at]), at + 1
-            while past < len(texts) and size + len(texts[past]) <= GROUP_CHARS:
-                size, past = size + len(texts[past]), past + 1
-            if size <= GROUP_CHARS:
-                yield from self.of_words(texts[at:past])
+            to = int(np.searchsorted(past, past[at] + GROUP_CHARS, "right")) - 1
+            if to > at:
+                yield from self.of_words(texts[at:to])
             else:
-                yield b"".join(self.of_words([piece])[0] for piece in pieces(texts[at]))
-            at = past
+                yield b"".join(self.of_words(pa.array([piece]))[0] for piece in pieces(texts[at].as_py()))
+            at = max(to, at + 1)
 
 
 def stem(word: str) -> tuple[str, str]:
-    if not word.isascii():
-        return word, ""
-    low = word.lower()
-    return (low[:-1], low[-1]) if low[-1:] in (".", ",") and low[-2:-1].isalpha() else (low, "")
+    """A word whose small letters are Latin, without marks, and the ASCII punctuation at its end; else all of it."""
+    base = word.rstrip(punctuation)
+    return (base, word[len(base) :]) if base.lower().isalpha() and max(base) < LATIN else (word, "")
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with rows, small ones put together up to ``GROUP_CHARS`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        more = batch.column("text").nbytes
+        if held and size + more > GROUP_CHARS:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        if batch.num_rows:
+            held.append(batch)
+            size += more
+    if held:
+        yield pa.concat_batches(held)
 
 
 def pieces(text: str) -> Iterator[str]:
@@ -296,11 +360,9 @@ def write_tokens(
     def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, encoder, tail = Sections(TaskContext.get().partitionId(), bits, block), text_ids(tokenizer, by_word), np.array([end_id], "<u4").tobytes()
         send = lambda parts: pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], ["section"])
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in gathered(batches):
             parts = [out.header()] if not out.n_docs else []
-            raw = [ids + tail for ids in encoder.of(batch.column("text").to_pylist())]
+            raw = [ids + tail for ids in encoder.of(batch.column("text"))]
             counts = np.fromiter((len(r) // 4 for r in raw), np.int64, len(raw))
             ids = batch.column("doc_id")
             parts += out.add(
