@@ -44,7 +44,7 @@ BLOCK = 65_536
 #: A file gets about so many bytes of text, more only if a single document is larger.
 TEXT_BYTES = 48_000_000
 #: Words whose ids a Python worker remembers, of so many bytes with their ids on average; beyond them it keeps those of the last group of texts.
-WORDS = 1_000_000
+WORDS = 600_000
 WORD_BYTES = 48
 #: Texts are encoded in groups of about so many bytes; longer ones in pieces that end before a space.
 GROUP_CHARS = 8_000_000
@@ -200,14 +200,20 @@ class TextIds:
         Capitals become small in ``data``, where no mark may follow that composes with them. With a control string anywhere, cuts are at spaces only.
         """
         last = data == 32
-        low = data.tobytes().lower()
-        if self.finer and not any(c.lower().encode() in low for c in self.added):
+        if self.finer and not self.controlled(data.tobytes().lower()):
             after = np.append(data[1:], np.uint8(32))
             data += ((data - np.uint8(65) < 26) & (after < 128)).view(np.uint8) * np.uint8(32)
             letter = (data | np.uint8(32)) - np.uint8(97) < 26
-            last |= letter & ~np.append(letter[1:], False) & (after < 128) & (after != 32)
+            letter[:-1] &= ~letter[1:]
+            last |= letter & (after < 128) & (after != 32)
         last[ends[ends > 0] - 1] = True
-        return np.append(0, np.flatnonzero(last) + 1).astype(np.int32)
+        starts = np.zeros(np.count_nonzero(last) + 1, np.int32)
+        np.add(np.flatnonzero(last), 1, out=starts[1:], casting="same_kind")
+        return starts
+
+    def controlled(self, low: bytes) -> bool:
+        """Whether small letters may hold a control string, of whatever case."""
+        return any(c.lower().encode() in low for c in self.added)
 
     def of_words(self, texts: pa.StringArray) -> list[bytes]:
         at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
@@ -235,8 +241,8 @@ class TextIds:
             kept = kept.filter(pc.less_equal(pc.binary_length(every.take(kept)), LONG_WORD))[:WORDS]
             self.words, self.ids = every.take(kept), its.take(kept)
         else:
-            short = pc.less_equal(pc.binary_length(new), LONG_WORD)
-            self.words, self.ids = pa.concat_arrays([self.words, new.filter(short)]), pa.concat_arrays([self.ids, ids.filter(short)])
+            short = pc.less_equal(pc.binary_length(every), LONG_WORD)
+            self.words, self.ids = (every, its) if pc.all(short).as_py() in (True, None) else (every.filter(short), its.filter(short))
         return its.take(at)
 
     def learn(self, words: pa.StringArray) -> tuple[pa.StringArray, pa.LargeBinaryArray]:
