@@ -822,7 +822,7 @@ def sweep_sign_variants(spark, d):
     p = selection.feature_distribution(split.private, "x", 0.5, SEED)
     settings = [s | {"k": 3} for s in sweep.grid(variant=sweep.SEVEN_VARIANTS, eps=[1.0, 3.0])]
     rows = [{"kind": s["variant"][0], "selection_type": s["variant"][1], "k": s["k"], "eps": s["eps"]} for s in settings]
-    return median_trials(spark, rows, lambda **s: ex.sign_trial(split, FLAGS, p, "BernoulliNB", **s))
+    return median_trials(spark, rows, ex.SignTrials(split, FLAGS, p, rows, "BernoulliNB"))
 
 
 @query()
@@ -830,7 +830,7 @@ def sweep_sign_columns(spark, d):
     split = sign_split(spark, d)
     p = selection.feature_distribution(split.private, "x", 0.5, SEED)
     rows = [{"kind": a, "selection_type": b, "k": k, "eps": 3.0} for k in (1, 3, FLAGS) for a, b in sweep.four_variants(k, FLAGS)]
-    return median_trials(spark, rows, lambda **s: ex.sign_trial(split, FLAGS, p, "BernoulliNB", **s))
+    return median_trials(spark, rows, ex.SignTrials(split, FLAGS, p, rows, "BernoulliNB"))
 
 
 @query()
