@@ -87,3 +87,14 @@ def test_samples_meet_their_cut_without_a_product(spark):
         assert one.count() == 1250 and {r.g: r["count"] for r in many.groupBy("g").count().collect()} == {0: 10, 1: 5}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_without_clusters_meet_in_large_blocks(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    x, y, z = draw.normal(size=(500, 12)).round(2), np.where(draw.random(500) < 0.5, 1.0, -1.0), draw.normal(size=(40, 12)).round(2)
+    seen = []
+    monkeypatch.setattr(cells, "meet", lambda held, asked, k, parts, f=cells.meet: seen.append(asked.count()) or f(held, asked, k, parts))
+    got, compared = cells.pruned_neighbours(table(spark, x, y), table(spark, z, np.ones(40)), 5, block_rows=16)
+    want = [sorted(range(500), key=lambda j, v=v: (((x[j] - v) ** 2).sum().round(9), j))[:5] for v in z]
+    assert {r.id: [n.n_id for n in r.ns] for r in got.collect()} == dict(enumerate(want))
+    assert compared == 500 * 40 and len(seen) == 1 and seen[0] < 1000  # rows aren't copied for each block
