@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.randomness import uniform
+from ..sources.shared import keep
+from .cells import sampled
 from .features import exact_quantiles
 from .prep import keep_ranked, numbered
 
@@ -57,11 +60,113 @@ def one_figure(spark: SparkSession, values: list[float]) -> DataFrame:
     return spark.createDataFrame([(float(np.mean(values)) if values else None,)], "bandwidth double")
 
 
-def median_of_all(df: DataFrame, id: str, vector: str) -> DataFrame:
-    """The median distance of all pairs of rows, exactly; their number grows with the square of the rows'. Null under two rows."""
-    rows = df.select(F.lit(0).alias("i"), F.col(id).alias("id"), F.col(vector).alias("x"), F.lit(1).alias("n"))
-    found = exact_quantiles(all_distances(rows, "i", df.count()), [0.5])
-    return one_figure(df.sparkSession, [v[0] for v in found.values()])
+class Meeting(NamedTuple):
+    """Blocks of centred rows, each two of which meet once; ``error`` bounds that of a squared distance by products."""
+
+    pairs: DataFrame
+    error: float
+
+    def squares(self, run: Callable[[np.ndarray, np.ndarray, np.ndarray], pd.DataFrame], schema: str, strip: int = 512) -> DataFrame:
+        """``run(x, z, gaps)`` of strips of rows x against rows z with their squared distances, which NaN takes the place of for a pair counted elsewhere."""
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for r in batch.itertuples(index=False):
+                    x, z = np.reshape(r.xs, (r.n, -1)), np.reshape(r.zs, (r.m, -1))
+                    own, other = (x * x).sum(1), (z * z).sum(1)
+                    for at in range(0, len(x), strip):
+                        gaps = x[at : at + strip] @ z.T
+                        gaps *= -2
+                        gaps += own[at : at + strip, None]
+                        gaps += other
+                        if r.block == r.other:
+                            gaps[np.tri(len(gaps), len(z), at, bool)] = np.nan
+                        yield run(x[at : at + strip], z, gaps)
+
+        return self.pairs.mapInPandas(each, schema)
+
+
+def meeting(df: DataFrame, vector: str, block_rows: int) -> tuple[Meeting, int, np.ndarray]:
+    """The blocks of rows whose cells are all finite, the number of those rows, and a sample's distances."""
+    x = F.col(vector).cast("array<double>")
+    finite = F.forall("x", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    held = keep(df.select(x.alias("x")).filter(F.col("x").isNotNull() & finite), "distance-rows")
+    n = held.count()
+    centre = {r.i: r.m for r in held.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).collect()}
+    middle = [float(centre[i]) for i in range(len(centre))]
+    moved = held.select(F.zip_with("x", F.lit(middle) if middle else F.array().cast("array<double>"), lambda v, m: v - m).alias("x"))
+    largest = moved.agg(F.max(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v))).first()[0] or 0.0
+    blocks = max(1, -(-n // block_rows))
+    numbered = moved.groupBy(F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int").alias("block"))
+    packed = keep(numbered.agg(F.count(F.lit(1)).cast("int").alias("n"), F.flatten(F.collect_list("x")).alias("xs")), "distance-blocks")
+    left = packed.select("*", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))).alias("other"))
+    met = left.join(packed.toDF("other", "m", "zs"), "other").select("block", "other", "n", "m", "xs", "zs")
+    return Meeting(met, 16 * (len(middle) + 8) * 2.0**-52 * largest), n, sampled(held, "x") if n else np.zeros(0)
+
+
+def median_of_all(df: DataFrame, id: str, vector: str, bins: int = 65_536, few: int = 1_000_000, block_rows: int | None = None) -> DataFrame:
+    """The median distance of all pairs of rows, exactly; their number grows with the square of the rows'. Null under two rows.
+
+    Squared distances come from products of blocks, within a known error, and are counted in bins where they are made, so
+    nothing is listed. The interval that holds the median narrows until it has ``few`` pairs, or is as narrow as the error;
+    their distances are computed from the differences, and the pairs under it counted. What is found is right if it lies by more than the
+    error inside: no pair on either side can belong on the other. Rows with a cell that isn't finite are left out.
+    """
+    held, n, sample = meeting(df, vector, block_rows or min(4096, max(256, -(-df.count() // 16))))
+    total, error = n * (n - 1) // 2, held.error
+    if not total:
+        return one_figure(df.sparkSession, [])
+    ranks, width = ((total - 1) // 2, total // 2), 0.06
+
+    def counted(low: float, high: float) -> np.ndarray:
+        def run(x: np.ndarray, z: np.ndarray, gaps: np.ndarray) -> pd.DataFrame:
+            gaps -= low
+            gaps *= bins / (high - low)
+            gaps = gaps[~np.isnan(gaps)]
+            found = np.bincount(np.clip(gaps + 1, 0, bins + 1).astype(np.int32), minlength=bins + 2)  # under, bins, over
+            used = found.nonzero()[0]
+            return pd.DataFrame({"bin": used, "n": found[used]})
+
+        out = np.zeros(bins + 2, np.int64)
+        for r in held.squares(run, "bin int, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+            out[r.bin] = r.n
+        return out
+
+    def listed(low: float, high: float) -> tuple[int, list]:
+        """How many pairs lie under ``low``, and the different distances of those within, with their numbers."""
+
+        def run(x: np.ndarray, z: np.ndarray, gaps: np.ndarray) -> pd.DataFrame:
+            i, j = ((gaps >= low) & (gaps <= high)).nonzero()
+            parts = [np.sqrt(((x[i[k : k + 100_000]] - z[j[k : k + 100_000]]) ** 2).sum(1)) for k in range(0, len(i), 100_000)]
+            v, n = np.unique(np.concatenate(parts) if parts else np.zeros(0), return_counts=True)
+            return pd.DataFrame({"v": np.r_[-1.0, v], "n": np.r_[(gaps < low).sum(), n]})
+
+        rows = sorted(held.squares(run, "v double, n bigint").groupBy("v").agg(F.sum("n").alias("n")).collect())
+        return rows[0].n, rows[1:]
+
+    reach = lambda w: np.quantile(sample, [0.5 - w, 0.5 + w]) ** 2 if w < 0.5 and len(sample) else np.array([-error, 16 * error * 2.0**52 + error])
+    low, high = reach(width) + np.array([-1, 1]) * 4 * error + np.array([0, 1e-300])
+    while True:
+        upto, edges = np.cumsum(counted(low, high)), np.linspace(low, high, bins + 1)
+        if ranks[0] < upto[0] or ranks[1] >= upto[-2]:  # the sample misled
+            width *= 3
+            low, high = reach(width) + np.array([-1, 1]) * 4 * error + np.array([0, 1e-300])
+            continue
+        i, j = (int(np.searchsorted(upto, r, side="right")) for r in ranks)
+        step, inside = (high - low) / bins, upto[j] - upto[i - 1]
+        low, high = edges[i - 1], edges[j]
+        if inside <= few or step <= 8 * error + 1e-12 * abs(high) + 1e-290:
+            break
+        low, high = low - 4 * error, high + 4 * error
+    margin = 4 * error + 1e-12 * abs(high) + 1e-300
+    while True:
+        low, high = low - margin, high + margin
+        under, values = listed(low, high)
+        upto = under + np.cumsum([r.n for r in values])
+        at = [int(np.searchsorted(upto, r, side="right")) for r in ranks]
+        if under <= ranks[0] and at[1] < len(values) and all(low + error <= values[k].v ** 2 <= high - error for k in at):
+            return one_figure(df.sparkSession, [float(np.mean([values[k].v for k in at]))])
+        margin *= 8
 
 
 def mean_of_medians(df: DataFrame, id: str, vector: str, repeats: int = 10, rows: int = 10_000, seed: int = 7) -> DataFrame:
