@@ -81,3 +81,23 @@ def test_copies_vote_through_any_fitted_model(spark):
     flips = np.mean([a != b for r in copies.join(df.selectExpr("id", "x AS whole"), "id").collect() for a, b in zip(r.x, np.maximum(r.whole, 0))])
     assert abs(flips - flip_probability(2.0)) < 0.03
     assert np.mean([got[i] == y[i] for i in range(60)]) > 0.8
+
+
+@pytest.mark.parametrize("cells", [1, 3])
+def test_components_of_columns_that_the_driver_does_not_hold(spark, monkeypatch, cells):
+    draw = np.random.default_rng(5)
+    x = np.zeros((500, 300))
+    for i in range(500):
+        x[i, i % 3], x[i, 3 + draw.integers(0, 4)] = 1, 1
+        x[i, draw.integers(7, 300, cells)] = 1  # with several cells, columns that aren't hubs meet
+    monkeypatch.setattr(wide, "DRIVER_COLUMNS", 0)
+    monkeypatch.setattr(wide, "HUBS", 7)
+    monkeypatch.setattr(wide, "principal", lambda *_: pytest.fail("the driver holds all columns"))
+    c = x - x.mean(0)
+    want = np.linalg.svd(c, full_matrices=False)
+    found, values = wide.components(rows_of(spark, x), 300, 3, True, iterations=200 if cells > 1 else 60)
+    got = np.zeros((300, 3))
+    for r in found.collect():
+        got[r["index"]] = r.lead
+    assert np.allclose(values, want.S[:3] ** 2, rtol=1e-6) and np.allclose(got.T @ got, np.eye(3), atol=1e-6)
+    assert np.abs(got - want.Vh[:3].T @ (want.Vh[:3] @ got)).max() < 1e-4

@@ -604,9 +604,9 @@ def gram_one_hot(spark, d):
 def pca_one_hot(spark, d):
     """The three largest eigenvalues of the covariance of one-hot orders and each category's squared loading: no p by p matrix is held."""
     rows, known, width = wide.sparse_one_hot(read_table(spark, d, "orders"), "o_orderkey", ORDER_COLUMNS, SEED)
-    vectors, values = wide.principal(rows, width, 3, centred=True)
-    found = [(i, k, float(values[k]), float(vectors[i, k] ** 2)) for i in range(width) for k in range(vectors.shape[1])]
-    loadings = spark.createDataFrame(found, "index int, component int, eigenvalue double, loading double")
+    found, values = wide.components(rows, width, 3, centred=True)
+    eigenvalue = F.get(F.lit([float(v) for v in values]), F.col("component"))
+    loadings = found.select("index", F.posexplode("lead").alias("component", "v")).select("index", "component", eigenvalue.alias("eigenvalue"), (F.col("v") * F.col("v")).alias("loading"))
     return known.join(loadings, "index").select("column", "category", "component", r6("eigenvalue", "eigenvalue"), r6("loading", "loading"))
 
 
